@@ -63,8 +63,6 @@ def unit_point(dim: int, *parts) -> np.ndarray:
     return raw / math.sqrt(float((raw * raw).sum()))
 
 
-def unit_point_column(dim: int, *parts) -> Column:
-    """JVM twin of :func:`unit_point`: an array column."""
-    raw = F.array(*[gauss(*parts, i) for i in range(dim)])
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(raw, lambda x: x / norm)
+def gauss_column(dim: int, *parts) -> Column:
+    """JVM twin of the raw draw behind :func:`unit_point`: an array of keyed normals."""
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: gauss(*parts, i))

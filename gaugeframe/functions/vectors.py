@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def as_double(vec) -> Column:
@@ -57,17 +59,12 @@ def stack_vectors(series: Sequence) -> np.ndarray:
     return np.vstack([np.asarray(r, dtype=np.float64) for r in rows])
 
 
-def map_vectors(df, vec: str, out: str, fn, drop_input: bool = False):
+def map_vectors(df: DataFrame, vec: str, out: str, fn) -> DataFrame:
     """Replace a vector column by ``fn(matrix) -> matrix`` batch-wise; every other column passes through."""
-    import pandas as pd
-
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("array<double>")
     def apply(v: pd.Series) -> pd.Series:
         if len(v) == 0:
             return pd.Series([], dtype=object)
         return pd.Series(list(np.ascontiguousarray(fn(stack_vectors(v)))))
 
-    res = df.withColumn(out, apply(as_double(vec)))
-    return res.drop(vec) if drop_input and out != vec else res
+    return df.withColumn(out, apply(as_double(vec)))

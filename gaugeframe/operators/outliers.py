@@ -222,8 +222,8 @@ def centre_distance(df: DataFrame, vec: str = "embedding", row_id: str = "row_id
         mapped = mapped.join(centre, by) if by else mapped.withColumn("_c", F.lit(list(centre.first()["_c"])))
         far = F.aggregate(F.zip_with("_f", "_c", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x)
         scored = mapped.select(*by, row_id, far.alias(out))
-    if by:
-        edge = scored.groupBy(*by).agg(F.percentile_approx(out, 1.0 - contamination, 10_000).alias("_edge"))
-        return scored.join(edge, by).withColumn("is_outlier", (F.col(out) > F.col("_edge")).cast("int")).drop("_edge")
-    edge = scored.agg(F.percentile_approx(out, 1.0 - contamination, 10_000)).first()[0]
-    return scored.withColumn("is_outlier", (F.col(out) > F.lit(edge)).cast("int"))
+    scored = stage(scored, "centre-scores")
+    edge = exact_quantiles(scored, [out], (1.0 - contamination,), by).drop("column")
+    if not by:
+        return scored.withColumn("is_outlier", (F.col(out) > F.lit(edge.first()["q0"])).cast("int"))
+    return scored.join(edge, by).withColumn("is_outlier", (F.col(out) > F.col("q0")).cast("int")).drop("q0")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.hashing import unit_point, unit_point_column
+from ..functions.hashing import gauss_column, unit_point
 from .aggregates import column_ranges
 
 _CACHED_POINTS = 50_000
@@ -36,8 +36,10 @@ def great_circle(dim: int, seed, col: str) -> tuple[np.ndarray, np.ndarray]:
 def category_points(values: DataFrame, col: str, dim: int, seed=42, column_name: str | None = None,
                     out: str = "point") -> DataFrame:
     """``(col, point)`` for every distinct present category."""
-    return values.select(col).filter(F.col(col).isNotNull()).distinct().withColumn(
-        out, unit_point_column(dim, seed, column_name or col, F.col(col)))
+    raw = values.select(col).filter(F.col(col).isNotNull()).distinct().withColumn(
+        "_raw", gauss_column(dim, seed, column_name or col, F.col(col)))
+    size = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x * x))
+    return raw.withColumn("_size", size).select(col, F.transform("_raw", lambda x: x / F.col("_size")).alias(out))
 
 
 def arc_angle(col: str, low, high) -> Column:
