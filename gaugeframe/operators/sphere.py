@@ -92,7 +92,7 @@ class SphereModel:
                     pairs = np.array([ranges.get((g, c), (np.nan, np.nan)) for g in found], dtype=float)
                     lo, hi = pairs[codes, 0], pairs[codes, 1]
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    a = math.pi * (0.8 * (x - lo) / (hi - lo) + 0.1)
+                    a = math.pi * (0.8 * ((x - lo) / (hi - lo)) + 0.1)
                 ok = np.isfinite(a)
                 point, turn = axes[c]
                 total[ok] += np.sin(a[ok])[:, None] * point + np.cos(a[ok])[:, None] * turn

@@ -31,7 +31,7 @@ def sphere_sql(source: str, key: str, numeric: list[str], categorical: list[str]
     for c in numeric:
         pick = f"{by}, " if by else ""
         parts.append(f"""SELECT s.{key}, i, CASE WHEN s.{c} IS NOT NULL AND hi > lo THEN
-          sin(pi()*(0.8*(s.{c}-lo)/(hi-lo)+0.1))*p + cos(pi()*(0.8*(s.{c}-lo)/(hi-lo)+0.1))*t ELSE 0 END AS val
+          sin(pi()*(0.8*((s.{c}-lo)/(hi-lo))+0.1))*p + cos(pi()*(0.8*((s.{c}-lo)/(hi-lo))+0.1))*t ELSE 0 END AS val
           FROM ({source}) s JOIN (SELECT {pick}min({c}) AS lo, max({c}) AS hi FROM ({source}) WHERE {train} {group}) m ON {match},
           ({axis_sql(c, dim)})""")
     for c in categorical:
