@@ -62,8 +62,9 @@ def random_target(distribution: str, row_id: str, target: int = 0, seed: int = 4
             mass = [math.comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(n + 1)]
         else:
             mass = [math.exp(-lam + k * math.log(lam) - math.lgamma(k + 1)) for k in range(int(lam + 12 * math.sqrt(lam) + 30))]
-        steps = [float(c) for c in np.cumsum(mass)[:-1]]
-        return F.size(F.filter(F.lit(steps), lambda c: u >= c)).cast("double")
+        steps = F.lit([float(c) for c in np.cumsum(mass)[:-1]])
+        # the draw is bound once, so it is not hashed again for every step
+        return F.transform(F.array(u), lambda v: F.size(F.filter(steps, lambda c: v >= c)).cast("double"))[0]
     raise ValueError(f"no distribution '{distribution}'")
 
 

@@ -32,44 +32,78 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str, by: Sequence[str]
             .withColumn(out, (F.col(out) + F.col("_start")).cast("bigint")).drop("_slice", "_start"))
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                    one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """Rows ``(*by, column, q0, q1, …)``: linearly interpolated quantiles of the non-missing values of each column.
+def quantile_arrays(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
+                    one_task_rows: int = ONE_TASK_ROWS, bins: int = 8192) -> DataFrame:
+    """Rows ``(*by, column, q)``: exact, linearly interpolated quantiles of the finite values of each column.
 
-    Groups up to ``one_task_rows`` rows use Spark's exact ``percentile``; beyond that only the range slices that hold
-    a wanted rank are ordered.
+    While a group holds more rows than one task should order, values are counted in equal-width bins and only the bins
+    that hold a wanted rank are kept and cut again; the full data is scanned but never sorted or shuffled. Equal values
+    collapse to one counted row before the last, small ordering.
     """
-    by = list(by)
-    long = df.select(*by, F.explode(F.map_from_arrays(
-        F.array(*[F.lit(c) for c in cols]),
-        F.array(*[F.col(c).cast("double") for c in cols]))).alias("column", "value"))
-    long = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    keys = by + ["column"]
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] if by else df.count()
-    if (largest or 0) <= one_task_rows:
-        return long.groupBy(*keys).agg(
-            *[F.percentile("value", F.lit(float(p))).alias(f"q{i}") for i, p in enumerate(probs)])
-    counts = long.groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    cut = stage(counts.repartitionByRange(*keys, "value").withColumn("slice", F.spark_partition_id()), "quantile")
-    totals = cut.groupBy(*keys, "slice").agg(F.sum("n").alias("held"))
-    before = W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
-    totals = totals.select(*keys, "slice", "held", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"),
-                           F.sum("held").over(whole).alias("total"))
-    rank = lambda p: F.lit(float(p)) * (F.col("total") - 1)
-    wanted = F.array(*[f(rank(p)).cast("bigint") for p in probs for f in (F.floor, F.ceil)])
-    hit = F.exists(wanted, lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("held")))
-    rows = cut.join(totals.filter(hit), keys + ["slice"])
-    upto = W.partitionBy(*keys, "slice").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("last", F.col("start") + F.sum("n").over(upto)).withColumn("first", F.col("last") - F.col("n"))
+    by, probs = list(by), [float(p) for p in probs]
+    keys = ["_key", "column"]
+    long = df.select(F.struct(*(by or [F.lit(0).alias("all")])).alias("_key"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])))
+    long = long.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
+    totals = stage(long.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")),
+                   "quantile-totals")
+    marks = totals.select(*keys, "n", F.posexplode(F.lit(probs)).alias("i", "p")).withColumn("at", F.col("p") * (F.col("n") - 1))
+    marks = marks.select(*keys, "i", F.floor("at").alias("below"), F.ceil("at").alias("above"),
+                         (F.col("at") - F.floor("at")).alias("share"))
+    ranks = marks.select(*keys, F.explode(F.array("below", "above")).alias("r")).distinct()
+    rows = long.withColumn("seg", F.lit(""))
+    segs = totals.select(*keys, F.lit("").alias("seg"), "lo", "hi", F.lit(0).cast("bigint").alias("start"), "n")
+    seg_keys = [*keys, "seg"]
+    biggest = segs.agg(F.max("n")).first()[0] or 0
+    while biggest > one_task_rows:
+        place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor(
+            (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("int"))).otherwise(F.lit(0))
+        placed = rows.join(segs.drop("n"), seg_keys).withColumn("bin", place)
+        hist = placed.groupBy(*seg_keys, "bin").agg(F.count("*").alias("n"), F.min("value").alias("lo"),
+                                                    F.max("value").alias("hi"), F.first("start").alias("start"))
+        ahead = W.partitionBy(*seg_keys).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+        hist = hist.withColumn("start", F.col("start") + F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+        wanted = ranks.select(F.col("_key").alias("_k"), F.col("column").alias("_c"), "r")
+        hist = hist.join(wanted, (F.col("_key") == F.col("_k")) & (F.col("column") == F.col("_c")) &
+                         (F.col("r") >= F.col("start")) & (F.col("r") < F.col("start") + F.col("n")), "left_semi")
+        deeper = F.concat_ws("/", "seg", F.col("bin").cast("string")).alias("seg")
+        cut = stage(hist.select(*keys, deeper, "lo", "hi", "start", "n"), "quantile-bins")
+        rows = stage(placed.select(*keys, deeper, "value").join(cut.select(*seg_keys), seg_keys, "left_semi"), "quantile-rows")
+        segs = cut
+        biggest = segs.filter("hi > lo").agg(F.max("n")).first()[0] or 0
+    counts = rows.groupBy(*seg_keys, "value").agg(F.count("*").alias("n")).join(segs.select(*seg_keys, "start"), seg_keys)
+    ahead = W.partitionBy(*seg_keys).orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    points = counts.select(*seg_keys, (F.col("start") + F.coalesce(F.sum("n").over(ahead), F.lit(0))).alias("pos"),
+                           "value", F.lit(0).alias("mark"))
+    asked = ranks.join(segs.select(*seg_keys, "start", "n"), keys).filter(
+        (F.col("r") >= F.col("start")) & (F.col("r") < F.col("start") + F.col("n")))
+    asked = asked.select(*seg_keys, F.col("r").alias("pos"), F.lit(None).cast("double").alias("value"), F.lit(1).alias("mark"))
+    upto = W.partitionBy(*seg_keys).orderBy("pos", "mark").rowsBetween(W.unboundedPreceding, 0)
+    found = points.unionByName(asked).withColumn("value", F.last("value", ignorenulls=True).over(upto)).filter("mark = 1")
+    ends = marks.select(*keys, "i", "share", F.explode(F.array(
+        F.struct(F.col("below").alias("pos"), F.lit(0).alias("end")), F.struct(F.col("above").alias("pos"), F.lit(1).alias("end")))).alias("e"))
+    ends = ends.select(*keys, "i", "share", "e.*").join(found.select(*keys, "pos", "value"), [*keys, "pos"])
+    low, high = F.max(F.when(F.col("end") == 0, F.col("value"))), F.max(F.when(F.col("end") == 1, F.col("value")))
+    each = ends.groupBy(*keys, "i").agg((low + (high - low) * F.max("share")).alias("v"))
+    listed = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))
+    return listed.select(*[F.col("_key")[c].alias(c) for c in by], "column", "q")
 
-    def at(r):
-        r = r.cast("bigint")
-        return F.max(F.when((r >= F.col("first")) & (r < F.col("last")), F.col("value")))
 
-    def blend(p):
-        lo, hi = at(F.floor(rank(p))), at(F.ceil(rank(p)))
-        share = F.max(rank(p) - F.floor(rank(p)))
-        return lo + (hi - lo) * share
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
+                    one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """Rows ``(*by, column, q0, q1, …)``: exact quantiles of the finite values of each column.
 
-    return rows.groupBy(*keys).agg(*[blend(p).alias(f"q{i}") for i, p in enumerate(probs)])
+    Groups of at most ``one_task_rows`` rows use Spark's ``percentile``; larger ones go through
+    :func:`quantile_arrays`.
+    """
+    by = list(by)
+    largest = (df.groupBy(*by).count().agg(F.max("count")).first()[0] if by else df.count()) or 0
+    if largest > one_task_rows:
+        got = quantile_arrays(df, cols, probs, by, one_task_rows)
+        return got.select(*by, "column", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))])
+    wanted = F.lit([float(p) for p in probs])
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    wide = df.groupBy(*by).agg(*[F.percentile(finite(F.col(c).cast("double")), wanted).alias(f"_q{i}") for i, c in enumerate(cols)])
+    rows = wide.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_q{i}").alias("q"))
+                                               for i, c in enumerate(cols)])))
+    return rows.select(*by, "column", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))])

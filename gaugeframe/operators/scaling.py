@@ -15,11 +15,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.hashing import gauss
-from .ranks import ONE_TASK_ROWS, exact_quantiles
+from .ranks import ONE_TASK_ROWS, exact_quantiles, quantile_arrays
 
 NORMAL_IQR = 1.3489795003921634  # fixed value: inter-quartile range of the standard normal
 PROB_FLOOR = 1e-7  # fixed value: probabilities closer to 0 or 1 are clipped before the normal inverse
-_COLS_PER_PASS = 32
 
 
 class _Affine:
@@ -63,10 +62,12 @@ def standardise_by_group(df: DataFrame, cols: Sequence[str], by: Sequence[str],
     return out.drop(*[f"_{k}_{c}" for c in cols for k in "ms"])
 
 
-def yeo_johnson(x: Column, lam: float) -> Column:
-    """The power transform for one exponent."""
-    right = F.log1p(x) if abs(lam) < 1e-12 else (F.pow(x + 1.0, F.lit(lam)) - 1.0) / lam
-    left = -F.log1p(-x) if abs(lam - 2.0) < 1e-12 else -(F.pow(1.0 - x, F.lit(2.0 - lam)) - 1.0) / (2.0 - lam)
+def yeo_johnson(x: Column, lam: float | Column) -> Column:
+    """The power transform for an exponent."""
+    lam = lam if isinstance(lam, Column) else F.lit(float(lam))
+    two = F.lit(2.0) - lam
+    right = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise(F.try_divide(F.pow(x + 1.0, lam) - 1.0, lam))
+    left = F.when(F.abs(two) < 1e-12, -F.log1p(-x)).otherwise(-F.try_divide(F.pow(1.0 - x, two) - 1.0, two))
     return F.when(x >= 0, right).otherwise(left)
 
 
@@ -82,41 +83,75 @@ class Power(_Affine):
         return (y - F.lit(self.mean[col])) / F.lit(self.scale[col])
 
 
-def fit_power(df: DataFrame, cols: Sequence[str], low: float = -4.0, high: float = 4.0, points: int = 9,
-              passes: int = 5) -> Power:
-    """Yeo-Johnson exponent by maximum profile likelihood, then standardisation.
+def _yeo_johnson_values(x: np.ndarray, lam: float) -> np.ndarray:
+    out = np.empty_like(x)
+    up = x >= 0
+    out[up] = np.log1p(x[up]) if abs(lam) < 1e-12 else (np.power(x[up] + 1.0, lam) - 1.0) / lam
+    two = 2.0 - lam
+    out[~up] = -np.log1p(-x[~up]) if abs(two) < 1e-12 else -(np.power(1.0 - x[~up], two) - 1.0) / two
+    return out
+
+
+def _power_moments(df: DataFrame, grid: dict, centre: dict) -> dict:
+    """(column, grid index) -> (n, log-Jacobian sum, mean, variance) of the transformed values, in one pass.
 
-    Each pass scores a grid of exponents for many columns in one aggregation and zooms in on the best cell; with the
-    defaults the exponent is located to about 0.0005.
+    A task sums its own batches around a common centre and emits one row per column and exponent.
     """
-    lam, mean, scale = {}, {}, {}
-    for s in range(0, len(cols), _COLS_PER_PASS):
-        part = list(cols[s:s + _COLS_PER_PASS])
-        span = {c: (low, high) for c in part}
-        for _ in range(passes):
-            grid = {c: np.linspace(*span[c], points) for c in part}
-            aggs = []
-            for i, c in enumerate(part):
-                x = F.col(c).cast("double")
-                aggs += [F.count(x).alias(f"n{i}"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"j{i}")]
-                aggs += [F.var_pop(yeo_johnson(x, float(v))).alias(f"v{i}_{g}") for g, v in enumerate(grid[c])]
-            got = df.agg(*aggs).first()
-            for i, c in enumerate(part):
-                var = np.array([got[f"v{i}_{g}"] or 0.0 for g in range(points)], dtype=float)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    fit = -0.5 * got[f"n{i}"] * np.log(var) + (grid[c] - 1.0) * (got[f"j{i}"] or 0.0)
-                if not np.isfinite(fit).any() or (var <= 0).all():
-                    span[c] = (1.0, 1.0)
+    cols = list(grid)
+
+    def run(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for i, c in enumerate(cols):
+                x = pdf[f"x{i}"].to_numpy(dtype=float)
+                x = x[np.isfinite(x)]
+                if not len(x):
                     continue
-                best = int(np.nanargmax(np.where(np.isfinite(fit), fit, -np.inf)))
-                step = grid[c][1] - grid[c][0]
-                span[c] = (grid[c][best] - step, grid[c][best] + step)
-        lam.update({c: float(sum(span[c]) / 2) for c in part})
-        got = df.agg(*[f(yeo_johnson(F.col(c).cast("double"), lam[c])).alias(f"{n}{i}") for i, c in enumerate(part)
-                       for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-        mean.update({c: got[f"m{i}"] or 0.0 for i, c in enumerate(part)})
-        scale.update({c: got[f"s{i}"] or 1.0 for i, c in enumerate(part)})
-    return Power(tuple(cols), lam, mean, scale)
+                jac = float((np.sign(x) * np.log1p(np.abs(x))).sum())
+                for g, lam in enumerate(grid[c]):
+                    y = _yeo_johnson_values(x, float(lam)) - _yeo_johnson_values(np.array([centre[c]]), float(lam))[0]
+                    add = np.array([len(x), jac, y.sum(), (y * y).sum()])
+                    sums[(c, g)] = sums[(c, g)] + add if (c, g) in sums else add
+        yield pd.DataFrame([(c, g, *v) for (c, g), v in sums.items()], columns=["column", "g", "n", "j", "s1", "s2"])
+
+    slim = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    rows = slim.mapInPandas(run, "column string, g int, n double, j double, s1 double, s2 double")
+    out = {}
+    for r in rows.groupBy("column", "g").agg(*[F.sum(z).alias(z) for z in ("n", "j", "s1", "s2")]).collect():
+        base = _yeo_johnson_values(np.array([centre[r["column"]]]), float(grid[r["column"]][r["g"]]))[0]
+        shift = r["s1"] / r["n"]
+        out[(r["column"], r["g"])] = (r["n"], r["j"], base + shift, max(0.0, r["s2"] / r["n"] - shift * shift))
+    return out
+
+
+def fit_power(df: DataFrame, cols: Sequence[str], low: float = -4.0, high: float = 4.0, points: int = 17,
+              passes: int = 4) -> Power:
+    """Yeo-Johnson exponent by maximum profile likelihood, then standardisation.
+
+    A pass scores a grid of exponents for all columns and zooms in on the best cell; with the defaults the exponent is
+    located to about 0.001.
+    """
+    cols = list(cols)
+    got = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    centre = {c: got[i] or 0.0 for i, c in enumerate(cols)}
+    span = {c: (low, high) for c in cols}
+    for _ in range(passes):
+        grid = {c: np.linspace(*span[c], points) for c in cols}
+        found = _power_moments(df, grid, centre)
+        for c in cols:
+            rows = [found[(c, g)] for g in range(points) if (c, g) in found]
+            if not rows or not any(r[3] > 0 for r in rows):
+                span[c] = (1.0, 1.0)
+                continue
+            with np.errstate(divide="ignore"):
+                fit = np.array([-0.5 * n * np.log(var) + (grid[c][g] - 1.0) * j for g, (n, j, _, var) in enumerate(rows)])
+            best = int(np.argmax(np.where(np.isfinite(fit), fit, -np.inf)))
+            step = grid[c][1] - grid[c][0]
+            span[c] = (grid[c][best] - step, grid[c][best] + step)
+    lam = {c: float(sum(span[c]) / 2) for c in cols}
+    last = _power_moments(df, {c: [v] for c, v in lam.items()}, centre)
+    return Power(tuple(cols), lam, {c: last[(c, 0)][2] if (c, 0) in last else 0.0 for c in cols},
+                 {c: (last[(c, 0)][3] ** 0.5 if (c, 0) in last else 0.0) or 1.0 for c in cols})
 
 
 _inverse = NormalDist().inv_cdf
@@ -152,16 +187,12 @@ class QuantileNormal(_Affine):
 
 
 def fit_quantile_normal(df: DataFrame, cols: Sequence[str], landmarks: int = 1000,
-                        one_task_rows: int = ONE_TASK_ROWS) -> QuantileNormal:
-    """Empirical quantiles at evenly spaced probabilities; exact up to ``one_task_rows`` rows, a sketch with relative
-    rank error 1e-4 beyond (the transform itself interpolates between landmarks)."""
-    n = df.count()
-    landmarks = int(max(2, min(landmarks, n)))
+                        one_task_rows: int = 100_000) -> QuantileNormal:
+    """Exact empirical quantiles at evenly spaced probabilities; the transform interpolates between them."""
+    landmarks = int(max(2, min(landmarks, df.count())))
     probs = [float(p) for p in np.linspace(0.0, 1.0, landmarks)]
-    fn = (lambda c: F.percentile(c, F.array(*map(F.lit, probs)))) if n <= one_task_rows else \
-        (lambda c: F.percentile_approx(c, probs, 10_000))
-    got = df.agg(*[fn(F.col(c).cast("double")).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-    return QuantileNormal(tuple(cols), {c: tuple(np.maximum.accumulate(got[i])) for i, c in enumerate(cols)})
+    got = {r["column"]: r["q"] for r in quantile_arrays(df, cols, probs, one_task_rows=one_task_rows).collect()}
+    return QuantileNormal(tuple(cols), {c: tuple(np.maximum.accumulate(got[c])) for c in cols})
 
 
 @dataclass(frozen=True)

@@ -44,7 +44,8 @@ def outlier_report(results: DataFrame, name_mapping: Mapping[str, str] | None =
 
 def supervised_report(results: DataFrame, name_mapping: Mapping[str, str] | None = None,
                       models_to_keep: Sequence[str] | None = None, folder: str | None = None,
-                      multiclass_metric: str = "auc_score_ovr") -> dict[str, DataFrame]:
+                      multiclass_metric: str = "auc_score_ovr",
+                      tasks: Sequence[str] = ("binary", "multiclass", "regression")) -> dict[str, DataFrame]:
     """Per task type: coverage cleaning, best score per configuration, description."""
     results = _chosen(results, name_mapping, models_to_keep)
     keys = _KEYS + ["time_to_compute_embedding"]
@@ -56,7 +57,7 @@ def supervised_report(results: DataFrame, name_mapping: Mapping[str, str] | None
     for name, task, metric, lower in (("binary", BINARY, "auc_score", False),
                                       ("multiclass", MULTICLASS, multiclass_metric, False),
                                       ("regression", REGRESSION, "mape_score", True)):
-        if metric not in results.columns:
+        if name not in tasks or metric not in results.columns:
             continue
         kept, _ = clean_results(parts[task])
         tables[f"{name}_descriptive"] = describe_results(best_score(kept, keys, metric, lower), metric)

@@ -50,7 +50,7 @@ ORDER_SOURCE = """SELECT o_orderkey, CASE WHEN o_custkey%13<>0 THEN o_totalprice
 
 def order_features(t):
     from ..operators.encoding import resolve_kinds
-    rows = t.orders.select("o_orderkey", F.when(F.col("o_custkey") % 13 != 0, F.col("o_totalprice")).alias("o_totalprice"), "o_orderdate",
+    rows = t.wide("orders").select("o_orderkey", F.when(F.col("o_custkey") % 13 != 0, F.col("o_totalprice")).alias("o_totalprice"), "o_orderdate",
                            F.when(F.col("o_custkey") % 17 != 0, F.col("o_orderpriority")).alias("o_orderpriority"), "o_orderstatus")
     kinds = resolve_kinds(rows, rows.columns[1:], ["o_orderstatus"])
     return kinds.apply(rows, ["o_orderkey"]), kinds
@@ -118,7 +118,7 @@ def concatenated_views(t):
 @query("leave_one_column_out")
 def leave_one_column_out(t):
     from ..operators.gram import ColumnPredictors
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("features"))
+    rows = t.wide("lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("features"))
     model = ColumnPredictors(rows)
     return spread(spread(model.views(model.predict(rows)).drop("features"), "embedding", 4), "predicted", 4, "p")
 
@@ -137,7 +137,7 @@ def _steps(cdf):
   FROM (SELECT o_orderkey, {_U} AS u FROM orders)""")
 def random_targets(t):
     kinds = ("standard_normal", *emb.DISCRETE)
-    rows = t.orders.select("o_orderkey", emb.constant_target().alias("constant"),
+    rows = t.wide("orders").select("o_orderkey", emb.constant_target().alias("constant"),
                            *[emb.random_target(k, "o_orderkey", seed=SEED).alias(k) for k in kinds])
     return rounded(rows, "standard_normal")
 

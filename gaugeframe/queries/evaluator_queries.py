@@ -100,7 +100,7 @@ def local_outlier_factor_per_dataset(t):
 
 def _line_vectors(t):
     key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    return t.lineitem.select(key.alias("k"), F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("embedding"))
+    return t.wide("lineitem").select(key.alias("k"), F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("embedding"))
 
 
 @query("isolation_forest")

@@ -257,17 +257,17 @@ def _supervised_sql(task: str, metric: str, fn: str) -> str:
 
 @query("supervised_report_binary", _supervised_sql("Supervised Binary Classification", "auc_score", "max"))
 def supervised_report_binary(t):
-    return _report(reports.supervised_report(result_lines(t), multiclass_metric="auc_score")["binary_descriptive"], "auc_score")
+    return _report(reports.supervised_report(result_lines(t), multiclass_metric="auc_score", tasks=["binary"])["binary_descriptive"], "auc_score")
 
 
 @query("supervised_report_multiclass", _supervised_sql("Supervised Multiclass Classification", "auc_score", "max"))
 def supervised_report_multiclass(t):
-    return _report(reports.supervised_report(result_lines(t), multiclass_metric="auc_score")["multiclass_descriptive"], "auc_score")
+    return _report(reports.supervised_report(result_lines(t), multiclass_metric="auc_score", tasks=["multiclass"])["multiclass_descriptive"], "auc_score")
 
 
 @query("supervised_report_regression", _supervised_sql("Supervised Regression", "mape_score", "min"))
 def supervised_report_regression(t):
-    return _report(reports.supervised_report(result_lines(t), multiclass_metric="auc_score")["regression_descriptive"], "mape_score")
+    return _report(reports.supervised_report(result_lines(t), multiclass_metric="auc_score", tasks=["regression"])["regression_descriptive"], "mape_score")
 
 
 # ---- readers and writers -----------------------------------------------------------------------------------------

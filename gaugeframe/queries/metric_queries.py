@@ -12,7 +12,7 @@ _BINARY = """SELECT l_returnflag, l_linestatus, (l_linestatus='F')::INT AS y, l_
 
 
 def _binary(t):
-    return t.lineitem.select("l_returnflag", "l_linestatus", (F.col("l_linestatus") == "F").cast("int").alias("y"),
+    return t.wide("lineitem").select("l_returnflag", "l_linestatus", (F.col("l_linestatus") == "F").cast("int").alias("y"),
                              (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("price"), F.col("l_discount").alias("tied"))
 
 
@@ -45,7 +45,7 @@ _MULTI = """SELECT l_linestatus, (CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THE
 def _multi(t):
     a, b, c = F.col("l_quantity"), F.col("l_extendedprice") / 2000, 1 + (F.col("l_discount") + F.col("l_tax")) * 200
     y = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    return t.lineitem.select("l_linestatus", y.alias("y"), F.array(a / (a + b + c), b / (a + b + c), c / (a + b + c)).alias("proba"))
+    return t.wide("lineitem").select("l_linestatus", y.alias("y"), F.array(a / (a + b + c), b / (a + b + c), c / (a + b + c)).alias("proba"))
 
 
 _OVR = f"""SELECT l_linestatus, c, auc_score, n FROM ({auc_sql(
@@ -81,7 +81,7 @@ _REG = f"""SELECT o_orderpriority, o_totalprice AS y, o_totalprice*(0.9+0.2*{u_s
 
 
 def _regression(t):
-    return t.orders.select("o_orderpriority", F.col("o_totalprice").alias("y"),
+    return t.wide("orders").select("o_orderpriority", F.col("o_totalprice").alias("y"),
                            (F.col("o_totalprice") * (0.9 + 0.2 * uniform(7, F.col("o_orderkey")))).alias("prediction"))
 
 
@@ -117,7 +117,7 @@ _CALLED = """SELECT l_linestatus, (CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' TH
 def f1_weighted(t):
     y = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     p = F.when(F.col("l_quantity") < 10, 0).when(F.col("l_discount") < 0.05, 1).otherwise(2)
-    rows = t.lineitem.select("l_linestatus", y.alias("y"), p.alias("prediction"))
+    rows = t.wide("lineitem").select("l_linestatus", y.alias("y"), p.alias("prediction"))
     return rounded(met.f1_weighted(rows, ["l_linestatus"]), "f1_weighted")
 
 

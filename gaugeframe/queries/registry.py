@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
+from ..sources.tables import widen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +23,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def wide(self, name: str) -> DataFrame:
+        """The table for work that is heavy per row, spread over all cores."""
+        return widen(getattr(self, name))
+
 
 def query(name: str, sql: str | None = None):
     def register(fn):
@@ -82,7 +87,7 @@ def role_sql(seed: int, key: str, per_mille: int = 200) -> str:
 def result_lines(t: Tables) -> DataFrame:
     """Benchmark result lines derived from ``lineitem``: one line per order line."""
     part = F.col("l_partkey")
-    return t.lineitem.select(
+    return t.wide("lineitem").select(
         F.concat(F.lit("model_"), F.col("l_returnflag")).alias("embedding_model"),
         F.concat(F.lit("d"), part.cast("string")).alias("dataset_name"),
         F.concat(F.lit("algo_"), F.col("l_linenumber").cast("string")).alias("algorithm"),

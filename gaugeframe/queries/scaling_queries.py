@@ -12,7 +12,7 @@ _K = ", ".join(_KEYS)
 
 
 def _slim(t):
-    return t.lineitem.select(*_KEYS, *_COLS)
+    return t.wide("lineitem").select(*_KEYS, *_COLS)
 
 
 @query("standard_scaling", "SELECT " + _K + ", " + ", ".join(
@@ -71,7 +71,7 @@ def quantile_normal_scaling(t):
 
 @query("smoothed_quantile_scaling")
 def smoothed_quantile_scaling(t):
-    rows = t.orders.select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey"))
+    rows = t.wide("orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey"))
     return rounded(scl.fit_outlier_scaling(rows, ["o_totalprice", "o_custkey"], "quantile_rtdl", "o_orderkey").apply(rows),
                    "o_totalprice", "o_custkey")
 

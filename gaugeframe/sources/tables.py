@@ -16,6 +16,16 @@ COLLECTION_SCHEMA = "map<string,struct<selected_task_ids_str:string,selected_tas
 _ARCHIVE_ROWS = 4096
 
 
+def widen(scan: DataFrame) -> DataFrame:
+    """Spread a scan over all cores, by its first column, when its files hold fewer splits than there are cores; a no-op
+    on large tables.
+
+    Meant for plain scans: counting the splits of anything with a shuffle in it would run that shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, scan.columns[0])
+
+
 def read_csv_dataset(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                      key: str | None = None, row_id: str = "row_id") -> DataFrame:
     """A headed CSV file or folder with a ``row_id``: the named key column, or numbers fixed by staging the rows once.
