@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..staging import stage
@@ -85,13 +85,11 @@ def read_collections(spark: SparkSession, path: str) -> DataFrame:
     valid = text.select(F.count_if(F.try_parse_json("value").isNull()).alias("bad")).first()["bad"]
     if valid:
         raise ValueError(f"Invalid JSON format in {path}")
-    parsed = text.select(F.from_json("value", COLLECTION_SCHEMA, {"mode": "FAILFAST"}).alias("m"))
-    rows = parsed.select(F.explode("m").alias("collection", "c")).select("collection", "c.*")
-    lacking = F.col("selected_task_ids_str").isNull() | F.col("selected_task_ids").isNull()
-    try:
-        bad = rows.filter(lacking).limit(1).collect()
-    except PySparkException as e:
-        raise ValueError(f"Schema validation failed for {path}") from e
+    parsed = text.select(F.from_json("value", COLLECTION_SCHEMA).alias("m"))
+    rows = parsed.select(F.explode_outer("m").alias("collection", "c")).select("collection", "c.*")
+    lacking = F.col("collection").isNull() | F.col("selected_task_ids_str").isNull() | F.col("selected_task_ids").isNull() \
+        | F.exists("selected_task_ids", lambda x: x.isNull())
+    bad = rows.filter(lacking).limit(1).collect()
     if bad:
-        raise ValueError(f"Schema validation failed for {path}: {bad[0]['collection']} lacks a field")
+        raise ValueError(f"Schema validation failed for {path}: {bad[0]['collection']} lacks a field or has one of a wrong type")
     return rows
