@@ -53,6 +53,8 @@ def fit_standard(df: DataFrame, cols: Sequence[str]) -> Standard:
 def standardise_by_group(df: DataFrame, cols: Sequence[str], by: Sequence[str],
                          fit_on: DataFrame | None = None) -> DataFrame:
     """Standard scaling with per-dataset parameters; the parameter table is joined, never collected."""
+    if not cols:
+        return df
     source = df if fit_on is None else fit_on
     params = source.groupBy(*by).agg(*[x for c in cols for x in (
         F.avg(F.col(c).cast("double")).alias(f"_m_{c}"), F.stddev_pop(F.col(c).cast("double")).alias(f"_s_{c}"))])

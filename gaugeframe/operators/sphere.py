@@ -154,6 +154,8 @@ def sphere_by_join(df: DataFrame, columns: Sequence[str], categorical: Sequence[
     """Per-dataset sphere embedding for any number of datasets: ranges are joined and each numeric column is first
     mapped to its unit interval, which is all the vectors depend on."""
     numeric = [c for c in columns if c not in categorical]
+    if not numeric:
+        return SphereModel(dim, tuple(columns), tuple(categorical), {}, seed).transform(df, out)
     source = df if fit_on is None else fit_on
     spans = source.groupBy(by).agg(*[f(F.col(c).cast("double")).alias(f"_{n}_{c}") for c in numeric
                                      for n, f in (("lo", F.min), ("hi", F.max))])
