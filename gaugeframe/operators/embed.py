@@ -7,15 +7,17 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.feature import (IDF, PCA, HashingTF, NGram, OneHotEncoder, RegexTokenizer, StringIndexer,
-                                VectorAssembler)
+from pyspark.ml.feature import IDF, PCA, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.hashing import gauss, gauss_matrix, uniform
 from ..functions.vectors import as_double, map_vectors
+from ..staging import stage
 from .aggregates import centroids, vector_mean
 from .encoding import NUMERIC, epoch_seconds
 from .joins import LITERAL_CENTROIDS, centroid_distances, relabel
@@ -207,6 +209,16 @@ LOW_CARDINALITY = 40  # fixed value: text columns up to this many values are one
 TEXT_COMPONENTS = 30  # fixed value: components kept from a high-cardinality text column
 
 
+def trigram_counts(text: str, size: int) -> np.ndarray:
+    """Counts of the lower-cased text's character trigrams, hashed into ``size`` slots; the whole text counts."""
+    chars = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    if len(chars) < 3:
+        return np.zeros(size)
+    mixed = (chars[:-2] * np.uint64(0x9E3779B1) + chars[1:-1]) * np.uint64(0x85EBCA77) + chars[2:]
+    mixed ^= mixed >> np.uint64(29)
+    return np.bincount((mixed % np.uint64(size)).astype(np.int64), minlength=size).astype(float)
+
+
 class TableVectorizer:
     """Type-dispatched vectors: numbers pass, dates unfold, few-valued text is one-hot, other text becomes the leading
     components of its character-trigram weights."""
@@ -215,6 +227,7 @@ class TableVectorizer:
                  components: int = TEXT_COMPONENTS):
         self.columns, self.low, self.hash_size, self.components = list(columns), low_cardinality, hash_size, components
         self.model: PipelineModel | None = None
+        self.hashed: list[str] = []
 
     def _prepared(self, df: DataFrame) -> DataFrame:
         cols = {}
@@ -230,29 +243,39 @@ class TableVectorizer:
                 cols[f"_t_{c}"] = F.coalesce(F.col(c).cast("string"), F.lit(""))
         return df.withColumns(cols)
 
+    def _with_counts(self, ready: DataFrame) -> DataFrame:
+        size = self.hash_size
+
+        @pandas_udf("array<double>")
+        def count(texts: pd.Series) -> pd.Series:
+            return pd.Series([trigram_counts(t, size) for t in texts])
+
+        return ready.withColumns({f"{c}_h": array_to_vector(count(F.col(c))) for c in self.hashed}).drop(*self.hashed)
+
     def fit(self, df: DataFrame) -> TableVectorizer:
         ready = self._prepared(df)
         made = [c for c in ready.columns if c not in df.columns]
         text = [c for c in made if c.startswith("_t_")]
         distinct = ready.agg(*[F.approx_count_distinct(c).alias(c) for c in text]).first().asDict() if text else {}
+        self.hashed = [c for c in text if distinct[c] > self.low]
         stages, parts = [], [c for c in made if not c.startswith("_t_")]
         for c in text:
-            if distinct[c] <= self.low:
+            if c in self.hashed:
+                stages += [IDF(inputCol=f"{c}_h", outputCol=f"{c}_w"),
+                           PCA(k=min(self.components, self.hash_size), inputCol=f"{c}_w", outputCol=f"{c}_v")]
+            else:
                 stages += [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep", stringOrderType="alphabetAsc"),
                            OneHotEncoder(inputCol=f"{c}_i", outputCol=f"{c}_v", dropLast=True, handleInvalid="keep")]
-            else:
-                stages += [RegexTokenizer(inputCol=c, outputCol=f"{c}_c", pattern=".", gaps=False, toLowercase=True),
-                           NGram(n=3, inputCol=f"{c}_c", outputCol=f"{c}_g"),
-                           HashingTF(inputCol=f"{c}_g", outputCol=f"{c}_h", numFeatures=self.hash_size),
-                           IDF(inputCol=f"{c}_h", outputCol=f"{c}_w"),
-                           PCA(k=min(self.components, self.hash_size), inputCol=f"{c}_w", outputCol=f"{c}_v")]
             parts.append(f"{c}_v")
         stages.append(VectorAssembler(inputCols=parts, outputCol="_all"))
-        self.model = Pipeline(stages=stages).fit(ready)
+        fitted_on = self._with_counts(ready)
+        if self.hashed:
+            fitted_on = stage(fitted_on.select(*[c for c in fitted_on.columns if c in made or c.endswith("_h")]), "trigrams")
+        self.model = Pipeline(stages=stages).fit(fitted_on)
         return self
 
     def transform(self, df: DataFrame, out: str = "embedding") -> DataFrame:
         if self.model is None:
             raise ValueError("Model is not fitted.")
-        res = self.model.transform(self._prepared(df))
+        res = self.model.transform(self._with_counts(self._prepared(df)))
         return res.select(*df.columns, vector_to_array("_all").alias(out))

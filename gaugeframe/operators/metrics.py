@@ -79,7 +79,9 @@ def roc_auc(df: DataFrame, by: Sequence[str] = (), label: str = "y", score: str
 
 
 def _exploded(df: DataFrame, keys, label, proba) -> DataFrame:
-    return df.select(*keys, F.col(label).cast("int").alias("_y"), F.posexplode(proba).alias("_class", "score"))
+    # the outer form, because Spark turns the inner one into a second evaluation of the probabilities as a filter
+    return df.select(*keys, F.col(label).cast("int").alias("_y"), F.posexplode_outer(proba).alias("_class", "score")).filter(
+        F.col("_class").isNotNull())
 
 
 def roc_auc_ovr(df: DataFrame, by: Sequence[str] = (), label: str = "y", proba: str = "proba",
@@ -105,7 +107,7 @@ def roc_auc_ovo(df: DataFrame, by: Sequence[str] = (), label: str = "y", proba:
     base, keys = _keyed(df, by)
     own = F.element_at(F.col(proba), F.col(label).cast("int") + 1)
     long = base.select(*keys, F.col(label).cast("int").alias("_y"), own.alias("_own"),
-                       F.posexplode(proba).alias("_other", "_p")).filter(F.col("_y") != F.col("_other"))
+                       F.posexplode_outer(proba).alias("_other", "_p")).filter(F.col("_y") != F.col("_other"))
     sides = long.select(*keys, F.explode(F.array(
         F.struct(F.col("_y").alias("a"), F.col("_other").alias("b"), F.col("_own").alias("score"), F.lit(1).alias("hit")),
         F.struct(F.col("_other").alias("a"), F.col("_y").alias("b"), F.col("_p").alias("score"), F.lit(0).alias("hit")),

@@ -68,7 +68,7 @@ def tree_samples(df: DataFrame, row_id: str, trees: int, max_samples: int, seed:
     unit = lambda *k: (F.xxhash64(*k) / F.lit(float(2 ** 64)) + F.lit(0.5))
     sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
     if by:
-        base = df.join(sizes, by)
+        base = df.join(stage(sizes, "sizes"), by)
     else:
         base = df.withColumn("_n", F.lit(sizes.first()[0]))
     base = stage(base.filter(unit(F.lit(seed), F.lit("pool"), F.col(row_id)) * F.col("_n") < F.lit(float(pool))), "forest-pool")
@@ -207,7 +207,7 @@ def centre_distance(df: DataFrame, vec: str = "embedding", row_id: str = "row_id
         F.nullif(F.sqrt(v * (F.col("_n") - 1) / F.col("_n")), F.lit(0.0)), F.lit(1.0)))
     summary = summary.withColumn("_s", scale).select(*by, "_m", "_s")
     if by:
-        rows = base.join(summary, by)
+        rows = base.join(stage(summary, "centre"), by)
     else:
         s = summary.first()
         rows = base.withColumn("_m", F.lit(list(s["_m"]))).withColumn("_s", F.lit(list(s["_s"])))

@@ -42,7 +42,7 @@ def quantile_arrays(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     """
     by, probs = list(by), [float(p) for p in probs]
     keys = ["_key", "column"]
-    long = df.select(F.struct(*(by or [F.lit(0).alias("all")])).alias("_key"), F.inline(F.array(*[
+    long = df.select(F.struct(*(by or [F.lit(0).alias("all")])).alias("_key"), F.inline_outer(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])))
     long = long.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
     totals = stage(long.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")),
@@ -104,6 +104,6 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     wanted = F.lit([float(p) for p in probs])
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
     wide = df.groupBy(*by).agg(*[F.percentile(finite(F.col(c).cast("double")), wanted).alias(f"_q{i}") for i, c in enumerate(cols)])
-    rows = wide.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_q{i}").alias("q"))
+    rows = wide.select(*by, F.inline_outer(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_q{i}").alias("q"))
                                                for i, c in enumerate(cols)])))
     return rows.select(*by, "column", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))])

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.hashing import gauss
+from ..staging import stage
 from .ranks import ONE_TASK_ROWS, exact_quantiles, quantile_arrays
 
 NORMAL_IQR = 1.3489795003921634  # fixed value: inter-quartile range of the standard normal
@@ -52,13 +53,15 @@ def fit_standard(df: DataFrame, cols: Sequence[str]) -> Standard:
 
 def standardise_by_group(df: DataFrame, cols: Sequence[str], by: Sequence[str],
                          fit_on: DataFrame | None = None) -> DataFrame:
-    """Standard scaling with per-dataset parameters; the parameter table is joined, never collected."""
+    """Standard scaling with per-dataset parameters.
+
+    The parameter table is staged, so its real size decides between a broadcast and a shuffled join."""
     if not cols:
         return df
     source = df if fit_on is None else fit_on
     params = source.groupBy(*by).agg(*[x for c in cols for x in (
         F.avg(F.col(c).cast("double")).alias(f"_m_{c}"), F.stddev_pop(F.col(c).cast("double")).alias(f"_s_{c}"))])
-    out = df.join(params, list(by))
+    out = df.join(stage(params, "scale"), list(by))
     for c in cols:
         out = out.withColumn(c, (F.col(c) - F.col(f"_m_{c}")) / F.coalesce(F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), F.lit(1.0)))
     return out.drop(*[f"_{k}_{c}" for c in cols for k in "ms"])
@@ -134,6 +137,7 @@ def fit_power(df: DataFrame, cols: Sequence[str], low: float = -4.0, high: float
     located to about 0.001.
     """
     cols = list(cols)
+    df = stage(df.select(*cols), "power")  # read once per pass
     got = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     centre = {c: got[i] or 0.0 for i, c in enumerate(cols)}
     span = {c: (low, high) for c in cols}

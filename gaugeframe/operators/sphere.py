@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.hashing import gauss_column, unit_point
+from ..staging import stage
 from .aggregates import column_ranges
 
 _CACHED_POINTS = 50_000
@@ -151,7 +152,8 @@ def fit_sphere(df: DataFrame, columns: Sequence[str], categorical: Sequence[str]
 
 def sphere_by_join(df: DataFrame, columns: Sequence[str], categorical: Sequence[str], by: str, dim: int = 64,
                    seed: int = 42, fit_on: DataFrame | None = None, out: str = "embedding") -> DataFrame:
-    """Per-dataset sphere embedding for any number of datasets: ranges are joined and each numeric column is first
+    """Per-dataset sphere embedding for any number of datasets: the staged ranges are joined (broadcast
+    only when their real size allows) and each numeric column is first
     mapped to its unit interval, which is all the vectors depend on."""
     numeric = [c for c in columns if c not in categorical]
     if not numeric:
@@ -159,7 +161,7 @@ def sphere_by_join(df: DataFrame, columns: Sequence[str], categorical: Sequence[
     source = df if fit_on is None else fit_on
     spans = source.groupBy(by).agg(*[f(F.col(c).cast("double")).alias(f"_{n}_{c}") for c in numeric
                                      for n, f in (("lo", F.min), ("hi", F.max))])
-    unit = df.join(spans, by)
+    unit = df.join(stage(spans, "spans"), by)
     for c in numeric:
         unit = unit.withColumn(c, F.try_divide(F.col(c).cast("double") - F.col(f"_lo_{c}"),
                                                F.col(f"_hi_{c}") - F.col(f"_lo_{c}")))

@@ -56,7 +56,7 @@ def _train(rows: DataFrame) -> DataFrame:
 class SphereEmbedder(Embedder):
     dim: int = 64
     seed: int = 42
-    name: str = "Sphere-Based"
+    name: str = "Sphere"
     max_samples: int | None = None
     max_features: int | None = None
 

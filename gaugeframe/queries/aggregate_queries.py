@@ -94,7 +94,7 @@ CENTROIDS = f"""SELECT label, i, avg(v[i+1]) AS x FROM ({EMB}), range(0,64) r(i)
 @query("cluster_centroids", f"SELECT label AS cluster, i::INT AS i, round(x,6) AS x FROM ({CENTROIDS})")
 def cluster_centroids(t):
     rows = t.embeddings.select(F.when(F.col("label") == 9, -1).otherwise(F.col("label")).alias("cluster"), "embedding")
-    return rounded(agg.centroids(rows).select("cluster", F.posexplode("centroid").alias("i", "x")), "x")
+    return rounded(agg.centroids(rows).select("cluster", F.posexplode_outer("centroid").alias("i", "x")), "x")
 
 
 @query("cluster_sizes_and_weights", """SELECT label AS cluster, count(*) AS n, round(count(*)/sum(count(*)) OVER (),6) AS weight

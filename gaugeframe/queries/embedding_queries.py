@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import embed as emb, sphere as sph
 from ..operators.splits import role_by_hash
+from ..staging import stage
 from .join_queries import points_sql
 from .registry import EMB, g_sql, query, role_sql, rounded, spread, u_sql
 
@@ -84,7 +85,7 @@ def sphere_embedding_by_join(t):
 @query("sphere_category_points", f"SELECT v AS p_brand, i::INT AS i, round(p,6) AS x FROM ({points_sql('SELECT p_brand AS v FROM part', 'p_brand', 16)})")
 def sphere_category_points(t):
     pts = sph.category_points(t.part, "p_brand", 16, SEED)
-    return rounded(pts.select("p_brand", F.posexplode("point").alias("i", "x")), "x")
+    return rounded(pts.select("p_brand", F.posexplode_outer("point").alias("i", "x")), "x")
 
 
 @query("sphere_numeric_arc", wide_sql(sphere_sql("SELECT s_suppkey, CASE WHEN s_nationkey<>3 THEN s_acctbal END AS s_acctbal FROM supplier",
@@ -97,7 +98,7 @@ def sphere_numeric_arc(t):
 
 def _views(t):
     v = F.col("embedding").cast("array<double>")
-    return t.embeddings.select("vec_id", F.posexplode(F.array(*[F.slice(v, 1 + 16 * i, 16) for i in range(4)])).alias("view", "embedding"))
+    return t.embeddings.select("vec_id", F.posexplode_outer(F.array(*[F.slice(v, 1 + 16 * i, 16) for i in range(4)])).alias("view", "embedding"))
 
 
 @query("mean_of_views", "SELECT vec_id, " + ", ".join(f"round((v[{i + 1}]+v[{i + 17}]+v[{i + 33}]+v[{i + 49}])/4,6) AS e{i}" for i in range(16)) + f" FROM ({EMB})")
@@ -159,7 +160,6 @@ def cluster_distance_targets(t):
 def inductive_cluster_labels(t):
     rows = t.embeddings.withColumn("role", role_by_hash("vec_id"))
     train = emb.fit_clusters(rows.filter("role = 'train'"), k=10, far_share=0.05)
-    from ..staging import stage
     train = stage(train.select("vec_id", "embedding", "cluster"), "clusters")
     return emb.assign_clusters(train, rows.filter("role = 'test'"), "vec_id", "embedding")
 
@@ -217,6 +217,6 @@ def table_vectorizer(t):
 
 @query("table_vectorizer_text")
 def table_vectorizer_text(t):
-    rows = t.documents.select("doc_id", "text", "lang")
+    rows = t.wide("documents").select("doc_id", "text", "lang")
     got = emb.TableVectorizer(["text", "lang"], hash_size=256).fit(rows).transform(rows)
     return got.select("doc_id", F.size("embedding").alias("dim"))

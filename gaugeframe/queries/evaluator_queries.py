@@ -31,7 +31,7 @@ def proba_sql(k: int, weights: str, metric: str = "euclidean") -> str:
 
 
 def _long(pred):
-    return rounded(pred.select(F.col("vec_id").alias("q"), F.posexplode("proba").alias("c", "p")), "p")
+    return rounded(pred.select(F.col("vec_id").alias("q"), F.posexplode_outer("proba").alias("c", "p")), "p")
 
 
 @query("knn_classifier_uniform", f"SELECT q, c, round(p,6) AS p FROM ({proba_sql(5, 'uniform')})")

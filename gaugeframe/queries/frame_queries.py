@@ -246,10 +246,10 @@ def infer_categorical_columns(t):
     return enc.infer_categorical(t.lineitem, _CARD)
 
 
-@query("identifier_join", """SELECT o_custkey, string_agg(o_orderkey::VARCHAR, '_' ORDER BY o_orderkey) AS ids FROM orders GROUP BY o_custkey""")
+@query("identifier_join", """SELECT l_orderkey||'_'||l_partkey||'_'||l_suppkey||'_'||l_linenumber AS ids, count(*) AS n FROM lineitem GROUP BY 1""")
 def identifier_join(t):
-    ids = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
-    return ids.select("o_custkey", enc.join_ids("ids").alias("ids"))
+    ids = t.lineitem.select(F.array("l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("bigint")).alias("ids"))
+    return ids.groupBy(enc.join_ids("ids").alias("ids")).agg(F.count("*").alias("n"))
 
 
 # ---- set operations, sorts ---------------------------------------------------------------------------------------

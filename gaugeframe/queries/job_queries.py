@@ -40,7 +40,7 @@ _OUT_EMB = sphere_sql(_OUT, "vec_id", ["c_acctbal"], ["c_nationkey"], 8, by="dat
 _OUT_VEC = f"SELECT vec_id, dataset, y, v FROM (SELECT vec_id, list(e ORDER BY i) AS v FROM ({_OUT_EMB}) GROUP BY vec_id) JOIN ({_OUT}) USING (vec_id)"
 
 
-@query("outlier_benchmark", f"""SELECT 'Sphere-Based' AS embedding_model, dataset AS dataset_name, 'LocalOutlierFactor' AS algorithm,
+@query("outlier_benchmark", f"""SELECT 'Sphere' AS embedding_model, dataset AS dataset_name, 'LocalOutlierFactor' AS algorithm,
   'Outlier Detection' AS task, auc_score, '10' AS algorithm_k, n AS dataset_size, ratio AS outlier_ratio FROM
   ({auc_sql(f"SELECT dataset, y, prediction FROM ({lof_sql(_OUT_VEC, 10, 'dataset')}) JOIN (SELECT vec_id AS key, y FROM ({_OUT})) USING (key)", "dataset", "y", "prediction")
     .replace(", 6) AS auc_score", ", 4) AS auc_score")})
@@ -100,7 +100,7 @@ _OVO = _macro(auc_sql("SELECT run||'#'||a||'#'||b AS rc, (y=a)::INT AS hit, prob
 
 
 @query("supervised_benchmark", f"""WITH vv AS MATERIALIZED ({_RUN_VEC}), pp AS MATERIALIZED ({vote_sql('vv', 5, 3, 'id')})
-  SELECT 'Sphere-Based' AS embedding_model, split_part(run,'|',1) AS dataset_name, split_part(run,'|',2)::INT AS repeat,
+  SELECT 'Sphere' AS embedding_model, split_part(run,'|',1) AS dataset_name, split_part(run,'|',2)::INT AS repeat,
   split_part(run,'|',3)::INT AS fold, 'KNNClassifier' AS algorithm, round(ovr,4) AS auc_score_ovr, round(ovo,4) AS auc_score_ovo, round(ll,4) AS log_loss_score
   FROM (SELECT run, avg(-ln(least(greatest(proba[y+1],2.220446049250313e-16),1-2.220446049250313e-16))) AS ll FROM pp GROUP BY run)
   JOIN (SELECT split_part(rc,'#',1) AS run, avg(auc_score) AS ovr FROM ({_OVR}) GROUP BY 1) USING (run)

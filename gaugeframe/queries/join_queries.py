@@ -109,7 +109,7 @@ def category_vector_lookup(t):
 def rows_by_centroids(t):
     table = centroids(t.embeddings, "embedding", "label").orderBy("label").limit(jn.LITERAL_CENTROIDS + 1).collect()
     far = jn.centroid_distances(t.embeddings, [(r["label"], r["centroid"]) for r in table])
-    return rounded(far.select("vec_id", F.posexplode("distances").alias("cluster", "distance")), "distance")
+    return rounded(far.select("vec_id", F.posexplode_outer("distances").alias("cluster", "distance")), "distance")
 
 
 @query("relabel_clusters", """SELECT vec_id, (CASE WHEN label < 6 THEN label // 2 ELSE -1 END)::INT AS merged FROM embeddings""")

@@ -202,7 +202,7 @@ def test_supervised_job_with_gates_external_and_search(spark, tmp_path):
         lite=True, measure_rank=True, save_to=str(tmp_path / "saved"))
     rows = got.results.collect()
     assert {(r["embedding_model"], r["dataset_name"], r["algorithm"]) for r in rows} == {
-        (m, d, a) for m in ("Sphere-Based", "External") for d in ("d0", "d1") for a in ("KNNClassifier", "Tuned")}
+        (m, d, a) for m in ("Sphere", "External") for d in ("d0", "d1") for a in ("KNNClassifier", "Tuned")}
     assert {r["task"] for r in rows} == {BINARY, MULTICLASS}
     assert got.metadata.filter("rank_me > 0").count() == 4
     assert spark.read.parquet(str(tmp_path / "saved")).count() == len(rows)
