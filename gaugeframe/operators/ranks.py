@@ -1,7 +1,8 @@
-"""Global order without a single-task window: codes, running counts and exact quantiles.
+"""Global order without a single-task window: numbering and exact quantiles.
 
-Rows are range-partitioned by (group, order), staged once, and numbered inside each range slice; the slices' totals
-(one row per slice and group) supply the offsets. A group of any size is therefore spread over many tasks.
+To number rows they are range-partitioned by (group, order), staged once, and numbered inside each range slice; the
+slices' totals (one row per slice and group) supply the offsets. Quantiles come from counted bins. A group of any size is
+therefore spread over many tasks.
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ def quantile_arrays(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     """
     by, probs = list(by), [float(p) for p in probs]
     keys = ["_key", "column"]
-    long = df.select(F.struct(*(by or [F.lit(0).alias("all")])).alias("_key"), F.inline_outer(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])))
+    group = F.struct(*by) if by else F.lit(0)
+    long = df.select(group.alias("_key"), F.inline_outer(F.array(*[
+        F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(cols)])))
     long = long.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
     totals = stage(long.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")),
                    "quantile-totals")
@@ -86,7 +88,8 @@ def quantile_arrays(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     low, high = F.max(F.when(F.col("end") == 0, F.col("value"))), F.max(F.when(F.col("end") == 1, F.col("value")))
     each = ends.groupBy(*keys, "i").agg((low + (high - low) * F.max("share")).alias("v"))
     listed = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))
-    return listed.select(*[F.col("_key")[c].alias(c) for c in by], "column", "q")
+    names = F.array(*[F.lit(c) for c in cols])
+    return listed.select(*[F.col("_key")[c].alias(c) for c in by], F.get(names, F.col("column")).alias("column"), "q")
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),

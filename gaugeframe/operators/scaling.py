@@ -88,13 +88,18 @@ class Power(_Affine):
         return (y - F.lit(self.mean[col])) / F.lit(self.scale[col])
 
 
+def _yeo_johnson_logs(logs: np.ndarray, up: np.ndarray | bool, lam: float) -> np.ndarray:
+    """Transform from ``logs`` = ln(1 + |x|), which every exponent shares."""
+    def side(z, power):
+        return z if abs(power) < 1e-12 else np.expm1(power * z) / power
+
+    if up is True or up is False:
+        return side(logs, lam) if up else -side(logs, 2.0 - lam)
+    return np.where(up, side(logs, lam), -side(logs, 2.0 - lam))
+
+
 def _yeo_johnson_values(x: np.ndarray, lam: float) -> np.ndarray:
-    out = np.empty_like(x)
-    up = x >= 0
-    out[up] = np.log1p(x[up]) if abs(lam) < 1e-12 else (np.power(x[up] + 1.0, lam) - 1.0) / lam
-    two = 2.0 - lam
-    out[~up] = -np.log1p(-x[~up]) if abs(two) < 1e-12 else -(np.power(1.0 - x[~up], two) - 1.0) / two
-    return out
+    return _yeo_johnson_logs(np.log1p(np.abs(x)), x >= 0, lam)
 
 
 def _power_moments(df: DataFrame, grid: dict, centre: dict) -> dict:
@@ -112,9 +117,12 @@ def _power_moments(df: DataFrame, grid: dict, centre: dict) -> dict:
                 x = x[np.isfinite(x)]
                 if not len(x):
                     continue
-                jac = float((np.sign(x) * np.log1p(np.abs(x))).sum())
+                logs, up = np.log1p(np.abs(x)), x >= 0
+                high, low = logs[up], logs[~up]
+                jac = float(high.sum() - low.sum())
                 for g, lam in enumerate(grid[c]):
-                    y = _yeo_johnson_values(x, float(lam)) - _yeo_johnson_values(np.array([centre[c]]), float(lam))[0]
+                    base = _yeo_johnson_values(np.array([centre[c]]), float(lam))[0]
+                    y = np.concatenate([_yeo_johnson_logs(high, True, float(lam)), _yeo_johnson_logs(low, False, float(lam))]) - base
                     add = np.array([len(x), jac, y.sum(), (y * y).sum()])
                     sums[(c, g)] = sums[(c, g)] + add if (c, g) in sums else add
         yield pd.DataFrame([(c, g, *v) for (c, g), v in sums.items()], columns=["column", "g", "n", "j", "s1", "s2"])
