@@ -9,6 +9,9 @@ import __spark_entry__ as driver
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SQL = driver.oracle_sql()
+# six rows per dataset leave single-row datasets whose rows are mathematically equidistant from all others, so the two
+# engines' last bits decide; these queries are compared on the next larger tables
+LARGER = {"separation_benchmark": "/root/testdata/sf0.01"}
 
 
 @pytest.fixture(scope="module")
@@ -18,10 +21,12 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(driver.queries()))
 def test_query(spark, con, name):
-    got = driver.queries()[name](spark, FOLDER).toPandas()
+    folder = LARGER.get(name, FOLDER)
+    got = driver.queries()[name](spark, folder).toPandas()
     assert len(got.columns)
     if name in SQL:
-        assert_same(got, con.sql(SQL[name]).df())
+        db = connect(folder) if folder != FOLDER else con
+        assert_same(got, db.sql(SQL[name]).df())
     else:
         assert len(got)
 
