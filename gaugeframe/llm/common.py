@@ -23,7 +23,8 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
 
 def drop_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` is not among ``ids`` (one column ``key``); rows with a null key stay."""
-    return rows.join(broadcast_if_small(ids.filter(F.col(key).isNotNull()), 64), key, "left_anti").select(rows.columns)
+    return rows.join(broadcast_if_small(ids.filter(F.col(key).isNotNull()), 64), key, "left_anti").select(
+        *[F.col(f"`{c}`") for c in rows.columns])
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -86,9 +86,9 @@ class Lines(HTMLParser):
         self.handle_starttag(tag, attrs)  # a slash at the end means nothing in HTML
 
     def _named(self, tag: str, attrs) -> bool:
-        if tag in ("body", "html", "article", "main") and not any(k == "class" and v and "comment" in v.lower() for k, v in attrs):
-            return False
+        """Whether attributes say that an element is not main text; a page or article is so only as hidden or a comment."""
         inside = any(t in ("article", "main") for t, *_ in self.open)
+        holder = tag in ("body", "html", "article", "main")
         if tag == "header" and not inside:
             return True
         for name, value in attrs:
@@ -98,7 +98,7 @@ class Lines(HTMLParser):
                 return True
             if name in ("class", "id") and value:
                 words = {w.lower() for w in _WORD.findall(value)}
-                if words & NAMES or "header" in words and not inside:
+                if words & ({"comment", "comments"} if holder else NAMES) or "header" in words and not inside and not holder:
                     return True
         return False
 

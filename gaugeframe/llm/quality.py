@@ -225,6 +225,6 @@ def scores(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str
 def keep_good(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows whose score reaches the threshold, all columns as they are."""
     name = "quality_score"
-    while name in docs.columns:
+    while name in map(str.lower, docs.columns):
         name = f"_{name}"
-    return docs.withColumn(name, model.score(F.col(text))).filter(F.col(name) >= threshold).select(docs.columns)
+    return docs.withColumn(name, model.score(F.col(text))).filter(F.col(name) >= threshold).drop(name)
