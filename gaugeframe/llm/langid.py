@@ -182,7 +182,7 @@ def identify(rows: DataFrame, text: str = "text", declared: str = "declared", ho
     fused = fused.withColumn("prob", prob)
     return fused.select(
         *names, F.element_at(codes, F.array_position("lp", F.col("best")).cast("int")).alias("lang"), "prob",
-        F.coalesce(F.element_at(codes, F.col("guess")), F.lit("und")).alias("text_lang"), "declared", "trigrams",
+        F.when(F.col("guess").isNull(), "und").otherwise(F.element_at(codes, F.col("guess"))).alias("text_lang"), "declared", "trigrams",
         ((F.col("trigrams") > 0) & (F.col("prob") >= min_prob)).alias("accepted"))
 
 
