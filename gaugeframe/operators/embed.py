@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.feature import IDF, PCA, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, HashingTF, NGram, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
@@ -20,8 +20,9 @@ from ..functions.vectors import as_double, map_vectors
 from ..staging import stage
 from .aggregates import centroids, vector_mean
 from .encoding import NUMERIC, epoch_seconds
-from .joins import LITERAL_CENTROIDS, centroid_distances, relabel
+from .joins import centroid_distances, relabel
 from .knn import knn_join
+from .ranks import exact_quantiles
 
 # ---- views -----------------------------------------------------------------------------------------------------
 
@@ -90,7 +91,7 @@ def fit_clusters(df: DataFrame, vec: str = "embedding", k: int = 10, seed: int =
         return labelled
     points = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     measured = centroid_distances(labelled, points, vec, "_far").withColumn("_far", F.array_min("_far"))
-    edge = measured.agg(F.percentile_approx("_far", 1.0 - far_share, 10_000)).first()[0]
+    edge = exact_quantiles(measured, ["_far"], (1.0 - far_share,)).first()["q0"]
     return measured.withColumn(out, F.when(F.col("_far") > edge, F.lit(-1)).otherwise(F.col(out))).drop("_far")
 
 
@@ -105,18 +106,16 @@ def assign_clusters(train: DataFrame, new: DataFrame, row_id: str, vec: str, clu
     return votes.groupBy("q").agg(best.alias(cluster))
 
 
-MAX_MERGE_CENTROIDS = 2000
-
-
 def merge_clusters(df: DataFrame, vec: str = "embedding", cluster: str = "cluster", max_clusters: int = 10,
-                   out: str = "merged") -> DataFrame:
+                   out: str = "merged", max_centroids: int = 2000) -> DataFrame:
     """Relabel so that at most ``max_clusters`` remain, merging centroids by Ward's criterion; noise stays -1.
 
-    Centroids are computed on the executors; only their table (one row per cluster, size checked) is merged centrally.
+    Centroids are computed on the executors; their table, one row per cluster, is merged on the driver with a square matrix
+    of costs. ``max_centroids`` is the caller's bound on that matrix: more clusters are an error.
     """
-    rows = centroids(df, vec, cluster).select(cluster, "centroid").orderBy(cluster).limit(MAX_MERGE_CENTROIDS + 1).collect()
-    if len(rows) > MAX_MERGE_CENTROIDS:
-        raise ValueError(f"more than {MAX_MERGE_CENTROIDS} clusters to merge")
+    rows = centroids(df, vec, cluster).select(cluster, "centroid").orderBy(cluster).limit(max_centroids + 1).collect()
+    if len(rows) > max_centroids:
+        raise ValueError(f"more than max_centroids={max_centroids} clusters to merge")
     if len(rows) <= max_clusters:
         return df.withColumn(out, F.col(cluster))
     merged = _ward(np.array([r["centroid"] for r in rows]), max_clusters)
@@ -126,30 +125,32 @@ def merge_clusters(df: DataFrame, vec: str = "embedding", cluster: str = "cluste
 
 
 def _ward(points: np.ndarray, k: int) -> np.ndarray:
-    """Labels 0 … k-1 after joining the pair that least increases the within-cluster sum of squares, repeatedly."""
-    size = np.ones(len(points))
-    group = np.arange(len(points))
-    alive = list(range(len(points)))
-    points = points.astype(float).copy()
-    while len(alive) > k:
-        p, s = points[alive], size[alive]
-        cost = ((p[:, None] - p[None]) ** 2).sum(-1) * (s[:, None] * s[None]) / (s[:, None] + s[None])
-        np.fill_diagonal(cost, np.inf)
-        i, j = np.unravel_index(np.argmin(cost), cost.shape)
-        a, b = alive[min(i, j)], alive[max(i, j)]
-        points[a] = (points[a] * size[a] + points[b] * size[b]) / (size[a] + size[b])
-        size[a] += size[b]
-        group[group == b] = a
-        alive.remove(b)
-    return np.searchsorted(np.array(alive), group)
+    """Labels 0 … k-1 after joining the pair that least increases the within-cluster sum of squares, repeatedly.
+
+    The costs are computed once; a join updates one row of them by the Lance-Williams formula.
+    """
+    n = len(points)
+    size, group, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    square = (points * points).sum(1)
+    cost = np.maximum(square[:, None] + square[None] - 2.0 * points @ points.T, 0.0) / 2.0
+    np.fill_diagonal(cost, np.inf)
+    for _ in range(n - k):
+        i, j = sorted(np.unravel_index(np.argmin(cost), cost.shape))
+        new = ((size + size[i]) * cost[i] + (size + size[j]) * cost[j] - size * cost[i, j]) / (size + size[i] + size[j])
+        new[~alive | (np.arange(n) == i) | (np.arange(n) == j)] = np.inf
+        cost[i], cost[:, i], cost[j], cost[:, j] = new, new, np.inf, np.inf
+        size[i] += size[j]
+        alive[j] = False
+        group[group == j] = i
+    return np.searchsorted(np.flatnonzero(alive), group)
 
 
 def cluster_distance_targets(train: DataFrame, df: DataFrame, metrics: Sequence[str] = ("min",),
                              vec: str = "embedding", cluster: str = "cluster", out: str = "targets") -> DataFrame:
     """Targets from the distances of a row to the train centroids: minus the smallest, minus the size-weighted mean,
     population deviation; the chosen ones as one vector in that order."""
-    table = centroids(train, vec, cluster).orderBy(cluster).limit(LITERAL_CENTROIDS + 1).collect()
-    measured = centroid_distances(df, [(r[cluster], r["centroid"]) for r in table], vec, "_far")
+    table = centroids(train, vec, cluster).orderBy(cluster).collect()  # a row per cluster
+    measured = centroid_distances(df, ((r[cluster], r["centroid"]) for r in table), vec, "_far")
     weights = F.lit([float(r["weight"]) for r in table])
     k = F.lit(float(len(table)))
     mean = F.aggregate("_far", F.lit(0.0), lambda a, x: a + x) / k
@@ -209,14 +210,46 @@ LOW_CARDINALITY = 40  # fixed value: text columns up to this many values are one
 TEXT_COMPONENTS = 30  # fixed value: components kept from a high-cardinality text column
 
 
-def trigram_counts(text: str, size: int) -> np.ndarray:
-    """Counts of the lower-cased text's character trigrams, hashed into ``size`` slots; the whole text counts."""
-    chars = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    if len(chars) < 3:
-        return np.zeros(size)
+def with_trigrams(df: DataFrame, col: str, out: str, size: int) -> DataFrame:
+    """Sparse counts of the lower-cased text's character trigrams, hashed into ``size`` slots; the whole text counts."""
+    chars = df.withColumn("_chars", F.split(F.lower(F.coalesce(F.col(col).cast("string"), F.lit(""))), ""))
+    grams = NGram(n=3, inputCol="_chars", outputCol="_grams").transform(chars)
+    return HashingTF(numFeatures=size, inputCol="_grams", outputCol=out).transform(grams).drop("_chars", "_grams")
+
+
+def _trigram_shares(texts: pd.Series, size: int) -> np.ndarray:
+    """Shares of the lower-cased texts' character trigrams in ``size`` slots, a row per text; all texts in one go."""
+    texts = texts.str.lower()
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    length = texts.str.len().to_numpy(dtype=np.int64)
+    row = np.repeat(np.arange(len(texts)), length)
     mixed = (chars[:-2] * np.uint64(0x9E3779B1) + chars[1:-1]) * np.uint64(0x85EBCA77) + chars[2:]
     mixed ^= mixed >> np.uint64(29)
-    return np.bincount((mixed % np.uint64(size)).astype(np.int64), minlength=size).astype(float)
+    whole = row[:-2] == row[2:]
+    slot = row[:-2][whole] * size + (mixed[whole] % np.uint64(size)).astype(np.int64)
+    counts = np.bincount(slot, minlength=len(texts) * size).reshape(len(texts), size)
+    return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+
+
+def hashed_table_vectors(df: DataFrame, columns: Sequence[str], components: int = TEXT_COMPONENTS, hash_size: int = 1024,
+                         seed: int = 42, out: str = "embedding") -> DataFrame:
+    """Vectors of mixed tables without fitted state: numbers pass, dates unfold, and every text column becomes ``components``
+    random projections of its trigram shares. A row's vector depends on the row alone, so nothing can leak between
+    datasets, folds or train and test rows."""
+    prepared = TableVectorizer(columns)._prepared(df)
+    made = [c for c in prepared.columns if c not in df.columns]
+    text = [c for c in made if c.startswith("_t_")]
+    project = gauss_matrix(hash_size, components, "trigrams", seed) / math.sqrt(components)
+
+    @pandas_udf("array<double>")
+    def projected(texts: pd.Series) -> pd.Series:
+        parts = [_trigram_shares(texts.iloc[at:at + 1000], hash_size) @ project for at in range(0, len(texts), 1000)]
+        return pd.Series([row for part in parts for row in part])
+
+    prepared = prepared.withColumns({f"{c}_v": projected(F.col(c)) for c in text})
+    numbers = [F.col(c) for c in made if c not in text]
+    parts = ([F.array(*numbers)] if numbers else []) + [F.col(f"{c}_v") for c in text]
+    return prepared.select(*df.columns, F.concat(*parts).alias(out))
 
 
 class TableVectorizer:
@@ -244,19 +277,15 @@ class TableVectorizer:
         return df.withColumns(cols)
 
     def _with_counts(self, ready: DataFrame) -> DataFrame:
-        size = self.hash_size
-
-        @pandas_udf("array<double>")
-        def count(texts: pd.Series) -> pd.Series:
-            return pd.Series([trigram_counts(t, size) for t in texts])
-
-        return ready.withColumns({f"{c}_h": array_to_vector(count(F.col(c))) for c in self.hashed}).drop(*self.hashed)
+        for c in self.hashed:
+            ready = with_trigrams(ready, c, f"{c}_h", self.hash_size).drop(c)
+        return ready
 
     def fit(self, df: DataFrame) -> TableVectorizer:
         ready = self._prepared(df)
         made = [c for c in ready.columns if c not in df.columns]
         text = [c for c in made if c.startswith("_t_")]
-        distinct = ready.agg(*[F.approx_count_distinct(c).alias(c) for c in text]).first().asDict() if text else {}
+        distinct = ready.agg(*[F.count_distinct(c).alias(c) for c in text]).first().asDict() if text else {}
         self.hashed = [c for c in text if distinct[c] > self.low]
         stages, parts = [], [c for c in made if not c.startswith("_t_")]
         for c in text:

@@ -103,30 +103,20 @@ def one_hot(code: str, num_classes: int) -> Column:
 
 
 def infer_categorical(df: DataFrame, cols: Sequence[str], provided: Sequence[str] | None = None, *,
-                      min_samples: int = 100, max_unique: int = 30, min_unique: int = 4,
-                      exact_rows: int = 1_000_000) -> DataFrame:
+                      min_samples: int = 100, max_unique: int = 30, min_unique: int = 4) -> DataFrame:
     """Rows ``(column, distinct_values, is_categorical)`` from cardinality alone.
 
     Declared columns stay categorical up to ``max_unique`` values; without a declaration a column is categorical when
-    there are more than ``min_samples`` rows and fewer than ``min_unique`` values. Counting is exact up to
-    ``exact_rows`` rows; beyond, a sketch settles columns far above the thresholds and the rest are counted exactly.
+    there are more than ``min_samples`` rows and fewer than ``min_unique`` values. Values are counted exactly: equal ones
+    collapse in the tasks that read them, the rest in one shuffle.
     """
-    n = df.count()
-    exact = list(cols)
-    counted: dict[str, int] = {}
-    if n > exact_rows:
-        rough = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in cols]).first().asDict()
-        exact = [c for c in cols if rough[c] <= 4 * max(max_unique, min_unique)]
-        counted = {c: rough[c] for c in cols if c not in exact}
-    parts = [F.struct(F.lit(c).alias("column"), F.size(F.collect_set(c)).cast("bigint").alias("distinct_values"))
-             if n > exact_rows else
-             F.struct(F.lit(c).alias("column"), F.count_distinct(c).alias("distinct_values")) for c in exact]
-    parts += [F.struct(F.lit(c).alias("column"), F.lit(v).cast("bigint").alias("distinct_values"))
-              for c, v in counted.items()]
-    table = df.agg(F.array(*parts).alias("s")).select(F.inline("s"))
+    found = df.agg(F.count("*").alias("_rows"), *[F.count_distinct(c).alias(f"_c{i}") for i, c in enumerate(cols)])
+    table = found.select("_rows", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("distinct_values")) for i, c in enumerate(cols)])))
     rule = F.when(F.col("column").isin(list(provided or [])), F.col("distinct_values") <= max_unique)
-    default = F.lit(False) if provided is not None else (F.lit(n > min_samples) & (F.col("distinct_values") < min_unique))
-    return table.withColumn("is_categorical", rule.otherwise(default))
+    default = F.lit(False) if provided is not None else (
+        (F.col("_rows") > min_samples) & (F.col("distinct_values") < min_unique))
+    return table.withColumn("is_categorical", rule.otherwise(default)).drop("_rows")
 
 
 def join_ids(ids: str, sep: str = "_") -> Column:

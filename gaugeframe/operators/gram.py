@@ -12,16 +12,16 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.vectors import as_double, map_vectors, stack_vectors
 from .knn import _group_iter
 
-MAX_DIM = 4096
 _HELD_BYTES = 256 * 1024 * 1024
 _FAN_IN = 16
 
 
-def gram_matrices(df: DataFrame, vec: str = "embedding", by: Sequence[str] = ()) -> DataFrame:
+def gram_matrices(df: DataFrame, vec: str = "embedding", by: Sequence[str] = (), max_dim: int = 8192) -> DataFrame:
     """``(*by, n, dim, gram)``: row count and packed sum of outer products per group.
 
     Every task sums its own rows; the partial matrices are then added in two bounded steps, so a group of any size is
-    spread over all tasks and no task holds more than a few matrices at a time.
+    spread over all tasks and no task holds more than a few matrices at a time. ``max_dim`` is the caller's bound on one
+    such matrix (8 bytes times its square); longer vectors are an error.
     """
     by = list(by)
     schema = T.StructType([df.schema[c] for c in by] + [
@@ -42,8 +42,8 @@ def gram_matrices(df: DataFrame, vec: str = "embedding", by: Sequence[str] = ())
             for pdf in batches:
                 for key, part in _group_iter(pdf, by):
                     n, g = read(part)
-                    if g.shape[0] > MAX_DIM:
-                        raise ValueError(f"vectors longer than {MAX_DIM} are not supported")
+                    if g.shape[0] > max_dim:
+                        raise ValueError(f"vectors of {g.shape[0]} values exceed max_dim={max_dim}")
                     if key in held:
                         held[key] = (held[key][0] + n, held[key][1] + g)
                     else:
@@ -109,7 +109,7 @@ def alpha_req(df: DataFrame, vec: str = "embedding", by: Sequence[str] = (), eps
     lam = F.filter(F.transform("sigma", lambda s: s * s / F.col("n")), lambda x: x > epsilon)
     values = singular_values(df, vec, by).select(*by, F.posexplode_outer(lam).alias("i", "lam"))
     fit = values.groupBy(*by).agg(F.count("lam").alias("_k"), F.regr_slope(F.ln("lam"), F.ln(F.col("i") + 1)).alias("_s"))
-    message = F.lit("Insufficient non-zero eigenvalues for fitting power law.")
+    message = F.lit("alpha-ReQ needs two eigenvalues above epsilon")
     return fit.select(*by, F.when(F.col("_k") < 2, F.raise_error(message).cast("double"))
                       .otherwise(-F.col("_s")).alias("alpha_req"))
 
@@ -145,4 +145,4 @@ class ColumnPredictors:
             return map_vectors(df, self.vec, out, lambda m: (m - mean) * share)
         if how == "concat":
             return map_vectors(df, self.vec, out, lambda m: ((m - mean)[:, None, :] * w[None]).reshape(len(m), -1))
-        raise NotImplementedError(f"Aggregation '{how}' not implemented")
+        raise NotImplementedError(f"views are joined by mean or concat, not {how}")

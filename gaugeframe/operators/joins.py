@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import itertools
+from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.vectors import map_vectors
 from .admission import model_fits
 
-LITERAL_CENTROIDS = 4096
+CENTROID_BLOCK = 4096
 
 
 def work_plan(profile: DataFrame, models: Sequence[Mapping], evaluators: Sequence[Mapping]) -> DataFrame:
@@ -45,23 +46,27 @@ def lookup_vectors(df: DataFrame, points: DataFrame, col: str, dim: int, out: st
     return df.join(points, col, "left").withColumn(out, F.coalesce(F.col("point"), zeros)).drop("point")
 
 
-def centroid_distances(df: DataFrame, table: Sequence[tuple], vec: str = "embedding", out: str = "distances") -> DataFrame:
-    """Euclidean distance of every row to each centroid of ``[(cluster, centroid), …]``, as one array per row.
+def centroid_distances(df: DataFrame, table: Iterable[tuple], vec: str = "embedding", out: str = "distances",
+                       block: int = CENTROID_BLOCK) -> DataFrame:
+    """Euclidean distance of every row to each centroid of ``(cluster, centroid), …``, as one array per row.
 
-    Centroids are few by construction (clusters, classes); the number is checked.
+    Centroids travel with the plan in blocks of ``block``, each measured in the same scan of the rows; the arrays are
+    laid end to end.
     """
-    if len(table) > LITERAL_CENTROIDS:
-        raise ValueError(f"{len(table)} centroids; at most {LITERAL_CENTROIDS} are compared with every row")
-    points = np.array([c for _, c in table], dtype=float)
-
-    def measure(m):
-        part = max(1, 4_000_000 // max(1, points.size))
-        far = np.empty((len(m), len(points)))
-        for s in range(0, len(m), part):
-            far[s:s + part] = np.sqrt(((m[s:s + part, None, :] - points[None]) ** 2).sum(axis=2))
-        return far
-
-    return map_vectors(df, vec, out, measure)
+    def measure(points):
+        def run(m):
+            part = max(1, 4_000_000 // max(1, points.size))
+            far = np.empty((len(m), len(points)))
+            for s in range(0, len(m), part):
+                far[s:s + part] = np.sqrt(((m[s:s + part, None, :] - points[None]) ** 2).sum(axis=2))
+            return far
+        return run
+
+    names, rows = [], iter(table)
+    while held := [c for _, c in itertools.islice(rows, block)]:
+        names.append(f"_{out}_{len(names)}")
+        df = map_vectors(df, vec, names[-1], measure(np.array(held, dtype=float)))
+    return df.withColumn(out, F.concat(*names) if names else F.array().cast("array<double>")).drop(*names)
 
 
 def relabel(df: DataFrame, mapping: DataFrame, label: str = "cluster", new: str = "merged") -> DataFrame:
@@ -70,9 +75,15 @@ def relabel(df: DataFrame, mapping: DataFrame, label: str = "cluster", new: str
 
 
 def once_per_value(df: DataFrame, col: str, expr: Column, out: str) -> DataFrame:
-    """Evaluate an expensive expression once per distinct value and join it back."""
-    done = df.select(col).distinct().withColumn(out, expr)
-    return df.join(done, col, "left")
+    """Evaluate an expensive expression once per distinct value and join it back.
+
+    The rows travel with a 256-bit digest and the length of the value, not joined on the value itself; the digests of null
+    and of any text differ.
+    """
+    text = F.col(col).cast("string")
+    key = F.struct(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("h"), F.coalesce(F.length(text), F.lit(-1)).alias("n"))
+    done = df.select(col).withColumn("_key", key).groupBy("_key").agg(F.first(col).alias(col)).withColumn(out, expr)
+    return df.withColumn("_key", key).join(done.select("_key", out), "_key", "left").drop("_key")
 
 
 def with_embedding_metadata(results: DataFrame, metadata: DataFrame,

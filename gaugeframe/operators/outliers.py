@@ -19,7 +19,6 @@ from .ranks import exact_quantiles
 
 EULER = 0.5772156649015329  # fixed value: Euler-Mascheroni constant
 _TREE = "feature array<int>, threshold array<double>, left array<int>, right array<int>, depth array<double>"
-FOREST_BYTES = 128 * 1024 * 1024
 
 
 def expected_path(n: np.ndarray | float) -> np.ndarray:
@@ -60,26 +59,21 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict:
 def tree_samples(df: DataFrame, row_id: str, trees: int, max_samples: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """``(*by, tree, …row)``: up to ``max_samples`` distinct rows per tree and group.
 
-    A keyed thinning first keeps a pool of about twice the rows all trees need, so the per-tree draw never touches the
-    whole table; small groups are their own pool. The draw within a pool keeps each tree's rows of smallest key.
+    Every row draws a key per tree; a tree takes the rows with its smallest keys. A row is only sent to the trees for
+    which its key is small enough to be among them (an expected surplus of eight standard deviations), at every size of
+    the table.
     """
     by = list(by)
-    pool = 2 * trees * max_samples
     unit = lambda *k: (F.xxhash64(*k) / F.lit(float(2 ** 64)) + F.lit(0.5))
-    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    if by:
-        base = df.join(stage(sizes, "sizes"), by)
-    else:
-        base = df.withColumn("_n", F.lit(sizes.first()[0]))
-    base = stage(base.filter(unit(F.lit(seed), F.lit("pool"), F.col(row_id)) * F.col("_n") < F.lit(float(pool))), "forest-pool")
-    have = base.groupBy(*by).agg(F.count("*").alias("_pool"))
-    base = base.join(have, by) if by else base.withColumn("_pool", F.lit(have.first()[0]))
+    sizes = stage(df.groupBy(*by).agg(F.count("*").alias("_n")), "sizes")
+    base = df.join(sizes, by) if by else df.withColumn("_n", F.lit(sizes.first()[0]))
     margin = float(max_samples + 8 * math.sqrt(max_samples) + 16)
-    drawn = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_u", unit(F.lit(seed), F.col("tree"), F.col(row_id)))
-    drawn = drawn.filter(F.col("_u") * F.col("_pool") < F.lit(margin))
+    near = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.struct(
+        tree.alias("tree"), unit(F.lit(seed), tree, F.col(row_id)).alias("u"))), lambda t: t["u"] * F.col("_n") < F.lit(margin))
+    drawn = base.withColumn("_t", near).filter(F.size("_t") > 0).withColumn("_t", F.explode("_t"))
+    drawn = drawn.withColumns({"tree": F.col("_t.tree"), "_u": F.col("_t.u")}).drop("_t", "_n")
     w = W.partitionBy(*by, "tree").orderBy("_u", row_id)
-    return drawn.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= max_samples).drop("_n", "_pool", "_u")
+    return drawn.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= max_samples).drop("_u")
 
 
 def fit_forest(df: DataFrame, vec: str = "embedding", row_id: str = "row_id", trees: int = 100, max_samples: int = 256,
@@ -126,50 +120,42 @@ def _unpack(rows) -> list[dict]:
 
 def isolation_forest(df: DataFrame, vec: str = "embedding", row_id: str = "row_id", trees: int = 100,
                      max_samples: int = 256, contamination: float | None = None, seed: int = 42,
-                     by: Sequence[str] = (), out: str = "prediction", forest_bytes: int = FOREST_BYTES) -> DataFrame:
+                     by: Sequence[str] = (), out: str = "prediction", slice_rows: int = 100_000) -> DataFrame:
     """``(*by, row_id, prediction)``: 2^(-mean path / c) minus 0.5, or minus the quantile that leaves the given
     contamination above zero.
 
-    A forest is at most ``trees`` x 2 ``max_samples`` nodes per dataset and is broadcast; when many datasets together
-    exceed ``forest_bytes`` they are scored in batches of datasets.
+    A forest is at most ``trees`` x 2 ``max_samples`` nodes. Without ``by`` the one forest is broadcast; with it every
+    dataset's rows are cut into slices of about ``slice_rows`` and each slice meets a copy of its dataset's forest, so the
+    table is scored in one scan however many datasets it holds.
     """
     by = list(by)
     if contamination is not None and not 0 < contamination <= 0.5:
-        raise ValueError("Contamination is invalid")
+        raise ValueError(f"contamination {contamination} is not above 0 and at most 0.5")
     model = stage(fit_forest(df, vec, row_id, trees, max_samples, seed, by), "forest")
-    spark = df.sparkSession
     slim = df.select(*by, row_id, as_double(vec).alias("_v"))
     schema = T.StructType([df.schema[c] for c in by] + [df.schema[row_id], T.StructField(out, T.DoubleType())])
 
-    def score(rows: DataFrame, forest_rows: DataFrame) -> DataFrame:
-        packed: dict = {}
-        for r in forest_rows.collect():
-            packed.setdefault(tuple(r[c] for c in by), []).append(r)
-        shared = spark.sparkContext.broadcast({k: _unpack(v) for k, v in packed.items()})
+    if not by:
+        shared = df.sparkSession.sparkContext.broadcast(_unpack(model.collect()))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                parts = pdf.groupby(by, sort=False) if by else [((), pdf)]
-                for key, part in parts:
-                    key = key if isinstance(key, tuple) else (key,)
-                    got = part[[*by, row_id]].copy()
-                    got[out] = _forest_scores(shared.value[key], stack_vectors(part["_v"])) - 0.5
-                    yield got
-
-        return rows.mapInPandas(run, schema)
+                got = pdf[[row_id]].copy()
+                got[out] = _forest_scores(shared.value, stack_vectors(pdf["_v"])) - 0.5
+                yield got
 
-    per_dataset = trees * 2 * max_samples * 32
-    if not by:
-        scored = score(slim, model)
+        scored = slim.mapInPandas(run, schema)
     else:
-        groups = model.select(*by).distinct()
-        n = groups.count()
-        batches = max(1, -(-n * per_dataset // forest_bytes))
-        tag = F.pmod(F.xxhash64(*by), F.lit(batches))
-        scored = None
-        for b in range(batches):
-            piece = score(slim.filter(tag == b), model.filter(tag == b))
-            scored = piece if scored is None else scored.unionByName(piece)
+        def meet(rows: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+            got = rows[[*by, row_id]].copy()
+            if len(rows):
+                got[out] = _forest_scores(_unpack(forest.to_dict("records")), stack_vectors(rows["_v"])) - 0.5
+            return got.reindex(columns=[*by, row_id, out])
+
+        slices = stage(df.groupBy(*by).agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("_slices")), "forest-slices")
+        rows = slim.join(slices, by).withColumn("_slice", F.pmod(F.xxhash64(row_id), F.col("_slices")).cast("int")).drop("_slices")
+        copies = model.join(slices, by).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+        scored = rows.groupBy(*by, "_slice").cogroup(copies.groupBy(*by, "_slice")).applyInPandas(meet, schema)
     if contamination is None:
         return scored
     scored = stage(scored, "forest-scores")
@@ -179,25 +165,13 @@ def isolation_forest(df: DataFrame, vec: str = "embedding", row_id: str = "row_i
     return scored.join(edge, by).withColumn(out, F.col(out) - F.col("q0")).drop("q0")
 
 
-def validate_centre_parameters(**params) -> bool:
-    """Bounds of the centre-distance evaluator's parameters."""
-    for name, (low, high, message) in {
-        "dropout_rate": (0, 1, "Dropout rate is invalid"),
-        "l2_regularizer": (0, float("inf"), "L2 regularization is invalid"),
-        "validation_size": (0, 1, "Validation size is invalid"),
-        "contamination": (0, 0.5, "Contamination is invalid"),
-    }.items():
-        if name in params and not low <= params[name] <= high:
-            raise ValueError(message)
-    return True
-
-
 def centre_distance(df: DataFrame, vec: str = "embedding", row_id: str = "row_id", contamination: float = 0.1,
                     fourier: int | None = None, gamma: float | None = None, seed: int = 42, by: Sequence[str] = (),
                     out: str = "prediction") -> DataFrame:
     """``(*by, row_id, prediction, is_outlier)``: squared distance of the standardised (optionally Fourier-mapped) row
     to the centre; rows beyond the ``1 - contamination`` quantile are marked."""
-    validate_centre_parameters(contamination=contamination)
+    if not 0 <= contamination <= 0.5:
+        raise ValueError(f"contamination {contamination} is not between 0 and 0.5")
     by = list(by)
     base = df.select(*by, row_id, as_double(vec).alias("_v"))
     summary = base.groupBy(*by).agg(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("_v")).alias("s"))

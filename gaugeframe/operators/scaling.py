@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -19,6 +18,7 @@ from ..staging import stage
 from .ranks import ONE_TASK_ROWS, exact_quantiles, quantile_arrays
 
 NORMAL_IQR = 1.3489795003921634  # fixed value: inter-quartile range of the standard normal
+WIDEST_SPAN = 2048.0  # exponents beyond it overflow doubles for all but constant columns
 PROB_FLOOR = 1e-7  # fixed value: probabilities closer to 0 or 1 are clipped before the normal inverse
 
 
@@ -142,38 +142,62 @@ def fit_power(df: DataFrame, cols: Sequence[str], low: float = -4.0, high: float
     """Yeo-Johnson exponent by maximum profile likelihood, then standardisation.
 
     A pass scores a grid of exponents for all columns and zooms in on the best cell; with the defaults the exponent is
-    located to about 0.001.
+    located to about 0.001. While the best exponent is the first or last of its grid, the span moves there and doubles
+    instead; it ends where the transform overflows, which scores no better.
     """
     cols = list(cols)
     df = stage(df.select(*cols), "power")  # read once per pass
     got = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     centre = {c: got[i] or 0.0 for i, c in enumerate(cols)}
     span = {c: (low, high) for c in cols}
-    for _ in range(passes):
+    left = {c: passes for c in cols}
+    while any(left.values()):
         grid = {c: np.linspace(*span[c], points) for c in cols}
         found = _power_moments(df, grid, centre)
         for c in cols:
             rows = [found[(c, g)] for g in range(points) if (c, g) in found]
             if not rows or not any(r[3] > 0 for r in rows):
-                span[c] = (1.0, 1.0)
+                span[c], left[c] = (1.0, 1.0), 0
+            if not left[c]:
                 continue
             with np.errstate(divide="ignore"):
                 fit = np.array([-0.5 * n * np.log(var) + (grid[c][g] - 1.0) * j for g, (n, j, _, var) in enumerate(rows)])
             best = int(np.argmax(np.where(np.isfinite(fit), fit, -np.inf)))
-            step = grid[c][1] - grid[c][0]
+            step, size = grid[c][1] - grid[c][0], span[c][1] - span[c][0]
+            if left[c] == passes and best in (0, points - 1) and size < WIDEST_SPAN:
+                span[c] = (span[c][0] - size, span[c][1]) if best == 0 else (span[c][0], span[c][1] + size)
+                continue
             span[c] = (grid[c][best] - step, grid[c][best] + step)
+            left[c] -= 1
     lam = {c: float(sum(span[c]) / 2) for c in cols}
     last = _power_moments(df, {c: [v] for c, v in lam.items()}, centre)
     return Power(tuple(cols), lam, {c: last[(c, 0)][2] if (c, 0) in last else 0.0 for c in cols},
                  {c: (last[(c, 0)][3] ** 0.5 if (c, 0) in last else 0.0) or 1.0 for c in cols})
 
 
-_inverse = NormalDist().inv_cdf
+# fixed values: coefficients of the published algorithm AS 241 for the normal quantile, highest power first
+_CENTRE = ((2.50908092873012267e3, 3.34305755835881281e4, 6.72657709270087009e4, 4.59219539315498715e4,
+            1.37316937655094611e4, 1.97159095030655144e3, 1.33141667891784377e2, 3.38713287279636661),
+           (5.22649527885285457e3, 2.87290857357219427e4, 3.93078958000927106e4, 2.12137943015865959e4,
+            5.39419602142475111e3, 6.87187007492057908e2, 4.23133307016009113e1, 1.0))
+_MIDDLE = ((7.74545014278341408e-4, 2.27238449892691845e-2, 2.41780725177450612e-1, 1.27045825245236838,
+            3.64784832476320460, 5.76949722146069141, 4.63033784615654530, 1.42343711074968358),
+           (1.05075007164441684e-9, 5.47593808499534495e-4, 1.51986665636164572e-2, 1.48103976427480075e-1,
+            6.89767334985100005e-1, 1.67638483018380385, 2.05319162663775882, 1.0))
+_TAIL = ((2.01033439929228813e-7, 2.71155556874348758e-5, 1.24266094738807844e-3, 2.65321895265761230e-2,
+          2.96560571828504891e-1, 1.78482653991729133, 5.46378491116411437, 6.65790464350110378),
+         (2.04426310338993979e-15, 1.42151175831644589e-7, 1.84631831751005468e-5, 7.86869131145613259e-4,
+          1.48753612908506149e-2, 1.36929880922735805e-1, 5.99832206555887938e-1, 1.0))
 
 
 def normal_quantile(p: np.ndarray) -> np.ndarray:
-    flat = np.clip(p, PROB_FLOOR, 1.0 - PROB_FLOOR)
-    return np.fromiter(map(_inverse, flat.tolist()), dtype=float, count=len(flat))
+    """Inverse of the standard normal distribution function, over whole arrays."""
+    p = np.clip(p, PROB_FLOOR, 1.0 - PROB_FLOOR)
+    q = p - 0.5
+    ratio = lambda c, r: np.polyval(c[0], r) / np.polyval(c[1], r)
+    far = np.sqrt(-np.log(np.minimum(p, 1.0 - p)))
+    outer = np.sign(q) * np.where(far <= 5.0, ratio(_MIDDLE, far - 1.6), ratio(_TAIL, far - 5.0))
+    return np.where(np.abs(q) <= 0.425, q * ratio(_CENTRE, 0.180625 - q * q), outer)
 
 
 @dataclass(frozen=True)
@@ -283,5 +307,5 @@ def fit_outlier_scaling(df: DataFrame, cols: Sequence[str], method: str = "power
     elif method == "robust":
         steps.append(fit_robust(scaled, cols))
     elif method != "none":
-        raise ValueError(f"Unknown normalization method: {method}")
+        raise ValueError(f"no such normaliser: {method}")
     return Chain(tuple(steps))

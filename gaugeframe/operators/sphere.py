@@ -59,41 +59,54 @@ def numeric_vector(col: str, dim: int, low, high, seed=42) -> Column:
 
 @dataclass(frozen=True)
 class SphereModel:
-    """Fitted sphere embedding: value ranges per numeric column, names of the categorical ones."""
+    """Fitted sphere embedding: value ranges per numeric column, names of the categorical ones.
+
+    A model fitted per dataset holds its ranges as a staged table, one row per dataset, which joins the rows.
+    """
 
     dim: int
     columns: tuple[str, ...]
     categorical: tuple[str, ...]
     ranges: dict = field(hash=False)
     seed: int = 42
-
-    def transform(self, df: DataFrame, out: str = "embedding", keep: Sequence[str] | None = None,
-                  by: str | None = None) -> DataFrame:
+    by: str | None = None
+    spans: DataFrame | None = field(default=None, hash=False, compare=False)
+
+    def _to_unit(self, df: DataFrame) -> DataFrame:
+        """Numeric columns as places in their dataset's range, which is all the vectors depend on."""
+        out = df.join(self.spans, self.by, "left")
+        for c in self.columns:
+            if c not in self.categorical:
+                low, high = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
+                out = out.withColumn(c, F.try_divide(F.col(c).cast("double") - low, high - low)).drop(f"_lo_{c}", f"_hi_{c}")
+        return out
+
+    def transform(self, df: DataFrame, out: str = "embedding", keep: Sequence[str] | None = None) -> DataFrame:
         """Add the row embedding; ``keep`` limits the other columns that are carried along.
 
-        One Arrow pass and no shuffle. With ``by`` the model was fitted per dataset and that column picks the ranges.
+        One Arrow pass; without ``by`` no shuffle. Rows of a dataset the model has not seen have no numeric part.
         """
         lacking = [c for c in self.columns if c not in df.columns]
         if lacking:
-            raise ValueError(f"Number of columns in data does not match fitted data: {lacking} missing")
+            raise ValueError(f"fitted columns missing from the data: {', '.join(lacking)}")
+        kept = [c for c in (df.columns if keep is None else keep) if c != out]
         numeric = [c for c in self.columns if c not in self.categorical]
         dim, seed, cat, ranges = self.dim, self.seed, [c for c in self.columns if c in self.categorical], self.ranges
+        if self.spans is not None:
+            ranges = {c: (0.0, 1.0) for c in numeric}
+            originals = {c: f"_own_{c}" for c in numeric if c in kept}
+            df = self._to_unit(df.withColumns({new: F.col(c) for c, new in originals.items()}))
+        else:
+            originals = {}
         axes = {c: great_circle(dim, seed, c) for c in numeric}
         width = len(self.columns)
 
-        def embed(nums: np.ndarray, cats: list[pd.Series], group: tuple | None, points: dict) -> np.ndarray:
+        def embed(nums: np.ndarray, cats: list[pd.Series], points: dict) -> np.ndarray:
             total = np.zeros((len(nums), dim))
             for j, c in enumerate(numeric):
-                x = nums[:, j]
-                if group is None:
-                    lo, hi = ranges[c]
-                    lo, hi = np.full(len(x), lo, dtype=float), np.full(len(x), hi, dtype=float)
-                else:
-                    codes, found = group
-                    pairs = np.array([ranges.get((g, c), (np.nan, np.nan)) for g in found], dtype=float)
-                    lo, hi = pairs[codes, 0], pairs[codes, 1]
+                lo, hi = ranges[c]
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    a = math.pi * (0.8 * ((x - lo) / (hi - lo)) + 0.1)
+                    a = math.pi * (0.8 * ((nums[:, j] - lo) / (np.float64(hi) - lo)) + 0.1)
                 ok = np.isfinite(a)
                 point, turn = axes[c]
                 total[ok] += np.sin(a[ok])[:, None] * point + np.cos(a[ok])[:, None] * turn
@@ -115,55 +128,29 @@ class SphereModel:
         def run(rows: pd.DataFrame) -> pd.Series:
             nums = np.column_stack([rows[f"n{j}"].to_numpy(dtype=float) for j in range(len(numeric))]) \
                 if numeric else np.empty((len(rows), 0))
-            cats = [rows[f"c{j}"] for j in range(len(cat))]
-            group = pd.factorize(rows["g"]) if "g" in rows else None
-            return pd.Series(list(embed(nums, cats, group, points)))
+            return pd.Series(list(embed(nums, [rows[f"c{j}"] for j in range(len(cat))], points)))
 
         packed = [F.col(c).cast("double").alias(f"n{j}") for j, c in enumerate(numeric)]
         packed += [F.col(c).cast("string").alias(f"c{j}") for j, c in enumerate(cat)]
-        if by:
-            packed.append(F.col(by).alias("g"))
-        kept = [F.col(c) for c in (df.columns if keep is None else keep) if c != out]
-        return df.select(*kept, run(F.struct(*packed)).alias(out))
-
-
-GROUP_RANGES = 200_000
+        return df.select(*[F.col(originals.get(c, c)).alias(c) for c in kept], run(F.struct(*packed)).alias(out))
 
 
 def fit_sphere(df: DataFrame, columns: Sequence[str], categorical: Sequence[str] = (), dim: int = 64,
                seed: int = 42, by: str | None = None) -> SphereModel:
-    """Value ranges of the numeric columns, gathered in one aggregation (per dataset when ``by`` is given).
-
-    Per-dataset ranges travel with the model, so their number is checked; use :func:`sphere_by_join` beyond it.
-    """
+    """Value ranges of the numeric columns from one aggregation; per dataset when ``by`` is given."""
     numeric = [c for c in columns if c not in categorical]
-    ranges: dict = {}
+    if by and numeric:
+        spans = df.groupBy(by).agg(*[f(F.col(c).cast("double")).alias(f"_{n}_{c}") for c in numeric
+                                     for n, f in (("lo", F.min), ("hi", F.max))])
+        return SphereModel(dim, tuple(columns), tuple(categorical), {}, seed, by, stage(spans, "spans"))
+    ranges = {}
     if numeric:
-        table = column_ranges(df, numeric, [by] if by else [])
-        rows = table.limit(GROUP_RANGES + 1).collect()
-        if len(rows) > GROUP_RANGES:
-            raise ValueError("too many datasets to carry their ranges in the model; use sphere_by_join")
-        for r in rows:
-            ranges[(r[by], r["column"]) if by else r["column"]] = (
-                np.nan if r["min_value"] is None else r["min_value"],
-                np.nan if r["max_value"] is None else r["max_value"])
+        for r in column_ranges(df, numeric, []).collect():  # a row per column
+            ranges[r["column"]] = tuple(np.nan if v is None else v for v in (r["min_value"], r["max_value"]))
     return SphereModel(dim, tuple(columns), tuple(categorical), ranges, seed)
 
 
 def sphere_by_join(df: DataFrame, columns: Sequence[str], categorical: Sequence[str], by: str, dim: int = 64,
                    seed: int = 42, fit_on: DataFrame | None = None, out: str = "embedding") -> DataFrame:
-    """Per-dataset sphere embedding for any number of datasets: the staged ranges are joined (broadcast
-    only when their real size allows) and each numeric column is first
-    mapped to its unit interval, which is all the vectors depend on."""
-    numeric = [c for c in columns if c not in categorical]
-    if not numeric:
-        return SphereModel(dim, tuple(columns), tuple(categorical), {}, seed).transform(df, out)
-    source = df if fit_on is None else fit_on
-    spans = source.groupBy(by).agg(*[f(F.col(c).cast("double")).alias(f"_{n}_{c}") for c in numeric
-                                     for n, f in (("lo", F.min), ("hi", F.max))])
-    unit = df.join(stage(spans, "spans"), by)
-    for c in numeric:
-        unit = unit.withColumn(c, F.try_divide(F.col(c).cast("double") - F.col(f"_lo_{c}"),
-                                               F.col(f"_hi_{c}") - F.col(f"_lo_{c}")))
-    unit = unit.drop(*[f"_{n}_{c}" for c in numeric for n in ("lo", "hi")])
-    return SphereModel(dim, tuple(columns), tuple(categorical), {c: (0.0, 1.0) for c in numeric}, seed).transform(unit, out)
+    """Fit per dataset on ``fit_on``, or on all rows, and embed ``df``."""
+    return fit_sphere(df if fit_on is None else fit_on, columns, categorical, dim, seed, by).transform(df, out)

@@ -7,18 +7,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..operators.embed import TableVectorizer
+from ..operators.embed import hashed_table_vectors
 from ..operators.metrics import BINARY, MULTICLASS, OUTLIER, REGRESSION
 from ..operators.neighbors import knn_classify, knn_regress, local_outlier_factor
-from ..operators.outliers import centre_distance, isolation_forest
+from ..operators.outliers import centre_distance, isolation_forest, tree_samples
 from ..operators.scaling import standardise_by_group
 from ..operators.sphere import sphere_by_join
 from ..operators.tuned import TunedEvaluator
+from ..staging import stage
+
+KEPT, PARAMS = "_kept_features", "params"
 
 
 @dataclass(frozen=True)
@@ -61,7 +66,12 @@ class SphereEmbedder(Embedder):
     max_features: int | None = None
 
     def embed(self, rows, spec, run):
-        return sphere_by_join(rows, spec.features, spec.categorical, run, self.dim, self.seed, _train(rows))
+        made = sphere_by_join(rows, spec.features, spec.categorical, run, self.dim, self.seed, _train(rows))
+        if KEPT not in rows.columns:
+            return made
+        # features that are constant in a dataset are null there: the mean is over its other columns
+        share = F.lit(float(len(spec.features))) / F.greatest(F.col(KEPT), F.lit(1))
+        return made.withColumn("embedding", F.transform("embedding", lambda x: x * share))
 
 
 @dataclass
@@ -80,44 +90,50 @@ class ScaledEmbedder(Embedder):
 
 @dataclass
 class VectorizerEmbedder(Embedder):
-    """One table vectoriser fitted on the train rows of all runs."""
+    """Numbers, unfolded dates and projected trigrams of texts. Nothing is fitted, so no run learns from another."""
 
     name: str = "TableVectorizer"
     max_samples: int | None = None
     max_features: int | None = None
 
     def embed(self, rows, spec, run):
-        return TableVectorizer(spec.features).fit(_train(rows)).transform(rows)
+        return hashed_table_vectors(rows, spec.features)
 
 
 @dataclass
 class ExternalEmbedder(Embedder):
-    """Any user model that takes one whole dataset at a time: ``fn(train, rest) -> vectors of train, vectors of rest``.
+    """Any user model that embeds rows in the light of train rows: ``fn(context, rows) -> vectors of rows``, both pandas.
 
-    A run is handed to one task, so ``max_samples`` must bound it; larger datasets are gated out by the work plan.
+    ``context_rows`` is the model's own bound on its context, which the caller states: a run with more train rows gives it
+    those with the smallest keyed hash. All rows are embedded, in slices of about ``slice_rows`` that each get the run's context,
+    so a run of any size is many tasks.
     """
 
-    fn: Callable = None
+    fn: Callable
+    context_rows: int
     name: str = "External"
-    max_samples: int = 10_000
+    seed: int = 42
+    slice_rows: int = 10_000
+    max_samples: int | None = None
     max_features: int | None = None
 
     def embed(self, rows, spec, run):
-        sizes = rows.groupBy(run).count().filter(F.col("count") > self.max_samples).limit(1).collect()
-        if sizes:
-            raise ValueError(f"dataset {sizes[0][0]} exceeds max_samples={self.max_samples} of {self.name}")
         fn, cols = self.fn, list(spec.features)
+        context = stage(tree_samples(_train(rows).select(run, spec.row_id, *cols), spec.row_id, 1, self.context_rows, self.seed, [run]), "context")
+        slices = stage(rows.groupBy(run).agg(F.ceil(F.count("*") / self.slice_rows).cast("int").alias("_slices")), "slices")
+        cut = rows.join(slices, run).withColumn("_slice", F.pmod(F.xxhash64(spec.row_id), F.col("_slices")).cast("int"))
+        copies = context.select(run, *cols, F.col("_rank")).join(slices, run).withColumn(
+            "_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
         schema = T.StructType(rows.schema.fields + [T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
-        def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-            is_train = (pdf["role"] == "train") if "role" in pdf else pd.Series(True, index=pdf.index)
-            train, rest = pdf[is_train], pdf[~is_train]
-            e_train, e_rest = fn(train[cols], rest[cols])
-            out = pd.concat([train, rest])
-            out["embedding"] = [list(map(float, v)) for v in list(e_train) + list(e_rest)]
-            return out
+        def apply(known: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+            out = part.drop(columns=["_slice", "_slices"])
+            if len(part):
+                vectors = fn(known.sort_values("_rank")[cols].reset_index(drop=True), part[cols].reset_index(drop=True))
+                out["embedding"] = [list(map(float, v)) for v in vectors]
+            return out.reindex(columns=schema.names)
 
-        return rows.groupBy(run).applyInPandas(apply, schema)
+        return copies.groupBy(run, "_slice").cogroup(cut.groupBy(run, "_slice")).applyInPandas(apply, schema)
 
 
 @dataclass
@@ -130,24 +146,19 @@ class PipelinePredictor(Embedder):
     max_samples: int | None = None
     max_features: int | None = None
     end_to_end = True
+    failed: list = field(default_factory=list)
 
     def predict(self, rows, spec, run, task_type, num_classes):
         if task_type not in self.task_types:
             raise ValueError(f"{self.name} does not support {task_type}")
-        from pyspark.ml.functions import vector_to_array
-        parts = []
-        for r in rows.select(run).distinct().orderBy(run).collect():
-            one = rows.filter(F.col(run) == r[0])
-            model = self.make(list(spec.features), task_type).fit(one.filter("role = 'train'"))
-            got = model.transform(one.filter("role = 'test'"))
-            cols = [F.lit(r[0]).alias(run), F.col(spec.row_id), F.col("y"), F.col("prediction").cast("double")]
-            if task_type != REGRESSION:
-                cols.append(vector_to_array("probability").alias("proba"))
-            parts.append(got.select(*cols))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        label = [] if task_type == REGRESSION else [vector_to_array("probability").alias("proba")]
+
+        def one(name, part):
+            model = self.make(list(spec.features), task_type).fit(part.filter("role = 'train'"))
+            return model.transform(part.filter("role = 'test'")).select(
+                F.lit(name).alias(run), spec.row_id, "y", F.col("prediction").cast("double"), *label)
+
+        return _each_run(rows, run, one, self.failed)
 
 
 class Evaluator:
@@ -245,33 +256,44 @@ class CentreDistance(Evaluator):
 
 @dataclass
 class Tuned(Evaluator):
-    """A searched Spark ML evaluator; runs are fitted one after the other, each as distributed jobs."""
+    """A searched Spark ML evaluator. Every run is a search of its own, made of distributed fits; its parameters are columns of
+    its rows (``params``), and a run whose search fails is noted in ``failed`` and left out."""
 
     make: Callable[[], TunedEvaluator] = None
     name: str = "Tuned"
     task_types: tuple = (BINARY, MULTICLASS)
-    _last: dict = field(default_factory=dict)
-
-    def parameters(self):
-        return self._last
+    failed: list = field(default_factory=list)
 
     def score(self, rows, spec, run, task_type, num_classes):
-        parts = []
-        for r in rows.select(run).distinct().orderBy(run).collect():
-            one = rows.filter(F.col(run) == r[0])
+        def one(name, part):
             tuned = self.make()
             tuned.row_id, tuned.label = spec.row_id, "y"
-            tuned.fit(one.filter("role = 'train'"))
-            self._last = {k: str(v) for k, v in tuned.get_parameters().items()}
-            parts.append(tuned.predict(one.filter("role = 'test'")).withColumn(run, F.lit(r[0])))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+            tuned.fit(part.filter("role = 'train'"))
+            chosen = [F.lit(x) for k, v in tuned.parameters().items() for x in (k, str(v))]
+            return tuned.predict(part.filter("role = 'test'")).withColumns({run: F.lit(name), PARAMS: F.create_map(*chosen)})
+
+        return _each_run(rows, run, one, self.failed)
 
 
-def group_predictor(fn: Callable, rows: DataFrame, run: str, schema: str, max_samples: int = 10_000) -> DataFrame:
-    """Run ``fn(pdf) -> pdf`` once per run; every run must fit the bound."""
+def _each_run(rows: DataFrame, run: str, one: Callable[[object, DataFrame], DataFrame], failed: list) -> DataFrame:
+    """``one(name, rows of the run)`` for every run, each result written before the next run begins.
+
+    For models that Spark ML fits one at a time: the plan never grows with the runs, only their names come to the driver, and a
+    run that fails is appended to ``failed`` as (name, message).
+    """
+    done = []
+    for (name,) in rows.select(run).distinct().orderBy(run).toLocalIterator():
+        try:
+            done.append(stage(one(name, rows.filter(F.col(run) == F.lit(name))), "run"))
+        except Exception as e:  # one run must never take the others down
+            failed.append((str(name), f"{type(e).__name__}: {str(e)[:500]}"))
+    if not done:
+        raise ValueError(f"no run succeeded: {failed[:3]}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)
+
+
+def group_predictor(fn: Callable, rows: DataFrame, run: str, schema: str, max_samples: int) -> DataFrame:
+    """Run ``fn(pdf) -> pdf`` once per run. ``max_samples`` is the caller's bound on what the model takes; larger runs are an error."""
     too_big = rows.groupBy(run).count().filter(F.col("count") > max_samples).limit(1).collect()
     if too_big:
         raise ValueError(f"run {too_big[0][0]} exceeds {max_samples} rows")

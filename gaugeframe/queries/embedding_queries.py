@@ -71,7 +71,7 @@ _BY_SEGMENT = "SELECT c_custkey, c_mktsegment, c_acctbal, c_nationkey::VARCHAR A
 def sphere_embedding_per_dataset(t):
     rows = t.customer.select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
     model = sph.fit_sphere(rows, ["c_acctbal", "c_nationkey"], ["c_nationkey"], DIM, SEED, by="c_mktsegment")
-    return spread(model.transform(rows, keep=["c_custkey"], by="c_mktsegment"), "embedding", DIM)
+    return spread(model.transform(rows, keep=["c_custkey"]), "embedding", DIM)
 
 
 @query("sphere_embedding_by_join", wide_sql(sphere_sql(_BY_SEGMENT, "c_custkey", ["c_acctbal"], ["c_nationkey"], by="c_mktsegment",
@@ -218,5 +218,5 @@ def table_vectorizer(t):
 @query("table_vectorizer_text")
 def table_vectorizer_text(t):
     rows = t.wide("documents").select("doc_id", "text", "lang")
-    got = emb.TableVectorizer(["text", "lang"], hash_size=256).fit(rows).transform(rows)
+    got = emb.TableVectorizer(["text", "lang"]).fit(rows).transform(rows)
     return got.select("doc_id", F.size("embedding").alias("dim"))

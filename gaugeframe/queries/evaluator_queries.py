@@ -105,13 +105,13 @@ def _line_vectors(t):
 
 @query("isolation_forest")
 def isolation_forest(t):
-    return rounded(out.isolation_forest(_line_vectors(t), row_id="k", trees=50), "prediction")
+    return rounded(out.isolation_forest(_line_vectors(t), row_id="k"), "prediction")
 
 
 @query("isolation_forest_per_dataset")
 def isolation_forest_per_dataset(t):
     rows = t.customer.select("c_custkey", "c_mktsegment", F.array("c_acctbal", F.col("c_nationkey").cast("double")).alias("embedding"))
-    return rounded(out.isolation_forest(rows, row_id="c_custkey", trees=25, max_samples=64, contamination=0.1, by=["c_mktsegment"]), "prediction")
+    return rounded(out.isolation_forest(rows, row_id="c_custkey", contamination=0.1, by=["c_mktsegment"]), "prediction")
 
 
 _Z = " + ".join(f"pow(({c}-avg({c}) OVER w)/stddev_pop({c}) OVER w, 2)" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))

@@ -55,7 +55,7 @@ def outlier_benchmark(t):
 @query("outlier_benchmark_all_evaluators")
 def outlier_benchmark_all_evaluators(t):
     got = jobs.outlier_benchmark(_outlier_rows(t), _OUT_SPEC, [pl.SphereEmbedder(dim=8), pl.ScaledEmbedder()],
-                                 [pl.LocalOutlierFactor(k=20), pl.IsolationForest(trees=25), pl.CentreDistance()], max_samples=10**9)
+                                 [pl.LocalOutlierFactor(k=20), pl.IsolationForest(), pl.CentreDistance()], max_samples=10**9)
     return rounded(got.results, "auc_score", "outlier_ratio")
 
 
@@ -203,16 +203,18 @@ def benchmark_suite(t):
     return lines.unionByName(errors.select("part", F.col("error").alias("dataset_name"), F.lit(None).cast("double").alias("auc_score")))
 
 
-@query("external_model_per_dataset")
+@query("external_model_per_dataset", f"""SELECT c_custkey, round(c_acctbal - lo, 4) AS above FROM customer JOIN
+  (SELECT c_nationkey, min(c_acctbal) AS lo FROM (SELECT *, {role_sql(42, 'c_custkey')} AS role FROM customer) WHERE role = 'train' GROUP BY 1) USING (c_nationkey)""")
 def external_model_per_dataset(t):
-    def centred(train, rest):
-        mean = train["c_acctbal"].mean()
-        return [[v - mean] for v in train["c_acctbal"]], [[v - mean] for v in rest["c_acctbal"]]
+    """A model of the user's that sees the two poorest train rows of a nation as its context."""
+    def above(context, rows):
+        return [[v - context["lo"].min()] for v in rows["c_acctbal"]]
 
     rows = t.customer.select("c_custkey", F.col("c_nationkey").alias("run"), "c_acctbal").withColumn("role", spl.role_by_hash("c_custkey"))
-    model = pl.ExternalEmbedder(fn=centred)
-    got = model.embed(rows, pl.TableSpec(("c_acctbal",), (), "c_custkey"), "run")
-    return got.select("c_custkey", F.round(F.col("embedding")[0], 4).alias("centred"))
+    low = rows.filter("role = 'train'").groupBy("run").agg(F.min("c_acctbal").alias("lo"))
+    model = pl.ExternalEmbedder(fn=above, context_rows=2, slice_rows=50)
+    got = model.embed(rows.join(low, "run"), pl.TableSpec(("c_acctbal", "lo"), (), "c_custkey"), "run")
+    return got.select("c_custkey", F.round(F.col("embedding")[0], 4).alias("above"))
 
 
 # ---- reports -----------------------------------------------------------------------------------------------------

@@ -107,7 +107,7 @@ def category_vector_lookup(t):
 @query("rows_by_centroids", f"""SELECT vec_id, c AS cluster, round(list_distance(v, m),6) AS distance FROM ({EMB}),
   (SELECT label AS c, list(x ORDER BY i) AS m FROM (SELECT label, i, avg(v[i]) AS x FROM ({EMB}), range(1,65) r(i) GROUP BY label, i) GROUP BY label)""")
 def rows_by_centroids(t):
-    table = centroids(t.embeddings, "embedding", "label").orderBy("label").limit(jn.LITERAL_CENTROIDS + 1).collect()
+    table = centroids(t.embeddings, "embedding", "label").orderBy("label").collect()
     far = jn.centroid_distances(t.embeddings, [(r["label"], r["centroid"]) for r in table])
     return rounded(far.select("vec_id", F.posexplode_outer("distances").alias("cluster", "distance")), "distance")
 

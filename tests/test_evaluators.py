@@ -49,7 +49,7 @@ def test_forest_scores_in_dataset_batches(spark):
     rng = np.random.default_rng(1)
     df = matrix(spark, rng.normal(size=(300, 2)), g=[i % 6 for i in range(300)])
     a = out.isolation_forest(df, trees=10, max_samples=32, by=["g"])
-    b = out.isolation_forest(df, trees=10, max_samples=32, by=["g"], forest_bytes=10 * 2 * 32 * 32 * 2)
+    b = out.isolation_forest(df, trees=10, max_samples=32, by=["g"], slice_rows=7)
     assert a.exceptAll(b).count() == 0 and a.count() == 300
 
 
@@ -61,9 +61,9 @@ def test_centre_distance(spark):
     z = (m - m.mean(0)) / np.where(m.std(0) < 1e-9, 1, m.std(0))
     assert np.allclose([r["prediction"] for r in got], (z ** 2).sum(1))
     assert sum(r["is_outlier"] for r in got) == 20
-    for bad in ({"contamination": 0.6}, {"dropout_rate": 2}, {"l2_regularizer": -1}, {"validation_size": -0.1}):
+    for bad in (0.6, -0.1):
         with pytest.raises(ValueError):
-            out.validate_centre_parameters(**bad)
+            out.centre_distance(matrix(spark, m), contamination=bad)
 
 
 def classification(spark, n=120, classes=3):
@@ -73,11 +73,10 @@ def classification(spark, n=120, classes=3):
 
 
 SMALL = {
-    tuned.LogisticEvaluator: {"max_iter": {"type": "constant", "value": 20}},
-    tuned.PerceptronEvaluator: {"n_layers": {"type": "int", "low": 1, "high": 2}, "max_iter": {"type": "constant", "value": 20},
-                                "learning_rate_init": {"type": "constant", "value": 0.03}},
+    tuned.LogisticEvaluator: {"max_iter": tuned.Fixed(20)},
+    tuned.PerceptronEvaluator: {"n_layers": tuned.Whole(1, 2), "max_iter": tuned.Fixed(20)},
     tuned.KernelSVMEvaluator: {},
-    tuned.KNNSearchEvaluator: {"n_neighbors": {"type": "int", "low": 5, "high": 10, "step": 5}},
+    tuned.KNNSearchEvaluator: {"n_neighbors": tuned.Whole(5, 10, step=5)},
 }
 
 
@@ -98,7 +97,7 @@ def test_search_contract(spark, cls):
     truth = {r["row_id"]: r["y"] for r in train.collect()}
     assert np.mean([truth[r["row_id"]] == r["prediction"] for r in got]) > 0.6
     assert ev.history(spark).count() == 2
-    params = ev.get_parameters()
+    params = ev.parameters()
     assert params["best_cv_score"] == ev.best_score and any(k.startswith("best_") for k in params)
     ev.reset()
     assert ev.best_model is None and ev.history(spark) is None
@@ -111,19 +110,19 @@ def test_binary_kernel_svm_and_regressor(spark):
     rng = np.random.default_rng(1)
     m = rng.normal(size=(150, 3))
     df = matrix(spark, m, y=[float(v) for v in m[:, 0] * 3 + 1])
-    reg = tuned.BoostedRegressor(n_trials=1, cv_folds=2, overrides={"max_iter": {"type": "constant", "value": 10}})
+    reg = tuned.BoostedRegressor(n_trials=1, cv_folds=2, overrides={"max_iter": tuned.Fixed(10)})
     pred = {r["row_id"]: r["prediction"] for r in reg.fit(df).predict(df).collect()}
     assert np.corrcoef([pred[i] for i in range(150)], m[:, 0])[0, 1] > 0.8 and reg.best_score < 0
 
 
-def test_sample_params():
+def test_drawn_trials():
     space = tuned.PerceptronEvaluator().search_space()
-    a, b = tuned.sample_params(space, 3), tuned.sample_params(space, 3)
+    a, b = tuned.draw_trial(space, 3), tuned.draw_trial(dict(reversed(space.items())), 3)
     assert a == b and "n_layers" not in a and all(32 <= h <= 512 for h in a["hidden_layer_sizes"])
-    ks = {tuned.sample_params(tuned.KNNSearchEvaluator().search_space(), t)["n_neighbors"] for t in range(200)}
+    ks = {tuned.draw_trial(tuned.KNNSearchEvaluator().search_space(), t)["n_neighbors"] for t in range(200)}
     assert min(ks) == 5 and max(ks) == 100 and all(k % 5 == 0 for k in ks)
     with pytest.raises(TypeError):
-        tuned.sample_params({"x": {"type": "uniform"}}, 0)
+        tuned.draw_trial({"x": {"type": "uniform"}}, 0)
 
 
 # ---- readers and writers -----------------------------------------------------------------------------------------
@@ -192,13 +191,13 @@ def test_supervised_job_with_gates_external_and_search(spark, tmp_path):
                          F.when(F.col("row_id") % 5 == 0, "test").otherwise("train").alias("role"))
     tasks = data.select("dataset").distinct().withColumn("task_type", F.lit(MULTICLASS)).withColumn("folds", F.lit(1))
 
-    def lengths(train, rest):
-        return [[v, 1.0] for v in train["n"]], [[v, 1.0] for v in rest["n"]]
+    def lengths(context, rows):
+        return [[v, 1.0] for v in rows["n"]]
 
     got = jobs.supervised_benchmark(
-        data, splits, tasks, SPEC, [pl.SphereEmbedder(dim=8), pl.ExternalEmbedder(fn=lengths, max_samples=200)],
+        data, splits, tasks, SPEC, [pl.SphereEmbedder(dim=8), pl.ExternalEmbedder(fn=lengths, context_rows=20)],
         [pl.KNNClassifier(k=5), pl.Tuned(make=lambda: tuned.KNNSearchEvaluator(n_trials=2, cv_folds=2, overrides={
-            "n_neighbors": {"type": "constant", "value": 5}}))],
+            "n_neighbors": tuned.Fixed(5)}))],
         lite=True, measure_rank=True, save_to=str(tmp_path / "saved"))
     rows = got.results.collect()
     assert {(r["embedding_model"], r["dataset_name"], r["algorithm"]) for r in rows} == {
@@ -210,10 +209,44 @@ def test_supervised_job_with_gates_external_and_search(spark, tmp_path):
     assert none.results is None and none.skipped.count() == 2
 
 
-def test_external_model_is_bounded(spark):
-    rows = small_data(spark).withColumn("run", F.col("dataset"))
-    with pytest.raises(ValueError):
-        pl.ExternalEmbedder(fn=lambda a, b: ([], []), max_samples=10).embed(rows, SPEC, "run")
+@pytest.mark.parametrize("slice_rows", [7, 10_000])
+def test_external_model_sees_a_bounded_context_and_every_row(spark, slice_rows):
+    rows = small_data(spark).withColumn("run", F.col("dataset")).withColumn("role", F.when(F.col("row_id") % 4 > 1, "test").otherwise("train"))
+    seen = pl.ExternalEmbedder(fn=lambda context, rows: [[len(context), v] for v in rows["n"]], context_rows=10, slice_rows=slice_rows)
+    got = seen.embed(rows, SPEC, "run").collect()
+    assert sorted(r["row_id"] for r in got) == list(range(160)) and {r["embedding"][0] for r in got} == {10.0}
+    assert all(r["embedding"][1] == r["n"] for r in got)
+
+
+def test_constant_columns_are_dropped_per_dataset(spark):
+    data = small_data(spark).withColumn("flat", F.when(F.col("dataset") == "d0", F.lit(5.0)).otherwise(F.col("n") * 2))
+    spec = pl.TableSpec(("n", "flat", "c"), ("c",), "row_id", "target", "dataset")
+    masked = jobs._mask_constants(data, spec)
+    assert {(r["dataset"], r[pl.KEPT], r["x"]) for r in masked.groupBy("dataset", pl.KEPT).agg(F.count("flat").alias("x")).collect()} == {
+        ("d0", 2, 0), ("d1", 3, 80)}
+    run = masked.withColumn("run", F.col("dataset"))
+    got = pl.SphereEmbedder(dim=8).embed(run, spec, "run").filter("dataset = 'd0'").orderBy("row_id").collect()
+    plain = pl.SphereEmbedder(dim=8).embed(run.drop(pl.KEPT, "flat"), SPEC, "run").filter("dataset = 'd0'").orderBy("row_id").collect()
+    assert np.allclose([r["embedding"] for r in got], [r["embedding"] for r in plain])
+
+
+def test_a_failing_run_is_told_and_the_others_go_on(spark):
+    data = small_data(spark).withColumn("target", F.when(F.expr("row_id = 0"), "only here").otherwise(F.col("target")))
+    splits = data.select("dataset", "row_id", F.lit(0).alias("repeat"), F.lit(0).alias("fold"),
+                         F.when(F.col("row_id") % 5 == 0, "test").otherwise("train").alias("role"))
+    tasks = data.select("dataset").distinct().withColumn("task_type", F.lit(MULTICLASS)).withColumn("folds", F.lit(1))
+
+    class Broken(pl.ScaledEmbedder):
+        name = "Broken"
+
+        def embed(self, rows, spec, run):
+            return super().embed(rows, spec, run).withColumn("embedding", F.when(F.col(spec.row_id) == 1, F.array(F.lit(float("nan"))))
+                                                             .otherwise(F.col("embedding")))
+
+    got = jobs.supervised_benchmark(data, splits, tasks, SPEC, [pl.SphereEmbedder(dim=8), Broken(name="Broken")], [pl.KNNClassifier()], lite=True)
+    assert {(r["embedding_model"], r["dataset_name"]) for r in got.results.collect()} == {("Sphere", "d1")}
+    told = {(r["run"], r["stage"]): r["reason"] for r in got.errors.collect()}
+    assert "1 labels missing" in told["d0|0|0", MULTICLASS] and "invalid vectors: 1 of 80" in told["d1|0|0", "Broken"]
 
 
 def test_suite_isolates_failures(spark):

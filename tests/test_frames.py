@@ -71,7 +71,7 @@ def test_infer_categorical(spark):
     df = spark.range(200).select((F.col("id") % 3).alias("few"), F.col("id").alias("many"), (F.col("id") % 30).alias("thirty"))
     got = {r["column"]: r["is_categorical"] for r in enc.infer_categorical(df, ["few", "many", "thirty"]).collect()}
     assert got == {"few": True, "many": False, "thirty": False}
-    got = {r["column"]: r["is_categorical"] for r in enc.infer_categorical(df, ["few", "many", "thirty"], ["many", "thirty"], exact_rows=10).collect()}
+    got = {r["column"]: r["is_categorical"] for r in enc.infer_categorical(df, ["few", "many", "thirty"], ["many", "thirty"]).collect()}
     assert got == {"few": False, "many": False, "thirty": True}
 
 
