@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from ..functions.vectors import as_double
 from .encoding import NUMERIC, finite_or_null
 from .projections import edge_label
+from ..staging import stage
 from .ranks import exact_quantiles
 
 
@@ -67,6 +68,7 @@ def clean_results(results: DataFrame, dataset: str = "dataset_name") -> tuple[Da
 
 def _statistics(df: DataFrame, keys: Sequence[str], metric: str, time_col: str, dataset: str) -> DataFrame:
     keys = list(keys)
+    df = stage(df.select(*keys, metric, time_col, dataset), "statistics")  # read by the aggregate and by the quantiles
     stats = df.groupBy(*keys).agg(
         F.avg(metric).alias(f"average_{metric}"), F.stddev_samp(metric).alias(f"std_{metric}"),
         F.min(metric).alias(f"min_{metric}"), F.max(metric).alias(f"max_{metric}"),

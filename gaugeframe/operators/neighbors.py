@@ -105,24 +105,21 @@ def knn_grid(df: DataFrame, num_classes: int, *, ks: Sequence[int] = tuple(range
 
     def tally(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                lab = np.array([r["label"] for r in row.near], dtype=np.int64)
-                dist = np.array([r["distance"] for r in row.near], dtype=float)
-                hot = np.zeros((len(lab), num_classes))
-                hot[np.arange(len(lab)), lab] = 1.0
-                at = np.minimum(np.array(ks), len(lab)) - 1
-                for name in weights:
-                    if name == "uniform":
-                        w = np.ones(len(lab))
-                    elif dist[0] == 0:
-                        w = (dist == 0).astype(float)
-                    else:
-                        w = 1.0 / dist
-                    best = np.cumsum(hot * w[:, None], axis=0)[at].argmax(axis=1)
-                    out += [(row.run, name, k, row.y, int(b)) for k, b in zip(ks, best)]
-            if out:
-                table = pd.DataFrame(out, columns=["_run", "weights", "k", "y", "prediction"])
+            found = []
+            for (run, many), part in pdf.groupby(["run", pdf["labels"].map(len)], sort=False):
+                at = np.minimum(np.array(ks), many) - 1
+                for a in range(0, len(part), 1000):
+                    cut = part.iloc[a:a + 1000]
+                    lab, dist, y = np.stack(cut["labels"]), np.stack(cut["distances"]), cut["y"].to_numpy()
+                    hot = lab[:, :, None] == np.arange(num_classes)
+                    with np.errstate(divide="ignore"):
+                        near = np.where(dist[:, :1] == 0, (dist == 0).astype(float), 1.0 / np.where(dist == 0, 1.0, dist))
+                    for name in weights:
+                        w = np.ones_like(dist) if name == "uniform" else near
+                        best = np.cumsum(hot * w[:, :, None], axis=1)[:, at].argmax(axis=2)
+                        found += [pd.DataFrame({"_run": run, "weights": name, "k": k, "y": y, "prediction": best[:, j]}) for j, k in enumerate(ks)]
+            if found:
+                table = pd.concat(found)
                 yield table.groupby(list(table.columns), as_index=False).size().rename(columns={"size": "n"})
 
     frames = []
@@ -132,7 +129,7 @@ def knn_grid(df: DataFrame, num_classes: int, *, ks: Sequence[int] = tuple(range
         rows = near.join(labels, "t").groupBy("_run", "q").agg(F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "distance", "label"))),
             lambda s: F.struct(s["distance"].alias("distance"), s["label"].alias("label"))).alias("near"))
-        rows = rows.join(truth, "q").select(F.col("_run").alias("run"), "y", "near")
+        rows = rows.join(truth, "q").select(F.col("_run").alias("run"), "y", F.col("near.label").alias("labels"), F.col("near.distance").alias("distances"))
         counts = rows.mapInPandas(tally, schema).groupBy("_run", "weights", "k", "y", "prediction").agg(F.sum("n").alias("n"))
         frames.append(f1_from_counts(counts, ["_run", "weights", "k"]).withColumn("metric", F.lit(metric)))
     out = frames[0]

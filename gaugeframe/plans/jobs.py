@@ -21,7 +21,7 @@ from ..operators.projections import classification_type, order_result_columns
 from ..operators.splits import expand_folds, join_splits, role_by_column, role_by_hash
 from ..sources.sinks import append_results
 from ..sources.tables import read_csv_dataset
-from ..staging import stage
+from ..staging import mark, settle, stage
 from .plugins import KEPT, PARAMS, Embedder, Evaluator, TableSpec
 
 RUN = "run"
@@ -99,6 +99,7 @@ def outlier_benchmark(data: DataFrame, spec: TableSpec, models: Sequence[Embedde
                       registry: dict | None = None, measure_rank: bool = False, save_to: str | None = None,
                       run_ts: str = "now") -> Outcome:
     """Embed all rows of every admitted dataset, score them, and compare the scores with ``y`` (1 = outlier)."""
+    began = mark()
     data = data.withColumn("y", F.col(spec.target).cast("int"))
     profile = profile_datasets(data, spec.features, "y", [spec.dataset], spec.categorical)
     ratio = data.groupBy(spec.dataset).agg(outlier_ratio("y").alias("outlier_ratio"))
@@ -131,7 +132,7 @@ def outlier_benchmark(data: DataFrame, spec: TableSpec, models: Sequence[Embedde
         facts = admitted.select(F.col(spec.dataset).alias("dataset_name"), F.col("num_samples").alias("dataset_size"),
                                 "num_features", "outlier_ratio")
         results = order_result_columns(results.join(facts, "dataset_name"))
-    return Outcome(results, _union(metas), skipped, failures.table())
+    return Outcome(*settle(data.sparkSession, began, results, _union(metas), skipped, failures.table()))
 
 
 def _mask_constants(data: DataFrame, spec: TableSpec) -> DataFrame:
@@ -157,6 +158,7 @@ def supervised_benchmark(data: DataFrame, splits: DataFrame, tasks: DataFrame, s
     that its train rows lack, without train or test rows, or with an invalid vector goes to ``errors``; the others go on.
     Features are never copied per fold: a staged table of (row, run, role, label) joins them where they are read.
     """
+    began = mark()
     ds = spec.dataset
     profile = profile_datasets(data, spec.features, spec.target, [ds], spec.categorical).join(tasks, ds)
     profile = profile.withColumn("task_type", F.when(F.col("task_type") == REGRESSION, F.lit(REGRESSION))
@@ -228,7 +230,7 @@ def supervised_benchmark(data: DataFrame, splits: DataFrame, tasks: DataFrame, s
         facts = admitted.select(F.col(ds).cast("string").alias("dataset_name"), F.col("num_samples").alias("dataset_size"),
                                 "num_features")
         results = order_result_columns(results.join(facts, "dataset_name"))
-    return Outcome(results, _union(metas), skipped, failures.table())
+    return Outcome(*settle(data.sparkSession, began, results, _union(metas), skipped, failures.table()))
 
 
 def separation_benchmark(data: DataFrame, members: DataFrame, spec: TableSpec, models: Sequence[Embedder],
@@ -239,6 +241,7 @@ def separation_benchmark(data: DataFrame, members: DataFrame, spec: TableSpec, m
     ``members`` is ``(collection, position, dataset)`` with positions from 1. A dataset is embedded once, whatever
     number of collections it belongs to; a collection's label is the member's position.
     """
+    began = mark()
     ds = spec.dataset
     wanted = members.select(ds).distinct()
     rows = data.join(wanted, ds, "left_semi").withColumn(RUN, F.col(ds)).withColumn(
@@ -277,7 +280,8 @@ def separation_benchmark(data: DataFrame, members: DataFrame, spec: TableSpec, m
                 if save_to:
                     append_results(line, save_to, "separation", run_ts)
                 lines.append(line)
-    return Outcome(_union(lines), errors=failures.table())
+    results, errors = settle(data.sparkSession, began, _union(lines), failures.table())
+    return Outcome(results, errors=errors)
 
 
 def single_dataset_benchmark(spark: SparkSession, path: str, target: str, task: str, models: Sequence[Embedder],
@@ -285,6 +289,7 @@ def single_dataset_benchmark(spark: SparkSession, path: str, target: str, task:
                              features: Sequence[str] | None = None, categorical: Sequence[str] = (),
                              split_column: str = "set", test_size: float = 0.2, seed: int = 42) -> Outcome:
     """One CSV dataset: split by its ``set`` column, or at random; weighted AUC and log loss, AUC, or MAPE."""
+    began = mark()
     data = read_csv_dataset(spark, path, schema, key)
     skip = {target, "row_id", split_column, key}
     chosen = list(features or [c for c in data.columns if c not in skip])
@@ -317,7 +322,8 @@ def single_dataset_benchmark(spark: SparkSession, path: str, target: str, task:
             got = compute_metrics(stage(scores, "scores"), task, [RUN], registry)
             lines.append(got.select(F.lit(model.name).alias("embedding_model"), F.lit(ev.name).alias("algorithm"),
                                     F.lit(task).alias("task"), *[c for c in got.columns if c != RUN], *_params(ev)))
-    return Outcome(_union(lines), errors=failures.table())
+    results, errors = settle(data.sparkSession, began, _union(lines), failures.table())
+    return Outcome(results, errors=errors)
 
 
 def run_suite(spark: SparkSession, parts: dict[str, Callable[[], Outcome]]) -> tuple[dict[str, Outcome], DataFrame]:

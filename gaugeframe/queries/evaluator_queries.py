@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from ..operators import neighbors as nb, outliers as out
 from ..operators.metrics import roc_auc_ovr
 from ..operators.splits import role_by_hash, stratified_folds
-from ..operators.tuned import BoostedRegressor, KernelSVMEvaluator, KNNSearchEvaluator, LogisticEvaluator, PerceptronEvaluator
+from ..operators.tuned import (BoostedRegressor, Fixed, KernelSVMEvaluator, KNNSearchEvaluator, LogisticEvaluator,
+                               PerceptronEvaluator, Whole)
 from .join_queries import _DIST, knn_sql
 from .registry import EMB, auc_sql, query, role_sql, rounded, u_sql
 
@@ -139,7 +140,7 @@ def centre_distance_fourier(t):
 
 # ---- neighbour grid ----------------------------------------------------------------------------------------------
 
-_KS = (5, 25, 50)
+_KS = tuple(range(5, 101, 5))
 _F = f"""SELECT *, ((row_number() OVER (PARTITION BY label ORDER BY {u_sql("('42|'||vec_id)")}, vec_id) - 1) % 5)::INT AS fold FROM ({EMB})"""
 
 
@@ -153,13 +154,13 @@ def _grid_sql(metric):
       GROUP BY weights, k, fold, q, y, label) WHERE place = 1"""
 
 
-@query("knn_search_grid", f"""WITH f AS MATERIALIZED ({_F}), p AS MATERIALIZED ({_grid_sql('euclidean')} UNION ALL {_grid_sql('cosine')})
+@query("knn_search_grid", f"""WITH f AS MATERIALIZED ({_F}), p AS MATERIALIZED ({_grid_sql('euclidean')} UNION ALL {_grid_sql('manhattan')} UNION ALL {_grid_sql('cosine')})
   SELECT metric, weights, k::INT AS k, fold, round(sum(s*CASE WHEN s+c=0 THEN 0 ELSE 2.0*r/(s+c) END)/sum(s),6) AS f1_weighted FROM
   (SELECT metric, weights, k, fold, cls, count(*) FILTER (y=cls) AS s, count(*) FILTER (label=cls) AS c, count(*) FILTER (y=cls AND label=cls) AS r
    FROM p, range(0,10) x(cls) GROUP BY ALL) GROUP BY metric, weights, k, fold""")
 def knn_search_grid(t):
     rows = stratified_folds(t.embeddings.select("vec_id", "embedding", F.col("label").alias("y")), "vec_id", 5, "y")
-    got = nb.knn_grid(rows, 10, ks=_KS, metrics=("euclidean", "cosine"), row_id="vec_id")
+    got = nb.knn_grid(rows, 10, ks=_KS, row_id="vec_id")
     return rounded(got, "f1_weighted")
 
 
@@ -174,7 +175,7 @@ def _searched(t, evaluator):
 
 @query("knn_hyperparameter_search")
 def knn_hyperparameter_search(t):
-    got = _searched(t, KNNSearchEvaluator(n_trials=10, cv_folds=3))
+    got = _searched(t, KNNSearchEvaluator())
     return got.select("vec_id", "prediction")
 
 
@@ -185,7 +186,7 @@ def logistic_regression_search(t):
 
 @query("perceptron_search")
 def perceptron_search(t):
-    small = {"n_layers": {"type": "int", "low": 1, "high": 2}, "max_iter": {"type": "constant", "value": 40}}
+    small = {"n_layers": Whole(1, 2), "max_iter": Fixed(40)}
     return _searched(t, PerceptronEvaluator(n_trials=2, cv_folds=2, overrides=small)).select("vec_id", "prediction")
 
 
@@ -193,7 +194,7 @@ def perceptron_search(t):
 def boosted_regression_search(t):
     rows = t.part.select(F.col("p_partkey").alias("vec_id"), F.array(F.col("p_size").cast("double"), F.col("p_partkey") % 7.0)
                          .alias("embedding"), F.col("p_retailprice").alias("y")).withColumn("role", role_by_hash("vec_id"))
-    small = {"max_iter": {"type": "int", "low": 5, "high": 10, "step": 5}, "max_depth": {"type": "int", "low": 2, "high": 3}}
+    small = {"max_iter": Whole(5, 10, step=5), "max_depth": Whole(2, 3)}
     model = BoostedRegressor(n_trials=2, cv_folds=2, overrides=small, row_id="vec_id")
     return rounded(model.fit(rows.filter("role = 'train'")).predict(rows.filter("role = 'test'")), "prediction")
 
@@ -209,6 +210,6 @@ def kernel_svm_search(t):
 @query("search_trial_history")
 def search_trial_history(t):
     train, _ = embeddings_split(t)
-    model = KNNSearchEvaluator(n_trials=8, cv_folds=3, row_id="vec_id")
+    model = KNNSearchEvaluator(row_id="vec_id")
     model.optimize(train)
     return model.history(t.spark).select("number", F.round("value", 6).alias("value"), F.to_json("params").alias("params"), "state")

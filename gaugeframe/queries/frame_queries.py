@@ -86,7 +86,7 @@ def null_tolerant_parameter_filter(t):
     return kept.groupBy("algorithm").agg(F.count("*").alias("n"), F.count("algorithm_metric").alias("with_metric"))
 
 
-@query("finite_input_check")
+@query("finite_input_check", "SELECT vec_id, label FROM embeddings WHERE list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND label IS NOT NULL")
 def finite_input_check(t):
     return adm.require_finite(t.embeddings, "embedding", "label").select("vec_id", "label")
 

@@ -17,7 +17,7 @@ from .aggregate_queries import STAT_COLS, stats_sql
 from .embedding_queries import sphere_sql
 from .evaluator_queries import lof_sql
 from .registry import RESULT_LINES, auc_sql, query, result_lines, role_sql, rounded, u_sql
-from .scaling_queries import drawn_collections
+from .scaling_queries import _COLLECTIONS, drawn_collections
 
 
 def scratch(t, name: str) -> str:
@@ -293,7 +293,8 @@ def catalogue_scan(t):
     return splits.join(tasks, "dataset").groupBy("dataset").agg(F.max("instances").alias("n"), F.count_if(F.col("role") == "test").alias("test"))
 
 
-@query("collections_round_trip")
+@query("collections_round_trip", f"""SELECT collection, string_agg(task_id::VARCHAR, '_' ORDER BY position) AS selected_task_ids_str,
+  count(*)::INT AS n FROM ({_COLLECTIONS}) GROUP BY collection""")
 def collections_round_trip(t):
     path = scratch(t, "collections")
     sinks.save_collections(spl.collection_table(drawn_collections(t)), path)

@@ -49,6 +49,16 @@ def knn_join_cells(t):
     return rounded(self_knn(t, 5, strategy="cells", block_rows=128), "distance")
 
 
+@query("knn_join_approximate")
+def knn_join_approximate(t):
+    """How many of the five nearest the approximate join finds, per vector."""
+    kw = dict(block_rows=64)
+    exact = self_knn(t, 5).select("q", "t").withColumn("found", F.lit(1))
+    near = self_knn(t, 5, strategy="approx", probes=24, **kw).select("q", "t")
+    return exact.drop("found").join(near.withColumn("found", F.lit(1)), ["q", "t"], "left").groupBy("q").agg(
+        F.count("*").alias("wanted"), F.count("found").alias("found"))
+
+
 @query("knn_join_per_dataset", "SELECT q, t, round(distance,6) AS distance, rank, label FROM (" +
        knn_sql(EMB, 3, on="a.vec_id<>b.vec_id AND a.label=b.label", extra="label") + ")")
 def knn_join_per_dataset(t):

@@ -37,12 +37,28 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """Where the list of staged tables ends now; for :func:`settle`."""
+    return len(_written)
+
+
+def settle(spark: SparkSession, since: int, *frames: DataFrame | None) -> list[DataFrame | None]:
+    """Stage what a job returns and delete every other table staged since ``since``."""
+    kept_from = len(_written)
+    out = [None if df is None else stage(df, "outcome") for df in frames]
+    _delete(spark, _written[since:kept_from])
+    del _written[since:kept_from]
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    targets = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return sum(bool(t.getFileSystem(conf).delete(t, True)) for t in targets)
+
+
 def release_staged(spark: SparkSession) -> int:
     """Delete the tables this process staged; call it when no frame built on them is needed any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    done = 0
-    while _written:
-        target = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        done += bool(target.getFileSystem(conf).delete(target, True))
+    done = _delete(spark, _written)
+    _written.clear()
     return done

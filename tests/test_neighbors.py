@@ -133,3 +133,28 @@ def test_lof_caps_neighbours(spark):
     m = np.random.default_rng(2).normal(size=(6, 2))
     got = {r["id"]: r["prediction"] for r in local_outlier_factor(frame(spark, m), 50, row_id="id", vec="v").collect()}
     assert np.allclose([got[i] for i in range(6)], lof(m, 5))
+
+
+def test_approximate_join_recall_and_copies(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 16))
+    m = centres[rng.integers(30, size=1500)] + 0.6 * rng.normal(size=(1500, 16))
+    df = frame(spark, m)
+    kw = dict(query_id="id", query_vec="v", train_id="id", train_vec="v", exclude_self=True)
+    exact = {(r["q"], r["t"]) for r in knn_join(df, df, 5, **kw).collect()}
+    found = [len(exact & {(r["q"], r["t"]) for r in knn_join(df, df, 5, strategy="approx", probes=p, block_rows=32, **kw).collect()}) / len(exact)
+             for p in (1, 12, 1000)]
+    assert found[0] < found[1] and found[1] >= 0.95 and found[2] == 1.0
+
+
+def test_every_large_group_has_its_own_pivots(spark):
+    rng = np.random.default_rng(9)
+    g = [0] * 900 + [1] * 60 + [2] * 5
+    df = frame(spark, rng.normal(size=(len(g), 3)), g=g)
+    rows = df.select("g", F.col("id").alias("t"), F.col("v").alias("tv"), F.lit(1).alias("copy"))
+    from gaugeframe.operators import knn
+    got = [r["g"] for r in knn._pivot_rows(rows, ["g"], len(g), 20, 1000)]
+    assert got.count(0) == 45 and got.count(1) == 3 and got.count(2) == 0
+    kw = dict(query_id="id", query_vec="v", train_id="id", train_vec="v", by=["g"])
+    a, b = (sorted(map(tuple, knn_join(df, df, 3, strategy=s, block_rows=20, **kw).select("g", "q", "t", "rank").collect())) for s in ("broadcast", "cells"))
+    assert a == b
