@@ -181,7 +181,7 @@ def knn_hyperparameter_search(t):
 
 @query("logistic_regression_search")
 def logistic_regression_search(t):
-    return _searched(t, LogisticEvaluator(n_trials=3, cv_folds=2)).select("vec_id", "prediction")
+    return _searched(t, LogisticEvaluator()).select("vec_id", "prediction")
 
 
 @query("perceptron_search")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..operators import gram, metrics as met
-from .registry import EMB, auc_sql, query, rounded, u_sql
+from .registry import EMB, ORACLES, auc_sql, query, rounded, u_sql
 
 # Binary: is the line finished; a continuous and a heavily tied score.
 _BINARY = """SELECT l_returnflag, l_linestatus, (l_linestatus='F')::INT AS y, l_extendedprice*(1-l_discount) AS price,
@@ -122,7 +122,8 @@ def f1_weighted(t):
     return rounded(met.f1_weighted(rows, ["l_linestatus"]), "f1_weighted")
 
 
-@query("multiclass_metric_set")
+@query("multiclass_metric_set", f"""SELECT l_linestatus, auc_score_ovr, auc_score_ovo, log_loss_score FROM ({ORACLES['auc_one_vs_rest']})
+  JOIN ({ORACLES['auc_one_vs_one']}) USING (l_linestatus) JOIN ({ORACLES['multiclass_log_loss']}) USING (l_linestatus)""")
 def multiclass_metric_set(t):
     got = met.compute_metrics(_multi(t), met.MULTICLASS, ["l_linestatus"])
     return rounded(got, "auc_score_ovr", "auc_score_ovo", "log_loss_score")

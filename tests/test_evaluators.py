@@ -103,6 +103,31 @@ def test_search_contract(spark, cls):
     assert ev.best_model is None and ev.history(spark) is None
 
 
+@pytest.mark.parametrize("classes", [2, 3])
+def test_many_logistic_models_equal_single_fits(spark, classes):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+    from gaugeframe.operators import many_models as mm
+    from gaugeframe.staging import stage
+    df = classification(spark, 150, classes).withColumns({
+        "fold": (F.col("row_id") % 3).cast("int"), "w_balanced": F.when(F.col("y") == 0, 3.0).otherwise(0.7)})
+    rows = stage(df.repartition(5).select("embedding", "y", "fold", "w_balanced"), "many")
+    tasks = [mm.LogisticTask(f, lam, bal, 300) for f in range(3) for lam, bal in ((1.0, False), (1e-2, True), (1e-4, False))]
+    coef = mm.fit_logistic_models(rows, tasks, 4, classes)
+    counts = mm.held_out_counts(rows, tasks, coef, classes)
+    assert counts.sum((1, 2)).tolist() == [50] * 9
+    vectors = df.withColumn("v", array_to_vector("embedding")).withColumn("one", F.lit(1.0))
+    for task, c in list(zip(tasks, coef))[:4]:
+        one = LogisticRegression(featuresCol="v", labelCol="y", regParam=task.penalty, standardization=False, maxIter=300, tol=1e-9,
+                                 weightCol="w_balanced" if task.balanced else "one", family="auto").fit(vectors.filter(F.col("fold") != task.fold))
+        want = np.vstack([one.coefficientMatrix.toArray().T, one.interceptVector.toArray()])
+        got = c - (c.mean(axis=1, keepdims=True) if classes > 2 else 0)
+        assert np.allclose(got[:-1], want[:-1], atol=0.02 * np.abs(want).max())
+    f1 = mm.weighted_f1(counts)
+    p, r = counts[0].diagonal() / counts[0].sum(0), counts[0].diagonal() / counts[0].sum(1)
+    assert f1[0] == pytest.approx((2 * p * r / (p + r) * counts[0].sum(1)).sum() / 50)
+
+
 def test_binary_kernel_svm_and_regressor(spark):
     ev = tuned.KernelSVMEvaluator(n_trials=1, cv_folds=2)
     got = ev.fit(classification(spark, classes=2)).predict(classification(spark, classes=2)).collect()
