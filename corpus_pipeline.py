@@ -43,8 +43,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of the remaining documents with the check sum of its ids and its place in a sequence."""
     ship_package(spark)
-    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), payload=F.crc32("ids").alias("ids_crc32"))
 
 
 STAGES = [

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..staging import stage
 from .tokens import encoder
@@ -142,14 +142,16 @@ def place(items: DataFrame, size: int = SIZE, slack: int = 8, items_per_task: in
 
 
 def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", size: int = SIZE,
-         end_id: int = 1, slack: int = 8) -> DataFrame:
+         end_id: int = 1, slack: int = 8, payload: Column | None = None) -> DataFrame:
     """Every piece of every document with its ids and its place: ``(key, piece, start, length, ids, sequence_id, offset)``.
 
+    ``payload`` is what travels with a piece to its place instead of its ids, a column of ``tokenize``'s (with its own name).
     Null and empty texts are one piece of one id. Rows with a null or repeated key are packed like others, a piece each
     time. Columns beside ``key`` and ``text`` are ignored. An empty table gives an empty result.
     """
     pieces = stage(tokenize(docs, tokenizer_path, key, text, size, end_id).withColumn(
         "item", F.monotonically_increasing_id()), "pieces")
+    pieces = pieces.select(key, "piece", "start", "length", F.col("ids") if payload is None else payload, "item")
     whole = pieces.filter(F.col("length") == size).withColumns(
         {"sequence_id": -F.col("item") - 1, "offset": F.lit(0).cast("long")}).drop("item")
     rest = pieces.filter(F.col("length") < size)

@@ -60,8 +60,7 @@ def _language_id(t):
 
 @query("op3_best_fit_packing")
 def _best_fit_packing(t):
-    packed = packing.pack(t.documents, public_tokenizers.path(WORD_BPE))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packing.pack(t.documents, public_tokenizers.path(WORD_BPE), payload=F.crc32("ids").alias("ids_crc32"))
 
 
 @query("op4_simhash_near_dedup")
