@@ -10,39 +10,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeframe.llm import decontam, langid, packing, quality, simhash
-from gaugeframe.llm.common import drop_ids
-from gaugeframe.session import ship_package
+from gaugeframe.llm.common import drop_ids, prepare
 from gaugeframe.staging import stage
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.3 or more."""
-    ship_package(spark)
+    prepare(spark)
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified."""
-    ship_package(spark)
+    prepare(spark)
     return langid.keep_identified(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of each near-duplicate group that has the smallest doc_id; of repeated rows, all with that id."""
-    ship_package(spark)
+    prepare(spark)
     found = simhash.near_duplicates(docs, words=4, radius=4)
     return drop_ids(docs, stage(found.filter("doc_id <> component_id").select("doc_id"), "copies"), "doc_id")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    ship_package(spark)
+    prepare(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of the remaining documents with the check sum of its ids and its place in a sequence."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), payload=F.crc32("ids").alias("ids_crc32"))
 
 

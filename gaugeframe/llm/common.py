@@ -5,14 +5,27 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import ship_package
 from ..staging import stage
 
 #: A side of a join is broadcast only if its measured rows times its row width stay under this.
 BROADCAST_BYTES = 32 << 20
 
 
+#: Bytes of rows sent to a Python worker at once; Spark's default of 64 MB is much for long texts on small executors.
+ARROW_BATCH = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package and, unless the session sets them otherwise, make batches to Python workers smaller."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64MB", "67108864b"):
+        spark.conf.set(key, f"{ARROW_BATCH}b")
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if ``count * row_bytes`` fits the limit, else as it is (a shuffled join then).
 
@@ -101,7 +114,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0]: offs[-1]], offs - offs[0]
 
 
-def chunks(offs: np.ndarray, limit: int = 2 << 20):
+def chunks(offs: np.ndarray, limit: int = 1 << 19):
     """Ranges of whole rows of about ``limit`` bytes; a longer row is a range of its own."""
     n, at = len(offs) - 1, 0
     while at < n:

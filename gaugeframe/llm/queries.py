@@ -10,9 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..queries.registry import Tables
-from ..session import ship_package
 from ..staging import stage_root
 from . import chat, decontam, html_text, langid, licenses, packing, quality, simhash, vectors, warc
+from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return fn(Tables(spark, sf_dir.rstrip("/")))
 
         QUERIES[name] = run

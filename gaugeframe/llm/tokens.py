@@ -19,7 +19,7 @@ _MARKS = r"!-&(-/:-@\[-`{-~"
 #: letters before ASCII or the end; ASCII marks before a letter, a digit, white space or the end; else all up to a space
 _PIECE = re.compile(rf"[a-zß-öø-ÿ]++(?=[\x00-\x7f]|\Z)|[{_MARKS}]++(?=[a-z0-9]|\Z)|.+", re.DOTALL)
 _PLAIN = re.compile(rf"[a-zß-öø-ÿ]+|[{_MARKS}]+")  # one word each, so many are encoded in one call
-CHUNKS, PIECES = 400_000, 600_000  # entries a worker keeps; what is met first, so the frequent ones, stays
+CHUNKS, PIECES = 300_000, 500_000  # entries a worker keeps; what is met first, so the frequent ones, stays
 
 
 class WordEncoder:
