@@ -2,8 +2,9 @@
 
 The standard library's parser streams events over a page. They build lines, a line per block of text, each with the number of
 tags in it and the elements around it. The text-to-tag ratio of the lines, smoothed with a Gaussian, is cut in two clusters;
-the runs of the upper one are the content regions. The article or main element (else the sections) that holds a region is
-the content, all of its lines, less those in elements that are never content.
+the runs of the upper one are the content regions. The article or main element that holds a region is the content, else the
+smallest element around all regions, without outer parts that hold none; all of its lines, less those in elements that are
+never content.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ BLOCK = frozenset(
 NEVER = frozenset(
     "aside button datalist dialog footer form head iframe menu nav noscript object option script search select style svg "
     "template textarea title".split())
+HOLDERS = frozenset("body center div html section table td".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 # words in a class or id that name what is not the main text
 NAMES = frozenset(
@@ -204,10 +206,18 @@ def main_text(html: str | None) -> str:
         if holders:
             within = {n for x in np.flatnonzero(chosen) for n in lines[x].around if n in holders} or holders
             return "\n\n".join(x.text for x in lines if within & set(x.around))
-    section = {max((n for n in lines[x].around if page.kinds[n] in ("section", "div", "td", "body", "html")), default=None)
-               for x in np.flatnonzero(chosen)}
-    whole = None in section or any(page.kinds[n] in ("body", "html") for n in section)
-    return "\n\n".join(x.text for x in lines if x.around != (-1,) and (whole or section & set(x.around)))
+    # the smallest element around all regions: all of it if it holds a region itself, else those of its parts that do,
+    # with what lies between them or stands in the element directly
+    inside = [tuple(n for n in x.around if n >= 0 and page.kinds[n] in HOLDERS) for x in lines]
+    places = np.flatnonzero(chosen)
+    around, depth = inside[places[0]], 0
+    while all(len(inside[x]) > depth and inside[x][depth] == around[depth] for x in places):
+        depth += 1
+    whole = any(len(inside[x]) == depth for x in places)
+    parts = {inside[x][depth] for x in places if len(inside[x]) > depth}
+    held = [x.text for k, (x, own) in enumerate(zip(lines, inside)) if able[k] and own[:depth] == around[:depth]
+            and (whole or len(own) == depth or own[depth] in parts or places[0] < k < places[-1])]
+    return "\n\n".join(held)
 
 
 def extract(html: Column) -> Column:

@@ -133,6 +133,8 @@ def page(body):
     (f"<body><article><p>{LONG}</p><p>cut</arti", [LONG, "cut"]),
     (f"<body><article><p>{LONG}</p><p>cut<!-- a > b", [LONG, "cut"]),
     (f"<body><article><p>1 < 2 {LONG}</p><div class=ad>buy</div></b></article>", ["1 < 2 " + LONG]),
+    (page(f"<div><div><p>{LONG}</p></div><div><p>short</p></div><div><p>{LONG}</p></div><p>loose</p></div>"), [LONG, "short", LONG, "loose"]),
+    (page(f"<ul><li><a>a</a></li></ul><div><p>{LONG}</p><p>short</p><div><p>deep</p></div></div><div><a href=x>l</a> <a>m</a> <a>n</a></div>"), [LONG, "short", "deep"]),
     (f"<p>{LONG}", [LONG]), ("plain words", ["plain words"]), ("", []), (None, []), ("<nav>only</nav>", []), ("<script>x", []), ("<article hidden>x</article>", []),
 ])
 def test_main_text(html, want):
