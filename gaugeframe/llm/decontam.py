@@ -1,6 +1,6 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and items are compared lower-cased with white space runs as one space. An item of ``n`` characters may differ from
+Texts and items are compared as lower-case words and numbers with one space between them. An item of ``n`` characters may differ from
 its occurrence in ``k`` edits, ``k`` the ``error_rate`` share of ``n`` but at most what leaves pieces of ``piece_chars``.
 Cut into ``k + 1`` pieces, one piece must occur unchanged: an Aho-Corasick automaton finds all exact piece hits of a text in one
 pass, hits on about the same diagonal are one candidate, and Myers' bit-parallel distance decides.
@@ -11,6 +11,7 @@ documents per block, so a benchmark of any size works in bounded memory. Documen
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import pyarrow as pa
@@ -20,9 +21,12 @@ from ..staging import stage
 from .common import drop_ids
 
 
+_WORDS = re.compile(r"[^\W_]+")
+
+
 def normalise(text: str | None) -> str:
-    """Lower case, white space runs as one space, none at the ends."""
-    return " ".join((text or "").lower().split())
+    """Words and numbers in lower case with one space between them: marks, spacing and letter case are no edits."""
+    return " ".join(_WORDS.findall((text or "").lower()))
 
 
 def edit_budget(chars: int, error_rate: float, piece_chars: int) -> int:
