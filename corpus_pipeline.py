@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeframe.llm import decontam, langid, packing, quality, simhash
 from gaugeframe.llm.common import drop_ids, prepare
-from gaugeframe.staging import stage
+from gaugeframe.staging import mark, settle, stage
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir.rstrip("/")), name)
+    """The rows of the last stage. A stage's result is written before what it was made of is deleted."""
+    sf_dir, began = sf_dir.rstrip("/"), mark()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, step in STAGES:
+        (docs,) = settle(spark, began, step(spark, docs, sf_dir))
     return docs
