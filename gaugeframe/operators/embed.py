@@ -38,7 +38,7 @@ def aggregate_views(views: DataFrame, how: str, keys: Sequence[str] = ("row_id",
     if how == "concat":
         ordered = F.array_sort(F.collect_list(F.struct(F.col(view).alias("v"), as_double(vec).alias("e"))))
         return views.groupBy(*keys).agg(F.flatten(F.transform(ordered, lambda s: s["e"])).alias(vec))
-    raise NotImplementedError(f"Aggregation '{how}' not implemented")
+    raise NotImplementedError(f"views are combined by mean, first_element or concat, not {how}")
 
 
 # ---- auxiliary targets -----------------------------------------------------------------------------------------

@@ -77,7 +77,7 @@ def random_collections(tasks: DataFrame, task_id: str = "task_id", num_collectio
     numbered = number_rows(tasks.select(task_id).distinct(), [task_id], "slot")
     total = numbered.count()
     if total < 2:
-        raise ValueError(f"Not enough filtered tasks ({total}) to create collections.")
+        raise ValueError(f"{total} tasks are too few for a collection")
     prime = _next_prime(total)
     spark = tasks.sparkSession
     draws = spark.range(num_collections).withColumnRenamed("id", "number").select(

@@ -81,15 +81,15 @@ def read_collections(spark: SparkSession, path: str) -> DataFrame:
         text = spark.read.text(path, wholetext=True)
         text.head(1)
     except AnalysisException as e:
-        raise FileNotFoundError(f"The file {path} does not exist.") from e
+        raise FileNotFoundError(f"no collections at {path}") from e
     valid = text.select(F.count_if(F.try_parse_json("value").isNull()).alias("bad")).first()["bad"]
     if valid:
-        raise ValueError(f"Invalid JSON format in {path}")
+        raise ValueError(f"{path} is not JSON")
     parsed = text.select(F.from_json("value", COLLECTION_SCHEMA).alias("m"))
     rows = parsed.select(F.explode_outer("m").alias("collection", "c")).select("collection", "c.*")
     lacking = F.col("collection").isNull() | F.col("selected_task_ids_str").isNull() | F.col("selected_task_ids").isNull() \
         | F.exists("selected_task_ids", lambda x: x.isNull())
     bad = rows.filter(lacking).limit(1).collect()
     if bad:
-        raise ValueError(f"Schema validation failed for {path}: {bad[0]['collection']} lacks a field or has one of a wrong type")
+        raise ValueError(f"collection {bad[0]['collection']} of {path} lacks a field or has one of a wrong type")
     return rows
