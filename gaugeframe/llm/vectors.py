@@ -206,8 +206,8 @@ def _join_unit(grid: Grid, kind: str):
     return work
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, block_dim: int = 8,
-                    cell_rows: int = 8192, slice_rows: int = 16384, seed: int = 11) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, block_dim: int = 16,
+                    cell_rows: int = 8192, slice_rows: int = 32768, seed: int = 11) -> DataFrame:
     """``(key, n_links, component_id, kept)`` per row.
 
     ``n_links`` counts other rows linked directly, ``component_id`` is the smallest key reachable, ``kept`` tells whether it
