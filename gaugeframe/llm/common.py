@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,6 +28,24 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, f"{ARROW_BATCH}b")
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system; workers live long and would keep the peak of every operator they ever ran."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def thrifty(batches):
+    """The batches, with what the last one used given back before the next."""
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if ``count * row_bytes`` fits the limit, else as it is (a shuffled join then).
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..staging import stage
-from .common import drop_ids
+from .common import drop_ids, thrifty
 
 
 _WORDS = re.compile(r"[^\W_]+")
@@ -159,7 +159,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
         def work(batches, shared=shared):
             matcher = None
-            for batch in batches:
+            for batch in thrifty(batches):
                 matcher = matcher or Matcher(shared.value, error_rate, piece_chars)
                 who, found = [], []
                 for row, value in enumerate(batch.column(1)):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..staging import stage
-from .common import LOWER, broadcast_if_small, chunks, drop_ids, flat
+from .common import LOWER, broadcast_if_small, chunks, drop_ids, flat, give_back, thrifty
 
 BUCKETS = 1 << 15
 LANGUAGES = 64  # most languages told apart
@@ -66,7 +66,7 @@ def trigram_table(rows: DataFrame, languages: list[str]) -> np.ndarray:
 
     def work(batches):
         total = np.zeros(len(place) * BUCKETS, np.int64)
-        for batch in batches:
+        for batch in thrifty(batches):
             own = np.array([place.get(x, -1) for x in batch.column(1).to_pylist()])
             for first, _, bucket, row in _trigrams(batch.column(0)):
                 lang = own[first + row]
@@ -105,6 +105,7 @@ def _text_evidence(table, weight: float, most: int):
                 out[first: first + rows, k] = np.bincount(row, own[bucket], minlength=rows)
         out *= (weight * np.minimum(many, most) / np.maximum(many, 1))[:, None]
         values = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1]), pa.int32()), pa.array(out.ravel()))
+        give_back()
         return pa.StructArray.from_arrays([values, pa.array(many)], names=["ll", "trigrams"])
 
     return F.arrow_udf(evidence, "struct<ll:array<double>,trigrams:bigint>")

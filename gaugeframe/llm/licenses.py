@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import LOWER, chunks, flat, mix, runs, span_hashes
+from .common import LOWER, chunks, flat, mix, runs, span_hashes, thrifty
 
 SHINGLE, BANDS, CONTAINMENT = 5, 64, 0.8
 _WORDS = np.zeros(256, np.uint8)
@@ -148,7 +148,7 @@ def find_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
 
     def work(batches):
         ready = Templates(templates, containment)
-        for batch in batches:
+        for batch in thrifty(batches):
             best: dict[tuple[int, int], list] = {}
             for row, which, share, first, last in ready.scan(batch.column(1)):
                 now = best.setdefault((row, which), [share, first, last, 0])

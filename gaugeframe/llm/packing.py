@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..staging import stage
+from .common import thrifty
 from .tokens import encoder
 
 SIZE = 4096
@@ -36,7 +37,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: st
 
     def work(batches):
         encode = encoder(spec.value).encode
-        for batch in batches:
+        for batch in thrifty(batches):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows, piece, start, ids = [], [], [], []

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LETTER, LOWER, broadcast_if_small, chunks, flat, runs, span_hashes
+from .common import LETTER, LOWER, broadcast_if_small, chunks, flat, give_back, runs, span_hashes, thrifty
 from ..staging import stage
 
 BUCKETS, DIM = 1 << 14, 32
@@ -55,7 +55,7 @@ def _context_sums(seed: int):
         vectors = index_vectors(seed)
         plus, minus = vectors.argmax(1), vectors.argmin(1)
         total = np.zeros(BUCKETS * DIM, np.int64)
-        for batch in batches:
+        for batch in thrifty(batches):
             for _, _, bucket, row, *_ in terms(batch.column(0)):
                 for step in (1, 2):
                     near = np.flatnonzero(row[step:] == row[:-step])
@@ -172,7 +172,9 @@ class QualityModel:
             vectors, network, prior = shared.value
             if network is None:
                 return pa.array(np.full(len(column), prior))
-            return pa.array(network.predict(pool(column, vectors)))
+            out = pa.array(network.predict(pool(column, vectors)))
+            give_back()
+            return out
 
         return quality_score(text.cast("string"))
 

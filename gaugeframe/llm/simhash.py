@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..staging import stage
-from .common import broadcast_if_small, components, local_roots
+from .common import broadcast_if_small, components, local_roots, thrifty
 
 BITS = 64
 
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     kind = docs.schema[key].dataType
 
     def work(batches):
-        for batch in batches:
+        for batch in thrifty(batches):
             fps = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
 
@@ -120,7 +120,7 @@ def _link_shards(radius: int):
     """Work on batches of shards ``(tree array<long>, probes array<long>)``; no probes: the tree's members probe it."""
 
     def work(batches):
-        for batch in batches:
+        for batch in thrifty(batches):
             tree, probes = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch.column(0), batch.column(1)))
             size = np.diff(tree.offsets.to_numpy())
             fps = tree.flatten().to_numpy().view(np.uint64)
