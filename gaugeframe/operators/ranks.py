@@ -39,9 +39,15 @@ def quantile_arrays(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
     While a group holds more rows than one task should order, values are counted in equal-width bins and only the bins
     that hold a wanted rank are kept and cut again; the full data is scanned but never sorted or shuffled. Equal values
-    collapse to one counted row before the last, small ordering.
+    collapse to one counted row before the last, small ordering. Where no group is that large, Spark's ``percentile`` gives
+    the same values in one aggregation.
     """
     by, probs = list(by), [float(p) for p in probs]
+    largest = (df.groupBy(*by).count().agg(F.max("count")).first()[0] if by else df.count()) or 0
+    if largest <= one_task_rows:
+        finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+        wide = df.groupBy(*by).agg(*[F.percentile(finite(F.col(c).cast("double")), F.lit(probs)).alias(f"_q{i}") for i, c in enumerate(cols)])
+        return wide.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_q{i}").alias("q")) for i, c in enumerate(cols)])))
     keys = ["_key", "column"]
     group = F.struct(*by) if by else F.lit(0)
     long = df.select(group.alias("_key"), F.inline_outer(F.array(*[
@@ -94,19 +100,6 @@ def quantile_arrays(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
                     one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """Rows ``(*by, column, q0, q1, …)``: exact quantiles of the finite values of each column.
-
-    Groups of at most ``one_task_rows`` rows use Spark's ``percentile``; larger ones go through
-    :func:`quantile_arrays`.
-    """
-    by = list(by)
-    largest = (df.groupBy(*by).count().agg(F.max("count")).first()[0] if by else df.count()) or 0
-    if largest > one_task_rows:
-        got = quantile_arrays(df, cols, probs, by, one_task_rows)
-        return got.select(*by, "column", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))])
-    wanted = F.lit([float(p) for p in probs])
-    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
-    wide = df.groupBy(*by).agg(*[F.percentile(finite(F.col(c).cast("double")), wanted).alias(f"_q{i}") for i, c in enumerate(cols)])
-    rows = wide.select(*by, F.inline_outer(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_q{i}").alias("q"))
-                                               for i, c in enumerate(cols)])))
-    return rows.select(*by, "column", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))])
+    """Rows ``(*by, column, q0, q1, …)``: exact quantiles of the finite values of each column."""
+    got = quantile_arrays(df, cols, probs, by, one_task_rows)
+    return got.select(*by, "column", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))])
