@@ -149,13 +149,15 @@ def loss_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.nda
     return "".join(unescape(formatted[starts[a]: ends[b - 1]]) for a, b in zip(edge[::2], edge[1::2]))
 
 
-def digest(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
+def digest(formatted: DataFrame, key: str = "conv_id", in_order: bool = False) -> DataFrame:
     """``(key, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)`` per conversation, read back from the output.
 
-    Segments of a conversation follow each other in one sorted partition and are folded one by one.
+    Segments of a conversation follow each other in one sorted partition and are folded one by one. ``in_order`` says that
+    they do already, as in the plan of ``format_conversations`` itself; rows read from a table are dealt and sorted first.
     """
     rows = formatted.select(F.col(key).alias("key"), "segment", "formatted", "starts", "ends", "mask")
-    rows = rows.repartition("key").sortWithinPartitions("key", "segment")
+    if not in_order:
+        rows = rows.repartition("key").sortWithinPartitions("key", "segment")
     names = ["key", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def work(batches):

@@ -96,7 +96,7 @@ def _chat_format(t):
     turns = t.conversations.select("conv_id", "turn", "role", "text")
     extra = t.spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
     formatted = chat.format_conversations(turns.union(extra), public_tokenizers.path(BYTE_BPE))
-    return chat.digest(formatted)
+    return chat.digest(formatted, in_order=True)
 
 
 @query("op10_quality_classifier")

@@ -184,6 +184,7 @@ def test_chat_format(spark, segment_chars):
     rows = spark.createDataFrame([(*t, "s") for t in draw.sample(turns, len(turns))], "conv_id long, turn long, role string, text string, segment string")
     out = chat.format_conversations(rows, BYTE_BPE, segment_chars=segment_chars)
     got = {r.conv_id: r for r in chat.digest(out).collect()}
+    assert sorted(map(str, chat.digest(out, in_order=True).collect())) == sorted(map(str, got.values()))
     by = {}
     for c, t, r, x in turns:
         by.setdefault(c, []).append((t is not None, t or 0, r or "", x or ""))
