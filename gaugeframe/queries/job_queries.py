@@ -118,7 +118,7 @@ def supervised_benchmark_regression(t):
     data = data.withColumn("target", F.col("c_acctbal") / 100 + F.col("c_nationkey"))
     got = jobs.supervised_benchmark(data, lists, tasks.withColumn("task_type", F.lit(REGRESSION)), _SUP_SPEC,
                                     [pl.SphereEmbedder(dim=8), pl.ScaledEmbedder()], [pl.KNNRegressor(k=5), pl.KNNRegressor(k=10, weights="distance")],
-                                    max_samples=10**9, lite=True)
+                                    max_samples=10**9)
     return rounded(got.results, "mae_score", "mape_score", "r2_score", "rmse_score")
 
 
@@ -131,7 +131,7 @@ def _pipeline(features, task):
 def end_to_end_predictor(t):
     data, lists, tasks = supervised_inputs(t)
     spec = pl.TableSpec(("c_acctbal", "c_nationkey"), (), "c_custkey", "target", "dataset")
-    got = jobs.supervised_benchmark(data, lists, tasks, spec, [pl.PipelinePredictor(make=_pipeline)], [], max_samples=10**9, lite=True)
+    got = jobs.supervised_benchmark(data, lists, tasks, spec, [pl.PipelinePredictor(make=_pipeline)], [], max_samples=10**9)
     return rounded(got.results, "auc_score_ovr", "auc_score_ovo", "log_loss_score")
 
 

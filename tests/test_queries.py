@@ -37,3 +37,19 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(SQL) <= set(driver.queries())
+
+
+@pytest.mark.parametrize("name", ["supervised_benchmark_regression", "end_to_end_predictor"])
+def test_every_staged_split_is_evaluated(spark, monkeypatch, name):
+    from gaugeframe.plans import jobs
+
+    class Planned(Exception):
+        pass
+
+    def planned(*args, expand=jobs.expand_folds, **options):
+        raise Planned(expand(*args, **options).groupBy("dataset").count().collect())
+
+    monkeypatch.setattr(jobs, "expand_folds", planned)
+    with pytest.raises(Planned) as told:
+        driver.queries()[name](spark, FOLDER)
+    assert [r["count"] for r in told.value.args[0]] == [20] * 5
