@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from ..operators import neighbors as nb, outliers as out
 from ..operators.metrics import roc_auc_ovr
 from ..operators.splits import role_by_hash, stratified_folds
-from ..operators.tuned import (BoostedRegressor, Fixed, KernelSVMEvaluator, KNNSearchEvaluator, LogisticEvaluator,
-                               PerceptronEvaluator, Whole)
+from ..operators.tuned import (BoostedRegressor, KernelSVMEvaluator, KNNSearchEvaluator, LogisticEvaluator,
+                               PerceptronEvaluator)
 from .join_queries import _DIST, knn_sql
 from .registry import EMB, auc_sql, query, role_sql, rounded, u_sql
 
@@ -186,25 +186,20 @@ def logistic_regression_search(t):
 
 @query("perceptron_search")
 def perceptron_search(t):
-    small = {"n_layers": Whole(1, 2), "max_iter": Fixed(40)}
-    return _searched(t, PerceptronEvaluator(n_trials=2, cv_folds=2, overrides=small)).select("vec_id", "prediction")
+    return _searched(t, PerceptronEvaluator()).select("vec_id", "prediction")
 
 
 @query("boosted_regression_search")
 def boosted_regression_search(t):
     rows = t.part.select(F.col("p_partkey").alias("vec_id"), F.array(F.col("p_size").cast("double"), F.col("p_partkey") % 7.0)
                          .alias("embedding"), F.col("p_retailprice").alias("y")).withColumn("role", role_by_hash("vec_id"))
-    small = {"max_iter": Whole(5, 10, step=5), "max_depth": Whole(2, 3)}
-    model = BoostedRegressor(n_trials=2, cv_folds=2, overrides=small, row_id="vec_id")
+    model = BoostedRegressor(row_id="vec_id")
     return rounded(model.fit(rows.filter("role = 'train'")).predict(rows.filter("role = 'test'")), "prediction")
 
 
 @query("kernel_svm_search")
 def kernel_svm_search(t):
-    train, test = embeddings_split(t)
-    binary = (F.col("y") >= 5).cast("int")
-    model = KernelSVMEvaluator(n_trials=2, cv_folds=2, features=64, row_id="vec_id")
-    return model.fit(train.withColumn("y", binary)).predict(test).select("vec_id", "prediction")
+    return _searched(t, KernelSVMEvaluator()).select("vec_id", "prediction")
 
 
 @query("search_trial_history")

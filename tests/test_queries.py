@@ -53,3 +53,22 @@ def test_every_staged_split_is_evaluated(spark, monkeypatch, name):
     with pytest.raises(Planned) as told:
         driver.queries()[name](spark, FOLDER)
     assert [r["count"] for r in told.value.args[0]] == [20] * 5
+
+
+@pytest.mark.parametrize("name, trials, classes", [("perceptron_search", 10, 10), ("boosted_regression_search", 10, None),
+                                                   ("kernel_svm_search", 50, 10)])
+def test_searches_run_their_default_budgets(spark, monkeypatch, name, trials, classes):
+    from gaugeframe.operators import tuned
+
+    class Begun(Exception):
+        pass
+
+    def begun(self, train):
+        raise Begun(self, train.select(self.label).distinct().count())
+
+    monkeypatch.setattr(tuned.TunedEvaluator, "fit", begun)
+    with pytest.raises(Begun) as told:
+        driver.queries()[name](spark, FOLDER)
+    model, labels = told.value.args
+    assert (model.n_trials, model.cv_folds, model.overrides) == (trials, 5, {})
+    assert getattr(model, "features", 128) == 128 and labels == (classes or labels)
