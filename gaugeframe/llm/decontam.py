@@ -1,9 +1,10 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and items are compared as lower-case words and numbers with one space between them. An item of ``n`` characters may differ from
-its occurrence in ``k`` edits, ``k`` the ``error_rate`` share of ``n`` but at most what leaves pieces of ``piece_chars``.
-Cut into ``k + 1`` pieces, one piece must occur unchanged: an Aho-Corasick automaton finds all exact piece hits of a text in one
-pass, hits on about the same diagonal are one candidate, and Myers' bit-parallel distance decides.
+Texts and items are compared as lower-case words and numbers with one space between them. An occurrence of an item may differ in
+``k`` edits, or in ``WORDS`` whole words of any length put in, left out or exchanged. ``k`` is what two words come to even in short
+items, and the ``error_rate`` share of long ones. Cut into ``k + 3`` pieces, three must occur unchanged on about the same diagonal; cut
+into ``WORDS + 1`` runs of words, one must. An Aho-Corasick automaton finds all exact hits of both in one pass, and Myers'
+bit-parallel distance, over characters and over words, decides.
 
 The items are the query set: they go to the tasks in blocks of at most ``block_chars`` characters, one pass over the
 documents per block, so a benchmark of any size works in bounded memory. Documents are never shuffled.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -29,21 +31,32 @@ def normalise(text: str | None) -> str:
     return " ".join(_WORDS.findall((text or "").lower()))
 
 
+REWORDED = 12  # edits that two exchanged words of the usual length come to
+WORDS = 2  # words that may differ whatever their length
+LONGEST = 64  # characters by which words put in may move an occurrence
+
+
 def edit_budget(chars: int, error_rate: float, piece_chars: int) -> int:
-    """Edits an occurrence of an item of ``chars`` characters may have."""
-    return max(0, min(int(error_rate * chars), chars // piece_chars - 1))
+    """Edits an occurrence of an item of ``chars`` characters may have: a fifth of what it has above ``piece_chars`` up to
+    ``REWORDED``, and the ``error_rate`` share beyond. Items of up to ``piece_chars`` must occur exactly."""
+    return max(int(error_rate * chars), min(REWORDED, (chars - piece_chars) // 5)) if chars > piece_chars else 0
+
+
+def word_budget(words: int) -> int:
+    """Whole words that may differ: one in four at most."""
+    return min(WORDS, words // 4)
 
 
 class Myers:
     """Bit-parallel edit distance of one pattern, one machine step per text character."""
 
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: Sequence[str]):
         self.m = len(pattern)
-        self.at: dict[str, int] = defaultdict(int)
+        self.at: dict[str, int] = defaultdict(int)  # a character, or a word where the pattern is a list of words
         for k, c in enumerate(pattern):
             self.at[c] |= 1 << k
 
-    def columns(self, text: str, anchored: bool = False):
+    def columns(self, text: Sequence[str], anchored: bool = False):
         """After each text character: the distance of the pattern to the best text ending there (``anchored``: to all of it)."""
         full, top = (1 << self.m) - 1, 1 << (self.m - 1)
         up, down, score, at, carry = full, 0, self.m, self.at.get, int(anchored)
@@ -73,18 +86,30 @@ class Matcher:
         self.items = [(key, text, edit_budget(len(text), error_rate, piece_chars)) for key, text in items]
         self.forward: dict[int, Myers] = {}
         self.backward: dict[int, Myers] = {}
-        pieces = defaultdict(list)
+        self.wordly: dict[int, Myers] = {}
+        self.words = [text.split(" ") for _, text, _ in self.items]
+        self.differ = [word_budget(len(words)) if k else 0 for words, (*_, k) in zip(self.words, self.items)]
+        self.need = []
+        pieces = defaultdict(list)  # (item, offset in it, number of the piece or -1 for a run of words)
         for which, (_, text, k) in enumerate(self.items):
-            cut = [len(text) * p // (k + 1) for p in range(k + 2)]
-            for a, b in zip(cut, cut[1:]):
-                pieces[text[a:b]].append((which, a))
+            need = max(1, min(3, len(text) // 4 - k)) if k else 1
+            self.need.append(need)
+            cut = [len(text) * p // (k + need) for p in range(k + need + 1)]
+            for number, (a, b) in enumerate(zip(cut, cut[1:])):
+                if b > a:
+                    pieces[text[a:b]].append((which, a, number))
+            words, differ = self.words[which], self.differ[which]
+            if differ:
+                for p in range(differ + 1):
+                    a, b = len(words) * p // (differ + 1), len(words) * (p + 1) // (differ + 1)
+                    pieces[" ".join(words[a:b])].append((which, len(" ".join(words[:a])) + (a > 0), -1))
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
 
     def verify(self, which: int, text: str, lo: int, hi: int) -> tuple[int, int, int] | None:
-        """``(distance, start, end)`` of the best occurrence within ``text[lo:hi]``, if it is within the budget."""
+        """``(distance, start, end)`` of the best occurrence within ``text[lo:hi]``, if it is within either budget."""
         _, item, k = self.items[which]
         exact = text.find(item, max(lo, 0), hi)
         if exact >= 0:
@@ -94,11 +119,11 @@ class Matcher:
         if which not in self.forward:
             self.forward[which], self.backward[which] = Myers(item), Myers(item[::-1])
         lo = max(lo, 0)
-        best, end = k + 1, 0
+        best, end = len(item) + 1, 0
         for at, score in enumerate(self.forward[which].columns(text[lo:hi])):
             if score < best:
                 best, end = score, lo + at + 1
-        if best > k:
+        if best > k and not self.reworded(which, text[lo:hi]):
             return None
         back = text[max(0, end - len(item) - best): end][::-1]
         for length, score in enumerate(self.backward[which].columns(back, anchored=True), 1):
@@ -106,22 +131,57 @@ class Matcher:
                 return best, end - length, end
         return best, end, end
 
+    def reworded(self, which: int, part: str) -> bool:
+        """Whether the item occurs in ``part`` with few enough words put in, left out or exchanged."""
+        if not self.differ[which]:
+            return False
+        if which not in self.wordly:
+            self.wordly[which] = Myers(self.words[which])
+        return min(self.wordly[which].columns(part.split(" ")), default=len(part)) <= self.differ[which]
+
+    def candidates(self, which: int, hits: list[tuple[int, int]]):
+        """Diagonals that hold as many pieces as an occurrence must, or a run of words."""
+        k, need, runs = self.items[which][2], self.need[which], {d for d, number in hits if number < 0}
+        if len(hits) < need and not runs:
+            return []
+        if need == 1:
+            return sorted({d for d, _ in hits})
+        hits = sorted(hit for hit in hits if hit[1] >= 0)
+        found, held, first = runs, defaultdict(int), 0
+        for d, number in hits:
+            held[number] += 1
+            while hits[first][0] < d - k:
+                old = hits[first][1]
+                held[old] -= 1
+                if not held[old]:
+                    del held[old]
+                first += 1
+            if len(held) >= need:
+                found |= {hits[first][0], d}
+        return sorted(found)
+
     def find(self, text: str):
         """``(item key, distance, start, end)`` per occurrence; candidates on nearby diagonals are one occurrence."""
-        starts = defaultdict(set)
+        starts = defaultdict(list)
         for end, (length, places) in self.automaton.iter(text):
-            for which, offset in places:
-                starts[which].add(end - length + 1 - offset)
+            for which, offset, number in places:
+                starts[which].append((end - length + 1 - offset, number))
         for which in sorted(starts):
             key, item, k = self.items[which]
+            reach = k + LONGEST if self.differ[which] else k
             group: list[int] = []
-            for d in [*sorted(starts[which]), None]:
+            hits = []
+            for d in [*self.candidates(which, starts[which]), None]:
                 if group and (d is None or d - group[-1] > k + len(item) // 2):
-                    hit = self.verify(which, text, group[0] - k, group[-1] + len(item) + k)
-                    if hit:
-                        yield key, *hit
+                    hits.append(self.verify(which, text, group[0] - reach, group[-1] + len(item) + reach))
                     group = []
                 group.append(d)
+            told: list[tuple[int, int, int]] = []  # the reach of two groups may hold the same occurrence, or a part of it
+            for hit in sorted(filter(None, hits)):
+                if all(hit[1] >= end or hit[2] <= start for _, start, end in told):
+                    told.append(hit)
+            for hit in sorted(told, key=lambda hit: hit[1]):
+                yield key, *hit
 
 
 def _blocks(items: DataFrame, block_chars: int):

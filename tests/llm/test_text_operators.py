@@ -142,6 +142,24 @@ def test_decontamination_against_edit_distance(spark):
     assert decontam.find_leaks(rows, bench.limit(0)).count() == 0 and decontam.find_leaks(rows.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("words", [12, 14, 40])
+def test_reworded_items_are_found(words):
+    long = ["unlikelihoods", "zebra", "kitchengarden", "boy", "quixoticness"]
+    draw = random.Random(words)
+    for seed in range(6):
+        item = prose(1000 + seed, words).split()
+        matcher = decontam.Matcher([(7, " ".join(item))], 0.06, 16)
+        for many in (1, 2):
+            for how in ("replace", "drop", "insert"):
+                held = list(item)
+                for at in sorted(draw.sample(range(words), many), reverse=True):
+                    held[at: at + 1] = {"replace": [draw.choice(long)], "drop": [], "insert": [held[at], draw.choice(long)]}[how]
+                found = list(matcher.find(decontam.normalise(prose(seed, 40) + " " + " ".join(held) + ". " + prose(seed + 90, 40))))
+                assert [hit[0] for hit in found] == [7], (how, many)
+        other = prose(seed + 5000, 400)
+        assert not list(matcher.find(other))
+
+
 def test_license_windows_against_sets(spark):
     long_text = licenses.TEMPLATES[1][1]
     cut = long_text.split()
