@@ -9,6 +9,8 @@ aggregation; a row meets its host in one join that carries no text.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,7 +19,7 @@ from ..staging import stage
 from .common import LOWER, broadcast_if_small, chunks, drop_ids, flat, give_back, thrifty
 
 BUCKETS = 1 << 15
-LANGUAGES = 64  # most languages told apart
+BLOCK = 64  # languages whose trigrams a worker holds at once
 
 
 def primary(code: Column) -> Column:
@@ -120,7 +122,8 @@ def identify(rows: DataFrame, text: str = "text", declared: str = "declared", ho
              most_trigrams: int = 200) -> DataFrame:
     """``(*carry, lang, prob, text_lang, declared, trigrams, accepted)`` per row.
 
-    ``languages``: codes to tell apart; by default the declared ones, the ``LANGUAGES`` most frequent. ``prob`` is the
+    ``languages``: codes to tell apart; by default all declared ones. Their trigrams are counted and scored ``BLOCK`` languages
+    at a time, with the scores written between blocks, so a worker's memory does not grow with them. ``prob`` is the
     probability of ``lang``, ties go to the first in the order of codes. A row without trigrams (null, empty, under three
     bytes) has language ``und`` by its text; it is told by the other evidence but not accepted. A row is accepted if
     ``prob`` reaches ``min_prob``. Null declared codes and hosts are no evidence. Rows of one host may be any share of all.
@@ -130,17 +133,21 @@ def identify(rows: DataFrame, text: str = "text", declared: str = "declared", ho
     rows = rows.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)], F.col(text).cast("string").alias("text"),
                        primary(F.col(declared)).alias("declared"), F.lower(F.col(host).cast("string")).alias("host"))
     if languages is None:
-        top = rows.filter("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES)
-        languages = sorted(r[0] for r in top.collect())
+        languages = sorted(r[0] for r in rows.select("declared").filter("declared is not null").distinct().collect())
     names = [F.col(f"c{k}").alias(c) for k, c in enumerate(carry)]
     if not languages:
         return rows.select(*names, F.lit("und").alias("lang"), F.lit(0.0).alias("prob"), F.lit("und").alias("text_lang"),
                            "declared", F.lit(0).cast("long").alias("trigrams"), F.lit(False).alias("accepted"))
     n = len(languages)
     codes = F.array(*[F.lit(c) for c in languages])
-    table = spark.sparkContext.broadcast(trigram_table(rows, languages))
-    base = rows.withColumn("e", _text_evidence(table, text_weight, most_trigrams)("text")).select(
-        *[f"c{k}" for k in range(len(carry))], "declared", "host", F.col("e.ll").alias("ll"), F.col("e.trigrams").alias("trigrams"))
+    base = rows
+    for at in range(0, n, BLOCK):
+        table = spark.sparkContext.broadcast(trigram_table(rows, languages[at: at + BLOCK]))
+        base = base.withColumn("e", _text_evidence(table, text_weight, most_trigrams)("text"))
+        score = F.concat("ll", "e.ll") if at else F.col("e.ll")
+        if at + BLOCK < n:
+            base = stage(base.select(*rows.columns, score.alias("ll")), "language-scores")
+    base = base.select(*[f"c{k}" for k in range(len(carry))], "declared", "host", score.alias("ll"), F.col("e.trigrams").alias("trigrams"))
     guess = F.when(F.col("trigrams") > 0, F.array_position("ll", F.array_max("ll")).cast("int"))
     base = stage(base.withColumn("guess", guess), "language-evidence")
 
@@ -148,8 +155,10 @@ def identify(rows: DataFrame, text: str = "text", declared: str = "declared", ho
     told = F.when(F.col("declared").isNull(), "none").when(F.array_contains(codes, F.col("declared")), F.col("declared")).otherwise("other")
     seen = {(g, d): c for g, d, c in base.filter("guess is not null").groupBy("guess", told.alias("d")).count().collect()}
     kinds = [*languages, "other"]
-    declared_ll = F.create_map(*[x for d in kinds for x in (F.lit(d), F.array(*[
-        F.lit(float(np.log((seen.get((g, d), 0) + 1) / (sum(seen.get((g, e), 0) for e in kinds) + len(kinds))))) for g in range(1, n + 1)]))])
+    told_as = {g: [seen.get((g, d), 0) for d in kinds] for g in range(1, n + 1)}
+    whole = {g: sum(counts) + len(kinds) for g, counts in told_as.items()}
+    declared_ll = F.from_json(F.lit(json.dumps({d: [float(np.log((told_as[g][k] + 1) / whole[g])) for g in range(1, n + 1)]
+                                                for k, d in enumerate(kinds)})), "map<string,array<double>>")
 
     # hosts, their domains and suffixes
     each = [F.sum((F.col("guess") == g).cast("double")) for g in range(1, n + 1)]

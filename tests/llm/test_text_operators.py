@@ -268,6 +268,14 @@ def test_language_evidence(spark):
     assert langid.identify(rows.limit(0), declared="lang", carry=["doc_id"]).count() == 0
 
 
+def test_every_declared_language_is_told_apart(spark):
+    codes = [a + b for a in "abcdefg" for b in "klmnopqrst"]  # 70, one of them rarer than the others
+    texts = [(k, " ".join([codes[k % 70] * 3, codes[k % 70] + "x" + codes[k % 70]] * 10)) for k in range(209)]
+    rows = docs_of(spark, texts, lang={k: codes[k % 70] for k, _ in texts}).withColumn("host", F.lit(None).cast("string"))
+    got = {r.doc_id: (r.lang, r.text_lang) for r in langid.identify(rows, declared="lang", carry=["doc_id"]).collect()}
+    assert got == {k: (codes[k % 70],) * 2 for k, _ in texts}
+
+
 def test_trigram_counts_stay_within_rows():
     import pyarrow as pa
     texts = ["abcd", "", "x", "yz", None, "ABC", "é"]
