@@ -32,6 +32,7 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement advertising aside banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "disqus footer login menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted "
     "promotion related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+BULK = 0.8  # share of the high-ratio text that makes a named element or a form a wrapper of the page
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -53,6 +54,9 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = 0
         self.lost = 0  # open elements that are never content
+        self.doubtful: set[int] = set()  # elements that are not content by their name or as a form, unless they wrap the page
+        self.wrappers: set[int] = set()  # those of them that hold a main element
+        self.clear = False  # whether an article or main element stands outside all of those
         self.raw = 0  # open scripts and the like, whose text is no text
 
     def flush(self) -> None:
@@ -77,9 +81,20 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        never = tag in NEVER or self._named(tag, attrs)
+        why = self._named(tag, attrs)
+        doubtful = tag == "form" and why != "never" or why == "name"
+        never = not doubtful and (tag in NEVER or bool(why))
         number = len(self.kinds)
         self.kinds[number] = tag
+        if tag in ("article", "main") and not self.lost and not never:
+            wraps = {n for _, n, _ in self.open} & self.doubtful
+            self.clear |= not wraps
+            if tag == "main":
+                self.wrappers |= wraps
+        if doubtful and tag in NEVER - {"form"}:
+            doubtful, never = False, True
+        if doubtful:
+            self.doubtful.add(number)
         self.open.append((tag, number, never))
         self.lost += never
         self.raw += tag in ("script", "style")
@@ -87,22 +102,24 @@ class Lines(HTMLParser):
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)  # a slash at the end means nothing in HTML
 
-    def _named(self, tag: str, attrs) -> bool:
-        """Whether attributes say that an element is not main text; a page or article is so only as hidden or a comment."""
+    def _named(self, tag: str, attrs) -> str:
+        """What says that an element is not main text: ``never``, ``name`` if it is only a word of a class or id, or nothing. A page
+        or article is so only as hidden or a comment."""
+        named = ""
         inside = any(t in ("article", "main") for t, *_ in self.open)
         holder = tag in ("body", "html", "article", "main")
         if tag == "header" and not inside:
-            return True
+            return "never"
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+                return "never"
             if name == "role" and value and value.strip().lower() in ROLES:
-                return True
+                return "never"
             if name in ("class", "id") and value:
                 words = {w.lower() for w in _WORD.findall(value)}
                 if words & ({"comment", "comments"} if holder else NAMES) or "header" in words and not inside and not holder:
-                    return True
-        return False
+                    named = "never" if holder else "name"
+        return named
 
     def _pop(self) -> None:
         tag, _, never = self.open.pop()
@@ -191,10 +208,22 @@ def regions(lines: list[Line], sigma: float = 1.0) -> np.ndarray:
     return upper if upper.any() else np.ones(len(lines), bool)
 
 
+def settled(page: Lines) -> list[Line]:
+    """The lines, those in doubtful elements marked as never content unless the element wraps the page's text."""
+    lines, wrappers = page.lines, set()
+    if page.doubtful and lines and not page.clear:
+        high = [x for x, chosen in zip(lines, regions(lines)) if chosen and x.around != (-1,)]
+        total = sum(len(x.text) for x in high)
+        wrappers = {n for n in page.doubtful if n in page.wrappers
+                    or total and sum(len(x.text) for x in high if n in x.around) >= BULK * total}
+    lost = page.doubtful - wrappers
+    return [Line(x.text, x.tags, (-1,)) if lost.intersection(x.around) else x for x in lines]
+
+
 def main_text(html: str | None) -> str:
     """The content lines of a page in order, a blank line between them; empty if there are none."""
     page = parse(html or "")
-    lines = [x for x in page.lines]
+    lines = settled(page)
     able = np.array([x.around != (-1,) for x in lines], bool)
     if not able.any():
         return ""

@@ -141,6 +141,16 @@ def test_main_text(html, want):
     assert html_text.main_text(html) == "\n\n".join(want)
 
 
+@pytest.mark.parametrize("wrapper", ['div class="layout with-sidebar"', 'div class="ad-free"', 'div class="has-banner"',
+                                     'div id="page-widget"', 'div class="no-comments"', "form action=x"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_wrappers_are_not_lost_by_their_name(wrapper, inner):
+    text = f"<{inner}><p>{LONG}</p><p>{LONG}</p></{inner}>"
+    aside = "<div class=sidebar><p><a href=x>a</a> <a>b</a></p></div>"
+    html = page(f"<nav><a>menu</a></nav><{wrapper}>{text}{aside}</{wrapper.split()[0]}>")
+    assert html_text.main_text(html) == LONG + "\n\n" + LONG
+
+
 def test_pages_of_any_size_and_piece():
     html = page("<article>" + f"<p>{LONG} &eacute;&amp;</p>" * 3000 + "</article>")
     assert html_text.main_text(html) == "\n\n".join([LONG + " é&"] * 3000)
