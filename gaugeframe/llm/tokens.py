@@ -29,7 +29,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         normalizer = json.loads(spec).get("normalizer") or {}
         if not any(k.get("type") == "Lowercase" for k in normalizer.get("normalizers", [normalizer])):
             raise ValueError("the word cache needs the lower-casing vocabulary")
@@ -39,7 +39,12 @@ class WordEncoder:
         self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text."""
+        """Ids of each text; one that holds an added token, whose string is cut out before words are, is encoded whole."""
+        odd = {k for k, t in enumerate(texts) if any(token in t.translate(_LOWER) for token in self.added)}
+        if odd:
+            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in odd]))
+            return [np.array(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+                    if k in odd else next(rest) for k, t in enumerate(texts)]
         done = []
         for at in range(0, len(texts), 64):
             get = self.chunks.get

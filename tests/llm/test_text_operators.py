@@ -199,6 +199,16 @@ def test_word_encoder_equals_the_library():
         assert np.array(code.ids, "<u4").tobytes() == ids, text
 
 
+def test_added_tokens_have_the_ids_of_the_unchanged_tokenizer():
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), WordEncoder(open(path, encoding="utf-8").read())
+    texts = ["a <|startoftext|>b<|endoftext|> c", "<|endoftext|>", "<|ENDOFTEXT|> x", "plain words", "it's<|endoftext|>é\n<|endoftext"]
+    for text, ids in zip(texts, own.encode([t.encode() for t in texts])):
+        assert np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == ids, text
+    assert 49407 in np.frombuffer(own.encode([texts[0].encode()])[0], "<u4")
+
+
 def test_best_fit_is_tight_and_legal():
     draw = np.random.default_rng(5)
     for lengths in (draw.integers(1, 4095, 3000), np.full(100, 2049), np.full(64, 64), np.array([], int)):
