@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..queries.registry import Tables
 from ..staging import stage_root
-from . import chat, decontam, html_text, langid, licenses, packing, quality, simhash, vectors, warc
+from . import (chat, decontam, html_text, langid, licenses, packing, quality, simhash, token_files, vector_codes, vectors, warc,
+               whitening)
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +104,47 @@ def _chat_format(t):
 def _quality_classifier(t):
     docs = t.documents
     return quality.scores(docs, quality.fit(docs, t.labels))
+
+
+def codes_sql(parts: int = 16, width: int = 64, entries: int = 64, rounds: int = 2) -> str:
+    """Product codes in SQL: every part against every entry of its codebook, round after round."""
+    w = width // parts
+    apart = "list_sum(list_transform(range(1, {w} + 1), lambda j: (p.x[j] - b.x[j]) * (p.x[j] - b.x[j])))".format(w=w)
+    steps = [f"""kept AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    numbered AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, x) - 1 AS r, * FROM kept),
+    pieces AS MATERIALIZED (SELECT r, part, x[part * {w} + 1 : part * {w} + {w}] AS x FROM numbered, range({parts}) t(part)),
+    book0 AS MATERIALIZED (SELECT part, r AS entry, x FROM pieces WHERE r < {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (SELECT r, part, min(struct_pack(d := d, entry := entry)) AS best FROM (
+          SELECT p.r, p.part, b.entry, {apart} AS d FROM pieces p JOIN book{k} b USING (part)) GROUP BY r, part)""")
+        if k < rounds:
+            mean = ", ".join(f"floor(sum(x[{j}])::DOUBLE / count(*))::BIGINT" for j in range(1, w + 1))
+            steps.append(f"""book{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN (
+              SELECT part, n.best.entry AS entry, [{mean}] AS x FROM pieces p JOIN near{k} n USING (r, part) GROUP BY ALL) m USING (part, entry))""")
+    return f"""WITH {', '.join(steps)},
+    coded AS (SELECT r, string_agg(lower(printf('%02x', best.entry)), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error
+      FROM near{rounds} GROUP BY r),
+    digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds})
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+    FROM numbered JOIN coded USING (r), digest"""
+
+
+@query("op11_vector_codes", codes_sql())
+def _vector_codes(t):
+    found, books = vector_codes.compress(t.embeddings)
+    code = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return found.select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+@query("op12_embedding_whitening")
+def _embedding_whitening(t):
+    return whitening.whiten(t.embeddings)
+
+
+@query("op13_token_files")
+def _token_files(t):
+    """Documents to files of token ids and back; everything returned is read from the files."""
+    docs, path = t.documents, f"{stage_root(t.spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_sequences(docs, path, public_tokenizers.path(BYTE_BPE))
+    return token_files.read_documents(t.spark, path, docs.schema["doc_id"].dataType)
