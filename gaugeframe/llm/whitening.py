@@ -86,7 +86,7 @@ class Spectrum:
             try:
                 w = np.linalg.solve(self.a - shift * np.eye(n), v)
             except np.linalg.LinAlgError:
-                w = np.linalg.solve(self.a - (shift + self.noise) * np.eye(n), v)
+                w = np.linalg.solve(self.a - (shift + self.noise * (1 + turn / 7)) * np.eye(n), v)
             w /= np.abs(w).max()
             for _ in range(2):
                 for u in known:
@@ -108,7 +108,7 @@ class Spectrum:
         """The ``many`` greatest eigenvalues with unit eigenvectors; zero ones, up to rounding, are left out."""
         found: list[tuple[float, np.ndarray]] = []
         draw = np.random.default_rng(0)
-        for number in range(1, min(many, len(self.a)) + 1):
+        for number in range(1, min(many, len(self.a)) + 1 if self.size else 1):
             low, high = self.noise, self.size * (1 + 4 * EPS) + self.noise
             if self.above(low) < number:
                 break
