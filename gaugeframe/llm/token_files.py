@@ -13,7 +13,9 @@ letters that close an Arrow file. Commits, retries and any store that Spark writ
 
 from __future__ import annotations
 
+import itertools
 import json
+import operator
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,46 +31,110 @@ from .common import broadcast_if_small, thrifty
 LENGTH, FILE_IDS, BATCH = 2048, 1 << 22, 64
 MAGIC = b"ARROW1"  # fixed value: closes an Arrow file
 #: before a space that a letter, digit or mark follows; that space always opens the next word of a byte-level vocabulary
-_CUT = re.compile(rb"(?= [!-~\xc3-\xdf\xe4-\xed\xf0-\xf4])")
-CHUNKS, CHUNK_BYTES = 400_000, 48  # chunks a worker keeps, none longer than this
+_SAFE = rb"[!-~\xc3-\xdf\xe4-\xed\xf0-\xf4]"
+_CUT = re.compile(rb"(?= " + _SAFE + rb")")
+_OPENS = frozenset(b for b in range(256) if re.match(_SAFE, bytes([b])))
+_first = operator.itemgetter(0)
+#: within a chunk: letters, marks or digits up to another kind, one line end between two of them; else all that is left
+_LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+_PIECE = re.compile(rb" ?" + _LETTER + rb"++(?=[\x00-\x7f]|\Z)| ?[!-&(-/:-@\[-`{-~]++(?=[A-Za-z0-9\n]|\Z)| ?[0-9]++(?=[\x00-\x7f]|\Z)"
+                    rb"|(?<=[!-~])\n(?=[!-~]|\Z)|.+", re.DOTALL)
+_WORD = re.compile(rb"( ?)" + _LETTER + rb"+")
+CHUNKS, PIECES, REMEMBERED = 500_000, 300_000, 48  # chunks and pieces a worker keeps, none of more bytes than the last
 
 
 class ByteEncoder:
-    """Ids of whole texts by a byte-level BPE vocabulary, from remembered ids of their space-led chunks."""
+    """Ids of whole texts by a byte-level BPE vocabulary, from remembered ids of their words.
+
+    Texts are cut into chunks where the vocabulary's own splitting always cuts, at a space before a word, and unknown chunks
+    into pieces likewise. Unknown words are encoded many at a time, with spaces or line ends between them.
+    """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         told = json.loads(spec)
         before = told.get("pre_tokenizer") or {}
-        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or told.get("normalizer"):
-            raise ValueError("the chunk memory needs a byte-level vocabulary that leaves texts as they are")
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or told.get("normalizer"):
+            raise ValueError("the word memory needs a byte-level vocabulary that splits texts into words and leaves them as they are")
         self.tokenizer = Tokenizer.from_str(spec)
-        tokens = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        if any(" " in t for t in tokens):
-            raise ValueError("an added token with a space could stand across chunks")
-        self.known: dict[bytes, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode() for t in added]
+        if any(not re.fullmatch(rb"[!-~]+", t) for t in self.added) or any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+            raise ValueError("an added token that reaches beyond its own letters could stand across chunks")
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.chunks: dict[bytes, bytes] = {}  # without the space they begin with
+        self.pieces: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [_CUT.split(t) for t in texts]
-        get = self.known.get
-        codes = [list(map(get, chunks)) for chunks in cut]
-        new = dict.fromkeys(c for chunks, code in zip(cut, codes) if None in code for c, i in zip(chunks, code) if i is None)
-        if new:
-            names = list(new)
-            for at in range(0, len(names), 1024):
-                part = names[at: at + 1024]
-                for name, code in zip(part, self.tokenizer.encode_batch_fast(
-                        [n.decode("utf-8", "replace") for n in part], add_special_tokens=False)):
-                    new[name] = np.array(code.ids, "<u4").tobytes()
-            codes = [[new[c] if i is None else i for c, i in zip(chunks, code)] if None in code else code
-                     for chunks, code in zip(cut, codes)]
-            room = CHUNKS - len(self.known)
-            if room > 0:
-                short = [n for n in names if len(n) <= CHUNK_BYTES][:room]
-                self.known.update((n, new[n]) for n in short)
-        return list(map(b"".join, codes))
+        get, firsts, cut, gaps, new = self.chunks.get, [], [], [], {}
+        for text in texts:
+            first, *chunks = text.split(b" ")
+            codes = list(map(get, chunks))
+            if None in codes:
+                missing = [k for k, code in enumerate(codes) if code is None]
+                names = [chunks[k] for k in missing]
+                if not (all(names) and _OPENS.issuperset(map(_first, names))):  # white space follows a space
+                    first, *chunks = _CUT.split(text)
+                    chunks = [c[1:] for c in chunks]
+                    codes = list(map(get, chunks))
+                    missing = [k for k, code in enumerate(codes) if code is None]
+                    names = [chunks[k] for k in missing]
+                new.update(dict.fromkeys(names))
+                gaps.append((codes, missing, names))
+            firsts.append(first)
+            cut.append(codes)
+        whole = any(t in text for text in texts for t in self.added)
+        begun = self._learned([*dict.fromkeys(firsts)], whole)
+        new = dict(zip(new, self._learned([b" " + c for c in new], whole).values()))
+        for codes, missing, names in gaps:
+            for k, name in zip(missing, names):
+                codes[k] = new[name]
+        room = CHUNKS - len(self.chunks)
+        if room > 0:
+            self.chunks.update(itertools.islice(((c, code) for c, code in new.items() if len(c) <= REMEMBERED), room))
+        return [b"".join([begun[first], *codes]) for first, codes in zip(firsts, cut)]
+
+    def _learned(self, chunks: list[bytes], whole: bool) -> dict[bytes, bytes]:
+        """Ids of distinct chunks from those of their pieces; if ``whole``, a chunk that holds an added token is one piece."""
+        known = self.pieces
+        cut = list(map(_PIECE.findall, chunks))
+        if whole:
+            cut = [[c] if any(t in c for t in self.added) else pieces for c, pieces in zip(chunks, cut)]
+        unknown = dict.fromkeys(p for p in itertools.chain.from_iterable(cut) if p not in known)
+        kinds: dict[bytes | None, list[bytes]] = {b" ": [], b"": [], None: []}
+        for piece in unknown:
+            word = _WORD.fullmatch(piece)
+            kinds[word[1] if word else None].append(piece)
+        for lead, between in ((b" ", b""), (b"", b"\n")):
+            for at in range(0, len(kinds[lead]), 512):
+                part = kinds[lead][at: at + 512]
+                ids = np.array(self._ids([between.join(part)])[0], "<u4")
+                if lead:
+                    begin = np.flatnonzero(self.opens[ids])
+                    end = np.append(begin[1:], len(ids))
+                else:
+                    end = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+                    begin = np.append(0, end[:-1] + 1)
+                if len(begin) != len(part):
+                    raise ValueError("a word of letters is not apart from its neighbours in this vocabulary")
+                code = ids.tobytes()
+                unknown.update((p, code[4 * a: 4 * b]) for p, a, b in zip(part, begin.tolist(), end.tolist()))
+        for at in range(0, len(kinds[None]), 512):
+            part = kinds[None][at: at + 512]
+            unknown.update((p, np.array(ids, "<u4").tobytes()) for p, ids in zip(part, self._ids(part)))
+        found = {c: b"".join([known[p] if p in known else unknown[p] for p in pieces]) for c, pieces in zip(chunks, cut)}
+        room = PIECES - len(known)
+        if room > 0:
+            known.update(itertools.islice(((p, code) for p, code in unknown.items() if len(p) <= REMEMBERED), room))
+        return found
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [c.ids for c in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
 
 _encoders: dict[int, ByteEncoder] = {}
