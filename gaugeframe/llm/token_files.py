@@ -3,7 +3,7 @@
 Documents are dealt to tasks by ranges of their key, encoded in that order and laid end to end, each closed by ``end_id``. A
 task cuts its stream into sequences of ``length`` ids and writes Arrow IPC files of them: ``ids`` and ``mask`` are
 fixed-size lists in uncompressed batches of equally many sequences, so any sequence is two slices of the mapped file and
-is never copied. ``mask`` is 1 for an id of a document and 0 for the padding of the last sequence of a file. ``keys`` and
+is never copied. ``mask``, a bit an id, is true for an id of a document and false for the padding of the last sequence of a file. ``keys`` and
 ``ends`` name the documents that end in a sequence and the place after their last id. A file ends with a document, so
 files are read on their own; their schema tells their place in the order.
 
@@ -156,8 +156,7 @@ def file_bytes(keys: pa.Array, codes: list[bytes], length: int, id_type: np.dtyp
     ends = np.cumsum([len(c) // 4 for c in codes])
     last = (ends - 1) // length  # the sequence a document ends in
     first = np.searchsorted(last, np.arange(many + 1)).astype(np.int32)
-    mask = np.zeros(many * length, np.uint8)
-    mask[: len(ids)] = 1
+    mask = np.arange(many * length) < len(ids)
     ids = np.concatenate([ids, np.zeros(many * length - len(ids), id_type)])
     fixed = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(a), length)
     table = pa.table({
@@ -239,21 +238,19 @@ class SequenceFile:
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def _flat(self, batch: pa.RecordBatch, name: str) -> np.ndarray:
-        return batch.column(name).flatten().to_numpy(zero_copy_only=True)
-
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if not 0 <= i < len(self):
             raise IndexError(i)
         batch, at = self.batches[i // self.per_batch], (i % self.per_batch) * self.length
-        return tuple(self._flat(batch, name)[at: at + self.length] for name in ("ids", "mask"))
+        return (batch.column("ids").flatten().slice(at, self.length).to_numpy(zero_copy_only=True),
+                batch.column("mask").flatten().slice(at, self.length))
 
     def documents(self) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[int]]]:
         """Per batch: keys, starts in the file, lengths and check sums of the documents that end in it."""
         start, before, crc = 0, 0, 0  # of the document that is open
         for batch in self.batches:
-            ids = self._flat(batch, "ids").astype("<u4")
-            real = int(self._flat(batch, "mask").sum())
+            ids = batch.column("ids").flatten().to_numpy(zero_copy_only=True).astype("<u4")
+            real = batch.column("mask").flatten().true_count
             lists = batch.column("ends")
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             ends = lists.flatten().to_numpy() + row * self.length
