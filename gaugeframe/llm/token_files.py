@@ -40,7 +40,7 @@ _LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
 _PIECE = re.compile(rb" ?" + _LETTER + rb"++(?=[\x00-\x7f]|\Z)| ?[!-&(-/:-@\[-`{-~]++(?=[A-Za-z0-9\n]|\Z)| ?[0-9]++(?=[\x00-\x7f]|\Z)"
                     rb"|(?<=[!-~])\n(?=[!-~]|\Z)|.+", re.DOTALL)
 _WORD = re.compile(rb"( ?)" + _LETTER + rb"+")
-CHUNKS, PIECES, REMEMBERED = 500_000, 300_000, 48  # chunks and pieces a worker keeps, none of more bytes than the last
+CHUNKS, PIECES, REMEMBERED = 800_000, 400_000, 48  # chunks and pieces a worker keeps, none of more bytes than the last
 
 
 class ByteEncoder:
