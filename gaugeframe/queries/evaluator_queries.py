@@ -6,7 +6,7 @@ from ..operators import neighbors as nb, outliers as out
 from ..operators.metrics import roc_auc_ovr
 from ..operators.splits import role_by_hash, stratified_folds
 from ..operators.tuned import (BoostedRegressor, KernelSVMEvaluator, KNNSearchEvaluator, LogisticEvaluator,
-                               PerceptronEvaluator)
+                               PerceptronEvaluator, PerceptronRegressor)
 from .join_queries import _DIST, knn_sql
 from .registry import EMB, auc_sql, query, role_sql, rounded, u_sql
 
@@ -189,11 +189,20 @@ def perceptron_search(t):
     return _searched(t, PerceptronEvaluator()).select("vec_id", "prediction")
 
 
+def _priced_parts(t):
+    return t.part.select(F.col("p_partkey").alias("vec_id"), F.array(F.col("p_size").cast("double"), F.col("p_partkey") % 7.0)
+                         .alias("embedding"), F.col("p_retailprice").alias("y")).withColumn("role", role_by_hash("vec_id"))
+
+
+@query("perceptron_regression_search")
+def perceptron_regression_search(t):
+    rows, model = _priced_parts(t), PerceptronRegressor(row_id="vec_id")
+    return rounded(model.fit(rows.filter("role = 'train'")).predict(rows.filter("role = 'test'")), "prediction")
+
+
 @query("boosted_regression_search")
 def boosted_regression_search(t):
-    rows = t.part.select(F.col("p_partkey").alias("vec_id"), F.array(F.col("p_size").cast("double"), F.col("p_partkey") % 7.0)
-                         .alias("embedding"), F.col("p_retailprice").alias("y")).withColumn("role", role_by_hash("vec_id"))
-    model = BoostedRegressor(row_id="vec_id")
+    rows, model = _priced_parts(t), BoostedRegressor(row_id="vec_id")
     return rounded(model.fit(rows.filter("role = 'train'")).predict(rows.filter("role = 'test'")), "prediction")
 
 

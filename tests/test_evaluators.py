@@ -74,7 +74,8 @@ def classification(spark, n=120, classes=3):
 
 SMALL = {
     tuned.LogisticEvaluator: {"max_iter": tuned.Fixed(20)},
-    tuned.PerceptronEvaluator: {"n_layers": tuned.Whole(1, 2), "max_iter": tuned.Fixed(20)},
+    tuned.PerceptronEvaluator: {"n_layers": tuned.Whole(1, 2), "max_iter": tuned.Fixed(20), "learning_rate_init": tuned.Fixed(0.01),
+                                "batch_size": tuned.Fixed(16)},
     tuned.KernelSVMEvaluator: {},
     tuned.KNNSearchEvaluator: {"n_neighbors": tuned.Whole(5, 10, step=5)},
 }
