@@ -7,11 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from ..functions.hashing import uniform_py
+from ..functions.hashing import uniform, uniform_py
 from ..functions.vectors import as_double, map_vectors, stack_vectors
 from ..staging import stage
 from .embed import fourier_map
@@ -59,20 +60,36 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict:
 def tree_samples(df: DataFrame, row_id: str, trees: int, max_samples: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """``(*by, tree, …row)``: up to ``max_samples`` distinct rows per tree and group.
 
-    Every row draws a key per tree; a tree takes the rows with its smallest keys. A row is only sent to the trees for
-    which its key is small enough to be among them (an expected surplus of eight standard deviations), at every size of
-    the table.
+    A row is a candidate of each tree with the same small chance: the wanted rows and eight standard deviations more, of the
+    group's rows. It does not try every tree but draws how many trees to skip until the next one that takes it, so
+    most rows of a large table cost one draw and go nowhere. Each tree keeps the candidates with its smallest keyed draws.
     """
     by = list(by)
-    unit = lambda *k: (F.xxhash64(*k) / F.lit(float(2 ** 64)) + F.lit(0.5))
     sizes = stage(df.groupBy(*by).agg(F.count("*").alias("_n")), "sizes")
-    base = df.join(sizes, by) if by else df.withColumn("_n", F.lit(sizes.first()[0]))
+    base = df.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, by) if by else df.withColumn("_n", F.lit(sizes.first()[0]))
     margin = float(max_samples + 8 * math.sqrt(max_samples) + 16)
-    near = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.struct(
-        tree.alias("tree"), unit(F.lit(seed), tree, F.col(row_id)).alias("u"))), lambda t: t["u"] * F.col("_n") < F.lit(margin))
-    drawn = base.withColumn("_t", near).filter(F.size("_t") > 0).withColumn("_t", F.explode("_t"))
-    drawn = drawn.withColumns({"tree": F.col("_t.tree"), "_u": F.col("_t.u")}).drop("_t", "_n")
+    chance = F.least(F.lit(1.0), F.lit(margin) / F.col("_n"))
+    skipped = F.when(chance >= 1, F.lit(0.0)).otherwise(F.floor(F.ln(uniform(seed, "skip", 0, F.col(row_id))) / F.ln(F.lit(1.0) - chance)))
+    taken = base.withColumns({"_first": skipped, "_chance": chance, "_id": F.col(row_id).cast("string")}).filter(F.col("_first") < trees).drop("_n")
+    kept = [c for c in taken.columns if c not in ("_first", "_chance", "_id")]
+    schema = T.StructType([*[taken.schema[c] for c in kept], T.StructField("tree", T.IntegerType()), T.StructField("_u", T.DoubleType())])
+
+    def draw(batches):
+        for batch in batches:
+            rows, tree, place = [], [], []
+            for row, (first, share, name) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_first", "_chance", "_id")))):
+                at, draws = int(first), 0
+                while at < trees:
+                    rows.append(row)
+                    tree.append(at)
+                    place.append(uniform_py(seed, "place", at, name))
+                    draws += 1
+                    at += 1 + (0 if share >= 1 else math.floor(math.log(uniform_py(seed, "skip", draws, name)) / math.log(1.0 - share)))
+            taken = batch.select(kept).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(tree, pa.int32()), pa.array(place, pa.float64())], names=schema.names)
+
     w = W.partitionBy(*by, "tree").orderBy("_u", row_id)
+    drawn = taken.mapInArrow(draw, schema)
     return drawn.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= max_samples).drop("_u")
 
 

@@ -1,13 +1,14 @@
 """Global order without a single-task window: numbering and exact quantiles.
 
 To number rows they are range-partitioned by (group, order), staged once, and numbered inside each range slice; the
-slices' totals (one row per slice and group) supply the offsets. Quantiles come from counted bins. A group of any size is
-therefore spread over many tasks.
+slices' totals (one row per slice and group) supply the offsets. Quantiles are looked up in an index of counted values that
+is sliced likewise. A group of any size is therefore spread over many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -33,64 +34,74 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str, by: Sequence[str]
             .withColumn(out, (F.col(out) + F.col("_start")).cast("bigint")).drop("_slice", "_start"))
 
 
-def quantile_arrays(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                    one_task_rows: int = ONE_TASK_ROWS, bins: int = 8192) -> DataFrame:
-    """Rows ``(*by, column, q)``: exact, linearly interpolated quantiles of the finite values of each column.
+@dataclass(frozen=True)
+class RankIndex:
+    """Where every distinct value of a column stands: staged ``points(_key, column, value, n, slice)``, ``n`` rows hold the value.
+
+    ``slices(_key, column, slice, start, n)`` tell how many rows stand before each range slice, ``totals(_key, column, n)`` how
+    many there are. ``column`` is the place in ``cols``; ``_key`` the struct of the grouping columns.
+    """
+
+    points: DataFrame
+    slices: DataFrame
+    totals: DataFrame
+    cols: tuple[str, ...]
+    by: tuple[str, ...]
+
+    def at(self, wanted: DataFrame) -> DataFrame:
+        """``(_key, column, pos, value)``: the value at each 0-based position of ``wanted(_key, column, pos)``."""
+        keys = ["_key", "column", "slice"]
+        near = self.slices.select(F.col("_key").alias("_k"), F.col("column").alias("_c"), "slice", "start", "n")
+        asked = wanted.join(near, (F.col("_key") == F.col("_k")) & (F.col("column") == F.col("_c")) &
+                            (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + F.col("n")))
+        asked = asked.select(*keys, (F.col("pos") - F.col("start")).alias("pos"), F.lit(None).cast("double").alias("value"),
+                             F.lit(1).alias("mark"), "start")
+        ahead = W.partitionBy(*keys).orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+        points = self.points.select(*keys, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("pos"), "value", F.lit(0).alias("mark"),
+                                    F.lit(None).cast("long").alias("start"))
+        upto = W.partitionBy(*keys).orderBy("pos", "mark").rowsBetween(W.unboundedPreceding, 0)
+        found = points.unionByName(asked).withColumn("value", F.last("value", ignorenulls=True).over(upto)).filter("mark = 1")
+        return found.select("_key", "column", (F.col("pos") + F.col("start")).alias("pos"), "value")
+
+
+def rank_index(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), slice_values: int = ONE_TASK_ROWS) -> RankIndex:
+    """Index of the finite values of each column.
 
-    While a group holds more rows than one task should order, values are counted in equal-width bins and only the bins
-    that hold a wanted rank are kept and cut again; the full data is scanned but never sorted or shuffled. Equal values
-    collapse to one counted row before the last, small ordering. Where no group is that large, Spark's ``percentile`` gives
-    the same values in one aggregation.
+    Equal values collapse to one counted row before anything is ordered; the counted values are dealt by range in slices of about
+    ``slice_values``, so a group of any size is many tasks.
     """
-    by, probs = list(by), [float(p) for p in probs]
-    largest = (df.groupBy(*by).count().agg(F.max("count")).first()[0] if by else df.count()) or 0
-    if largest <= one_task_rows:
-        finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
-        wide = df.groupBy(*by).agg(*[F.percentile(finite(F.col(c).cast("double")), F.lit(probs)).alias(f"_q{i}") for i, c in enumerate(cols)])
-        return wide.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_q{i}").alias("q")) for i, c in enumerate(cols)])))
     keys = ["_key", "column"]
-    group = F.struct(*by) if by else F.lit(0)
-    long = df.select(group.alias("_key"), F.inline_outer(F.array(*[
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    long = df.select(group.alias("_key"), F.inline(F.array(*[
         F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(cols)])))
     long = long.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
-    totals = stage(long.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")),
-                   "quantile-totals")
-    marks = totals.select(*keys, "n", F.posexplode(F.lit(probs)).alias("i", "p")).withColumn("at", F.col("p") * (F.col("n") - 1))
-    marks = marks.select(*keys, "i", F.floor("at").alias("below"), F.ceil("at").alias("above"),
-                         (F.col("at") - F.floor("at")).alias("share"))
-    ranks = marks.select(*keys, F.explode(F.array("below", "above")).alias("r")).distinct()
-    rows = long.withColumn("seg", F.lit(""))
-    segs = totals.select(*keys, F.lit("").alias("seg"), "lo", "hi", F.lit(0).cast("bigint").alias("start"), "n")
-    seg_keys = [*keys, "seg"]
-    biggest = segs.agg(F.max("n")).first()[0] or 0
-    while biggest > one_task_rows:
-        place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor(
-            (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("int"))).otherwise(F.lit(0))
-        placed = rows.join(segs.drop("n"), seg_keys).withColumn("bin", place)
-        hist = placed.groupBy(*seg_keys, "bin").agg(F.count("*").alias("n"), F.min("value").alias("lo"),
-                                                    F.max("value").alias("hi"), F.first("start").alias("start"))
-        ahead = W.partitionBy(*seg_keys).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-        hist = hist.withColumn("start", F.col("start") + F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-        wanted = ranks.select(F.col("_key").alias("_k"), F.col("column").alias("_c"), "r")
-        hist = hist.join(wanted, (F.col("_key") == F.col("_k")) & (F.col("column") == F.col("_c")) &
-                         (F.col("r") >= F.col("start")) & (F.col("r") < F.col("start") + F.col("n")), "left_semi")
-        deeper = F.concat_ws("/", "seg", F.col("bin").cast("string")).alias("seg")
-        cut = stage(hist.select(*keys, deeper, "lo", "hi", "start", "n"), "quantile-bins")
-        rows = stage(placed.select(*keys, deeper, "value").join(cut.select(*seg_keys), seg_keys, "left_semi"), "quantile-rows")
-        segs = cut
-        biggest = segs.filter("hi > lo").agg(F.max("n")).first()[0] or 0
-    counts = rows.groupBy(*seg_keys, "value").agg(F.count("*").alias("n")).join(segs.select(*seg_keys, "start"), seg_keys)
-    ahead = W.partitionBy(*seg_keys).orderBy("value").rowsBetween(W.unboundedPreceding, -1)
-    points = counts.select(*seg_keys, (F.col("start") + F.coalesce(F.sum("n").over(ahead), F.lit(0))).alias("pos"),
-                           "value", F.lit(0).alias("mark"))
-    asked = ranks.join(segs.select(*seg_keys, "start", "n"), keys).filter(
-        (F.col("r") >= F.col("start")) & (F.col("r") < F.col("start") + F.col("n")))
-    asked = asked.select(*seg_keys, F.col("r").alias("pos"), F.lit(None).cast("double").alias("value"), F.lit(1).alias("mark"))
-    upto = W.partitionBy(*seg_keys).orderBy("pos", "mark").rowsBetween(W.unboundedPreceding, 0)
-    found = points.unionByName(asked).withColumn("value", F.last("value", ignorenulls=True).over(upto)).filter("mark = 1")
-    ends = marks.select(*keys, "i", "share", F.explode(F.array(
-        F.struct(F.col("below").alias("pos"), F.lit(0).alias("end")), F.struct(F.col("above").alias("pos"), F.lit(1).alias("end")))).alias("e"))
-    ends = ends.select(*keys, "i", "share", "e.*").join(found.select(*keys, "pos", "value"), [*keys, "pos"])
+    points = stage(long.groupBy(*keys, "value").agg(F.count("*").alias("n")), "rank-values")
+    many = -(-points.count() // max(1, slice_values))
+    if many > 1:
+        points = stage(points.repartitionByRange(many, *keys, "value").withColumn("slice", F.spark_partition_id()), "rank-slices")
+    else:
+        points = points.withColumn("slice", F.lit(0))
+    slices = points.groupBy(*keys, "slice").agg(F.sum("n").alias("n"))
+    before = W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = stage(slices.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))), "rank-starts")
+    return RankIndex(points, slices, slices.groupBy(*keys).agg(F.sum("n").alias("n")), tuple(cols), tuple(by))
+
+
+def quantile_arrays(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
+                    one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """Rows ``(*by, column, q)``: exact, linearly interpolated quantiles of the finite values of each column.
+
+    All probabilities are looked up in one index of the counted values, whose slices hold about ``one_task_rows`` of them; a
+    further probability costs two more rows of the look-up and nothing else.
+    """
+    by, probs, keys = list(by), [float(p) for p in probs], ["_key", "column"]
+    index = rank_index(df, cols, by, one_task_rows)
+    marks = index.totals.select(*keys, "n", F.posexplode(F.lit(probs)).alias("i", "p")).withColumn("at", F.col("p") * (F.col("n") - 1))
+    marks = marks.select(*keys, "i", F.floor("at").alias("below"), F.ceil("at").alias("above"), (F.col("at") - F.floor("at")).alias("share"))
+    found = index.at(marks.select(*keys, F.explode(F.array("below", "above")).alias("pos")).distinct())
+    ends = marks.select(*keys, "i", "share", F.inline(F.array(
+        F.struct(F.col("below").alias("pos"), F.lit(0).alias("end")), F.struct(F.col("above").alias("pos"), F.lit(1).alias("end")))))
+    ends = ends.join(found, [*keys, "pos"])
     low, high = F.max(F.when(F.col("end") == 0, F.col("value"))), F.max(F.when(F.col("end") == 1, F.col("value")))
     each = ends.groupBy(*keys, "i").agg((low + (high - low) * F.max("share")).alias("v"))
     listed = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))

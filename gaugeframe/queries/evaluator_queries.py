@@ -104,6 +104,20 @@ def _line_vectors(t):
     return t.wide("lineitem").select(key.alias("k"), F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("embedding"))
 
 
+_SKIP = "floor(ln({u})/ln(1 - least(1.0, {margin}/n)))"
+_MARGIN = 64 + 8 * 64 ** 0.5 + 16
+
+
+@query("tree_samples", f"""WITH RECURSIVE z AS MATERIALIZED (SELECT o_orderkey AS k, o_orderstatus AS g, count(*) OVER (PARTITION BY o_orderstatus)::DOUBLE AS n FROM orders),
+  hit AS (SELECT k, g, n, 0 AS draws, {_SKIP.format(u=u_sql("('42|skip|0|'||k)"), margin=_MARGIN)} AS tree FROM z
+    UNION ALL SELECT k, g, n, draws + 1, tree + 1 + {_SKIP.format(u=u_sql("('42|skip|'||(draws+1)||'|'||k)"), margin=_MARGIN)} FROM hit WHERE tree < 20)
+  SELECT o_orderkey, o_orderstatus, tree::INT AS tree, rank::INT AS rank FROM (SELECT k AS o_orderkey, g AS o_orderstatus, tree, row_number() OVER
+    (PARTITION BY g, tree ORDER BY {u_sql("('42|place|'||tree::INT||'|'||k)")}, k) AS rank FROM hit WHERE tree < 20) WHERE rank <= 64""")
+def tree_samples(t):
+    rows = t.orders.select("o_orderkey", "o_orderstatus")
+    return out.tree_samples(rows, "o_orderkey", 20, 64, 42, ["o_orderstatus"]).withColumnRenamed("_rank", "rank")
+
+
 @query("isolation_forest")
 def isolation_forest(t):
     return rounded(out.isolation_forest(_line_vectors(t), row_id="k"), "prediction")

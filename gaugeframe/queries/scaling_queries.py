@@ -49,6 +49,18 @@ def quantiles_by_counted_bins(t):
     return rounded(got, "q0", "q1", "q2")
 
 
+_MARKS = "[" + ",".join(repr(i / 999) for i in range(1000)) + "]"
+
+
+@query("quantile_landmarks", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", unnest(range(1000))::INT AS place, round(unnest(quantile_cont({c},{_MARKS})),6) AS value FROM lineitem" for c in _COLS))
+def quantile_landmarks(t):
+    """Every landmark of the quantile map."""
+    from ..operators.ranks import quantile_arrays
+    got = quantile_arrays(t.lineitem.select(*_COLS), _COLS, [i / 999 for i in range(1000)])
+    return rounded(got.select("column", F.posexplode("q").alias("place", "value")), "value")
+
+
 @query("clip_to_train_range", "SELECT " + _K + ", " + ", ".join(
     f"greatest(least({c}, h_{c}), l_{c}) AS {c}" for c in _COLS) + " FROM lineitem, (SELECT " + ", ".join(
     f"min({c}) AS l_{c}, max({c}) AS h_{c}" for c in _COLS) + " FROM lineitem WHERE l_returnflag = 'A' AND l_quantity BETWEEN 10 AND 40)")

@@ -45,6 +45,19 @@ def test_tree_samples_are_bounded_and_whole(spark):
     assert len(small) == 5 and all(r["count"] == 30 for r in small)
 
 
+def test_every_row_is_as_likely_in_a_tree_sample(spark):
+    rows = spark.range(3000).select(F.col("id").alias("row_id"))
+    got = out.tree_samples(rows, "row_id", 300, 100, 7).toPandas()
+    assert (got.groupby("tree").size() == 100).all() and got["tree"].nunique() == 300
+    share = got.groupby("row_id").size().reindex(range(3000), fill_value=0)  # of 300 trees, each with chance 1/30
+    assert abs(share.mean() - 10) < 1e-9 and 8.2 < share.var() < 11.2  # binomial: 9.67
+    near = got.pivot_table(index="row_id", columns="tree", values="_rank", aggfunc="size", fill_value=0)
+    both = (near[range(0, 299)].to_numpy() * near[range(1, 300)].to_numpy()).sum() / 299  # neighbouring trees share 100 * 100 / 3000 rows
+    assert 3.0 < both < 3.7
+    again = out.tree_samples(rows.repartition(13), "row_id", 300, 100, 7).toPandas()
+    assert set(map(tuple, got.to_numpy())) == set(map(tuple, again[got.columns].to_numpy()))
+
+
 def test_forest_scores_in_dataset_batches(spark):
     rng = np.random.default_rng(1)
     df = matrix(spark, rng.normal(size=(300, 2)), g=[i % 6 for i in range(300)])
