@@ -18,9 +18,11 @@ from pyspark.sql.functions import pandas_udf
 from ..functions.hashing import gauss, gauss_matrix, uniform
 from ..functions.vectors import as_double, map_vectors
 from ..staging import stage
+from .agglomerate import ward_labels
 from .aggregates import centroids, vector_mean
+from .blockwise import distance_summary, point_blocks, squared_distances
 from .encoding import NUMERIC, epoch_seconds
-from .joins import centroid_distances, relabel
+from .joins import relabel
 from .knn import knn_join
 from .ranks import exact_quantiles
 
@@ -89,8 +91,12 @@ def fit_clusters(df: DataFrame, vec: str = "embedding", k: int = 10, seed: int =
     labelled = model.transform(vectors).drop("_vec")
     if far_share <= 0:
         return labelled
-    points = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    measured = centroid_distances(labelled, points, vec, "_far").withColumn("_far", F.array_min("_far"))
+    centres = np.array(model.clusterCenters())
+
+    def farness(m: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.sqrt(d.min(axis=1, keepdims=True)) for _, d in squared_distances(m, centres)] or [np.zeros((0, 1))])
+
+    measured = map_vectors(labelled, vec, "_far", farness).withColumn("_far", F.col("_far")[0])
     edge = exact_quantiles(measured, ["_far"], (1.0 - far_share,)).first()["q0"]
     return measured.withColumn(out, F.when(F.col("_far") > edge, F.lit(-1)).otherwise(F.col(out))).drop("_far")
 
@@ -106,63 +112,28 @@ def assign_clusters(train: DataFrame, new: DataFrame, row_id: str, vec: str, clu
     return votes.groupBy("q").agg(best.alias(cluster))
 
 
-def merge_clusters(df: DataFrame, vec: str = "embedding", cluster: str = "cluster", max_clusters: int = 10,
-                   out: str = "merged", max_centroids: int = 2000) -> DataFrame:
+def merge_clusters(df: DataFrame, vec: str = "embedding", cluster: str = "cluster", max_clusters: int = 10, out: str = "merged") -> DataFrame:
     """Relabel so that at most ``max_clusters`` remain, merging centroids by Ward's criterion; noise stays -1.
 
-    Centroids are computed on the executors; their table, one row per cluster, is merged on the driver with a square matrix
-    of costs. ``max_centroids`` is the caller's bound on that matrix: more clusters are an error.
+    Any number of centroids is merged by rounds of joins on the cluster; none of them comes to the driver.
     """
-    rows = centroids(df, vec, cluster).select(cluster, "centroid").orderBy(cluster).limit(max_centroids + 1).collect()
-    if len(rows) > max_centroids:
-        raise ValueError(f"more than max_centroids={max_centroids} clusters to merge")
-    if len(rows) <= max_clusters:
+    table = stage(centroids(df, vec, cluster).select(F.col(cluster).cast("long").alias("_c"), "centroid"), "centroids")
+    if table.count() <= max_clusters:
         return df.withColumn(out, F.col(cluster))
-    merged = _ward(np.array([r["centroid"] for r in rows]), max_clusters)
-    mapping = df.sparkSession.createDataFrame(
-        [(r[cluster], int(m)) for r, m in zip(rows, merged)], f"{cluster} int, {out} int")
-    return relabel(df.withColumn(cluster, F.col(cluster).cast("int")), mapping, cluster, out)
-
-
-def _ward(points: np.ndarray, k: int) -> np.ndarray:
-    """Labels 0 … k-1 after joining the pair that least increases the within-cluster sum of squares, repeatedly.
-
-    The costs are computed once; a join updates one row of them by the Lance-Williams formula.
-    """
-    n = len(points)
-    size, group, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    square = (points * points).sum(1)
-    cost = np.maximum(square[:, None] + square[None] - 2.0 * points @ points.T, 0.0) / 2.0
-    np.fill_diagonal(cost, np.inf)
-    for _ in range(n - k):
-        i, j = sorted(np.unravel_index(np.argmin(cost), cost.shape))
-        new = ((size + size[i]) * cost[i] + (size + size[j]) * cost[j] - size * cost[i, j]) / (size + size[i] + size[j])
-        new[~alive | (np.arange(n) == i) | (np.arange(n) == j)] = np.inf
-        cost[i], cost[:, i], cost[j], cost[:, j] = new, new, np.inf, np.inf
-        size[i] += size[j]
-        alive[j] = False
-        group[group == j] = i
-    return np.searchsorted(np.flatnonzero(alive), group)
+    labels = ward_labels(table, "_c", "centroid", max_clusters, out).select(F.col("_c").cast("int").alias(cluster), out)
+    return relabel(df.withColumn(cluster, F.col(cluster).cast("int")), labels, cluster, out)
 
 
 def cluster_distance_targets(train: DataFrame, df: DataFrame, metrics: Sequence[str] = ("min",),
                              vec: str = "embedding", cluster: str = "cluster", out: str = "targets") -> DataFrame:
     """Targets from the distances of a row to the train centroids: minus the smallest, minus the size-weighted mean,
     population deviation; the chosen ones as one vector in that order."""
-    table = centroids(train, vec, cluster).orderBy(cluster).collect()  # a row per cluster
-    measured = centroid_distances(df, ((r[cluster], r["centroid"]) for r in table), vec, "_far")
-    weights = F.lit([float(r["weight"]) for r in table])
-    k = F.lit(float(len(table)))
-    mean = F.aggregate("_far", F.lit(0.0), lambda a, x: a + x) / k
-    parts = {
-        "min": -F.array_min("_far"),
-        "mean": -F.aggregate(F.zip_with("_far", weights, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x),
-        "std": F.sqrt(F.aggregate("_far", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / k),
-    }
+    parts = {"min": -F.col("least"), "mean": -F.col("weighted"), "std": F.col("deviation")}
     unknown = [m for m in metrics if m not in parts]
     if unknown:
         raise ValueError(f"unknown distance metrics {unknown}")
-    return measured.withColumn(out, F.array(*[parts[m] for m in ("min", "mean", "std") if m in metrics])).drop("_far")
+    blocks = point_blocks(centroids(train, vec, cluster).select(F.col(cluster).alias("_c"), "centroid", "weight"), "_c", "centroid", ["weight"])
+    return distance_summary(df, vec, blocks).select(*df.columns, F.array(*[parts[m] for m in ("min", "mean", "std") if m in metrics]).alias(out))
 
 
 # ---- pooled collections ----------------------------------------------------------------------------------------

@@ -175,7 +175,21 @@ def inductive_vote(t):
         "label", "cluster")
 
 
-@query("merged_clusters")
+def _merge_sql(labels: int, keep: int) -> str:
+    """Ward's criterion on the label centroids, a join at a time."""
+    cost = "list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) * a.n * b.n / (a.n + b.n)"
+    steps = [f"""c0 AS MATERIALIZED (SELECT label AS id, 1.0::DOUBLE AS n, list(x ORDER BY i) AS v, [label] AS members FROM
+      (SELECT label, i, avg(v[i]) AS x FROM ({EMB}), range(1,65) r(i) GROUP BY label, i) GROUP BY label)"""]
+    for k in range(labels - keep):
+        steps.append(f"p{k} AS MATERIALIZED (SELECT a.id AS i, b.id AS j FROM c{k} a, c{k} b WHERE a.id < b.id ORDER BY {cost}, a.id, b.id LIMIT 1)")
+        steps.append(f"""c{k + 1} AS MATERIALIZED (SELECT id, n, v, members FROM c{k}, p{k} WHERE id NOT IN (i, j) UNION ALL
+          SELECT a.id, a.n + b.n, list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] * a.n + b.v[i] * b.n) / (a.n + b.n)), list_concat(a.members, b.members)
+          FROM c{k} a, c{k} b, p{k} WHERE a.id = p{k}.i AND b.id = p{k}.j)""")
+    return f"""WITH {', '.join(steps)}, named AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS merged, unnest(members) AS label FROM c{labels - keep})
+      SELECT vec_id, merged FROM embeddings JOIN named USING (label)"""
+
+
+@query("merged_clusters", _merge_sql(10, 4))
 def merged_clusters(t):
     return emb.merge_clusters(t.embeddings, cluster="label", max_clusters=4).select("vec_id", "merged")
 

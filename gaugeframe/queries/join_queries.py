@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import joins as jn
+from ..operators.blockwise import pair_distances, point_blocks
 from ..operators.aggregates import centroids
 from ..operators.knn import knn_join
 from ..operators.sphere import category_points
@@ -117,9 +118,8 @@ def category_vector_lookup(t):
 @query("rows_by_centroids", f"""SELECT vec_id, c AS cluster, round(list_distance(v, m),6) AS distance FROM ({EMB}),
   (SELECT label AS c, list(x ORDER BY i) AS m FROM (SELECT label, i, avg(v[i]) AS x FROM ({EMB}), range(1,65) r(i) GROUP BY label, i) GROUP BY label)""")
 def rows_by_centroids(t):
-    table = centroids(t.embeddings, "embedding", "label").orderBy("label").collect()
-    far = jn.centroid_distances(t.embeddings, [(r["label"], r["centroid"]) for r in table])
-    return rounded(far.select("vec_id", F.posexplode_outer("distances").alias("cluster", "distance")), "distance")
+    blocks = point_blocks(centroids(t.embeddings, "embedding", "label"), "label", "centroid")
+    return rounded(pair_distances(t.embeddings, "vec_id", "embedding", blocks), "distance")
 
 
 @query("relabel_clusters", """SELECT vec_id, (CASE WHEN label < 6 THEN label // 2 ELSE -1 END)::INT AS merged FROM embeddings""")
