@@ -2,9 +2,13 @@
 
 The standard library's parser streams events over a page. They build lines, a line per block of text, each with the number of
 tags in it and the elements around it. The text-to-tag ratio of the lines, smoothed with a Gaussian, is cut in two clusters;
-the runs of the upper one are the content regions. The article or main element that holds a region is the content, else the
-smallest element around all regions, without outer parts that hold none; all of its lines, less those in elements that are
-never content.
+the runs of the upper one are the content regions. The content is the smallest element that holds nearly all text of the regions,
+without outer parts that hold little of it; all of its lines, less those in elements that are never content. What elements
+are called only weighs: an article or main element counts its text several times, an element named as side matter is left
+out unless most of the text of the regions is in it.
+
+Ties: of equally narrow elements there is only one, as they nest; lines keep their order. Repeated rows give equal texts, an empty
+table an empty one.
 """
 
 from __future__ import annotations
@@ -25,14 +29,22 @@ BLOCK = frozenset(
 NEVER = frozenset(
     "aside button datalist dialog footer form head iframe menu nav noscript object option script search select style svg "
     "template textarea title".split())
-HOLDERS = frozenset("body center div html section table td".split())
+HOLDERS = frozenset("article body center div html main section table tbody td tr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup legend caption".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 # words in a class or id that name what is not the main text
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising aside banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "disqus footer login menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted "
     "promotion related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
-BULK = 0.8  # share of the high-ratio text that makes a named element or a form a wrapper of the page
+# words that say nothing of what a class or id names
+PLAIN = frozenset(
+    "area bar block body bottom box col column container content group inner item items left list main module outer page panel post right row "
+    "section site top wrap wrapper".split())
+COMMENTS = frozenset("comment comments disqus".split())
+BULK = 0.8  # share of the regions' text that makes an element their holder, or a named one a wrapper of the page
+PART = 0.2  # share of the largest part's text that another part of the holder must have
+FAVOUR = 4.0  # how often the text of an article or main element counts
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -55,8 +67,6 @@ class Lines(HTMLParser):
         self.tags = 0
         self.lost = 0  # open elements that are never content
         self.doubtful: set[int] = set()  # elements that are not content by their name or as a form, unless they wrap the page
-        self.wrappers: set[int] = set()  # those of them that hold a main element
-        self.clear = False  # whether an article or main element stands outside all of those
         self.raw = 0  # open scripts and the like, whose text is no text
 
     def flush(self) -> None:
@@ -86,11 +96,6 @@ class Lines(HTMLParser):
         never = not doubtful and (tag in NEVER or bool(why))
         number = len(self.kinds)
         self.kinds[number] = tag
-        if tag in ("article", "main") and not self.lost and not never:
-            wraps = {n for _, n, _ in self.open} & self.doubtful
-            self.clear |= not wraps
-            if tag == "main":
-                self.wrappers |= wraps
         if doubtful and tag in NEVER - {"form"}:
             doubtful, never = False, True
         if doubtful:
@@ -103,8 +108,12 @@ class Lines(HTMLParser):
         self.handle_starttag(tag, attrs)  # a slash at the end means nothing in HTML
 
     def _named(self, tag: str, attrs) -> str:
-        """What says that an element is not main text: ``never``, ``name`` if it is only a word of a class or id, or nothing. A page
-        or article is so only as hidden or a comment."""
+        """What says that an element is not main text: ``never``, ``name`` if it is only its class or id, or nothing.
+
+        A class or id counts if all of its words name side matter or nothing; one with another word (``related-work``) does not. The id
+        of a heading or section is a slug of its text and counts only for comments, as does any name of a page or article. Comments are
+        never content, however many they are.
+        """
         named = ""
         inside = any(t in ("article", "main") for t, *_ in self.open)
         holder = tag in ("body", "html", "article", "main")
@@ -115,10 +124,12 @@ class Lines(HTMLParser):
                 return "never"
             if name == "role" and value and value.strip().lower() in ROLES:
                 return "never"
-            if name in ("class", "id") and value:
-                words = {w.lower() for w in _WORD.findall(value)}
-                if words & ({"comment", "comments"} if holder else NAMES) or "header" in words and not inside and not holder:
-                    named = "never" if holder else "name"
+            if name in ("class", "id") and value and tag not in HEADINGS:
+                names = COMMENTS if holder or name == "id" and tag == "section" else NAMES if inside else NAMES | {"header"}
+                for part in value.split():
+                    words = {w.lower() for w in _WORD.findall(part)}
+                    if words & names and words <= names | PLAIN:
+                        named = "never" if holder or words & COMMENTS else named or "name"
         return named
 
     def _pop(self) -> None:
@@ -174,15 +185,11 @@ class Lines(HTMLParser):
 
 def parse(html: str, piece: int = 1 << 16) -> Lines:
     """Lines of a page. As in the standard, a tag or comment that the page's end cuts off is not text."""
-    cut = html.rfind("<!--")
-    if cut >= 0 and html.find("-->", cut) < 0:
-        html = html[:cut]
-    cut = html.rfind("<")
-    if cut >= 0 and html.find(">", cut) < 0 and re.match(r"<[A-Za-z/!?]", html[cut: cut + 2]):
-        html = html[:cut]
     lines = Lines()
     for at in range(0, len(html), piece):
         lines.feed(html[at: at + piece])
+    if not lines.cdata_elem and re.match(r"<[A-Za-z/!?]", lines.rawdata):  # what the parser still has open
+        lines.rawdata = ""
     lines.close()
     lines.flush()
     return lines
@@ -210,16 +217,22 @@ def regions(lines: list[Line], sigma: float = 1.0) -> np.ndarray:
 
 def settled(page: Lines) -> list[Line]:
     """The lines, those in doubtful elements marked as never content unless the element wraps the page's text."""
-    lines, wrappers = page.lines, set()
-    if page.doubtful and lines and not page.clear:
-        high = [x for x, chosen in zip(lines, regions(lines)) if chosen and x.around != (-1,)]
-        total = sum(len(x.text) for x in high)
-        wrappers = {n for n in page.doubtful if n in page.wrappers
-                    or total and sum(len(x.text) for x in high if n in x.around) >= BULK * total}
-    lost = page.doubtful - wrappers
+    lines = page.lines
+    if not page.doubtful or not lines:
+        return lines
+    mass = masses(page, lines, regions(lines))
+    total = mass.sum()
+    held = {n: sum(m for x, m in zip(lines, mass) if n in x.around) for n in page.doubtful}
+    lost = {n for n, m in held.items() if not total or m < BULK * total}
     return [Line(x.text, x.tags, (-1,)) if lost.intersection(x.around) else x for x in lines]
 
 
+def masses(page: Lines, lines: list[Line], chosen: np.ndarray) -> np.ndarray:
+    """Length of each line in a content region, as often as its elements count; zero elsewhere."""
+    return np.array([len(x.text) * (FAVOUR if any(page.kinds[n] in ("article", "main") for n in x.around) else 1.0)
+                     if own and x.around != (-1,) else 0.0 for x, own in zip(lines, chosen)])
+
+
 def main_text(html: str | None) -> str:
     """The content lines of a page in order, a blank line between them; empty if there are none."""
     page = parse(html or "")
@@ -228,29 +241,41 @@ def main_text(html: str | None) -> str:
     if not able.any():
         return ""
     chosen = regions(lines) & able
-    if not chosen.any():
-        chosen = able
-    for kinds in (("article",), ("main",)):
-        holders = {n for x in np.flatnonzero(able) for n in lines[x].around if page.kinds[n] in kinds}
-        if holders:
-            within = {n for x in np.flatnonzero(chosen) for n in lines[x].around if n in holders} or holders
-            return "\n\n".join(x.text for x in lines if within & set(x.around))
-    # the smallest element around all regions: all of it if it holds a region itself, else those of its parts that do,
-    # with what lies between them or stands in the element directly
+    mass = masses(page, lines, chosen if chosen.any() else able)
+    # down from the page while one element inside holds nearly all; an article, or main element without one, is the holder itself
     inside = [tuple(n for n in x.around if n >= 0 and page.kinds[n] in HOLDERS) for x in lines]
-    places = np.flatnonzero(chosen)
-    around, depth = inside[places[0]], 0
-    while all(len(inside[x]) > depth and inside[x][depth] == around[depth] for x in places):
-        depth += 1
-    whole = any(len(inside[x]) == depth for x in places)
-    parts = {inside[x][depth] for x in places if len(inside[x]) > depth}
-    held = [x.text for k, (x, own) in enumerate(zip(lines, inside)) if able[k] and own[:depth] == around[:depth]
-            and (whole or len(own) == depth or own[depth] in parts or places[0] < k < places[-1])]
-    return "\n\n".join(held)
+    around: tuple[int, ...] = ()
+    while True:
+        depth, parts = len(around), {}
+        within = [able[k] and own[:depth] == around for k, own in enumerate(inside)]
+        for k in np.flatnonzero(within):
+            if len(inside[k]) > depth:
+                parts[inside[k][depth]] = parts.get(inside[k][depth], 0.0) + mass[k]
+        total = sum(m for m, own in zip(mass, within) if own)
+        best = max(parts, key=parts.get, default=None)
+        kind = page.kinds[around[-1]] if around else ""
+        if best is None or parts[best] < BULK * total or kind == "article" or kind == "main" and not any(
+                page.kinds[n] == "article" for own in inside if own[:depth + 1] == (*around, best) for n in own[depth:]):
+            break
+        around += (best,)
+    # all of that element if much of the text stands in it directly, else those of its parts that hold much, what lies between them
+    # and what stands in the element directly
+    loose = total - sum(parts.values())
+    most = max([loose, *parts.values()])
+    kept = {n for n, m in parts.items() if m >= PART * most}
+    whole = loose >= PART * most or kind in ("article", "main")
+    places = [k for k in np.flatnonzero(within) if len(inside[k]) > depth and inside[k][depth] in kept]
+    first, last = (places[0], places[-1]) if places else (0, -1)
+    return "\n\n".join(x.text for k, (x, own) in enumerate(zip(lines, inside)) if within[k] and (
+        whole or len(own) == depth or own[depth] in kept or first < k < last))
 
 
 def extract(html: Column) -> Column:
-    """``struct<text: string, n_chars: long>`` of a page's main text; a null page is empty. Pages are whole rows in one task."""
+    """``struct<text: string, n_chars: long>`` of a page's main text; a null page is empty. Pages are whole rows in one task.
+
+    Every row is read on its own, so repeated rows give equal results and ties cannot arise; an empty table gives an empty result.
+    The caller keeps its other columns, whatever they are called.
+    """
 
     @F.arrow_udf("struct<text:string,n_chars:bigint>")
     def extracted(column: pa.Array) -> pa.Array:

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -151,6 +152,48 @@ def test_wrappers_are_not_lost_by_their_name(wrapper, inner):
     assert html_text.main_text(html) == LONG + "\n\n" + LONG
 
 
+@pytest.mark.parametrize("html,want", [
+    (f"<main><div class='elementor-widget'><p>{LONG}</p></div><p>tail</p></main>", [LONG, "tail"]),
+    (f"<main><div class='elementor-widget'><article><p>{LONG}</p></article></div></main>", [LONG]),
+    (f"<article><p>{LONG}</p><section id='related-work'><h2 id='social-impact'>Related</h2><p>{LONG}</p></section></article>", [LONG, "Related", LONG]),
+    (f"<article><p>{LONG}</p><section id='notice'><p>{LONG}</p></section></article>", [LONG, LONG]),
+    (f"<article><p>{LONG}</p><p>b</p></article><script>var s='<!--';</script>", [LONG, "b"]),
+    (f"<script><!-- old </script><article><p title='<!--'>{LONG}</p></article>", [LONG]),
+    (f"<article><p>{LONG}</p><div class='comment-list'>" + f"<p>{LONG}</p>" * 9 + "</div></article>", [LONG]),
+    (f"<body><div class='share-bar'><p>{LONG}</p></div><div><p>{LONG}</p><p>{LONG}</p></div></body>", [LONG, LONG]),
+])
+def test_names_weigh_and_only_open_comments_are_cut(html, want):
+    assert html_text.main_text(html) == "\n\n".join(want)
+
+
+def article_blocks(html):
+    """The article of one of the given pages, cut at its headings and paragraphs."""
+    import html as entities
+    inner = re.search("<article>(.*)</article>", html, re.DOTALL)[1]
+    blocks = (re.sub(r"<(?!br)[^>]*>", "", b).replace("<br>", " ") for b in re.split("</?(?:h1|p)>", inner))
+    return "\n\n".join(t for t in (" ".join(entities.unescape(b).split()) for b in blocks) if t)
+
+
+@pytest.mark.parametrize("change,share", [
+    (lambda s: s, 1.0),
+    (lambda s: s.replace("<article>", "<main><div class='elementor-widget'><article>").replace("</article>", "</article></div></main>"), 1.0),
+    (lambda s: s.replace("track(", "var q='<!--';track("), 1.0),
+    (lambda s: re.sub("<(/?)(nav|article|footer)>", r"<\1div>", s), 0.95),
+    (lambda s: re.sub("<(/?)(nav|article|footer)>", r"<\1div>", s).replace(' class="ad"', ""), 0.95),
+], ids=["given", "widget", "comment", "div", "div-unnamed"])
+def test_given_pages_by_a_plain_version(spark, change, share):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    right = sum(html_text.main_text(change(p)) == article_blocks(p) for p in pages)
+    assert right >= share * len(pages) == share * 250
+
+
+def test_repeated_rows_and_other_columns(spark):
+    html = f"<article><p>{LONG}</p></article>"
+    rows = spark.createDataFrame([(1, html, "t", 3, None)] * 3, "page_id long, html string, text string, n_chars int, x string")
+    got = rows.withColumn("x", html_text.extract(F.col("html"))).collect()
+    assert len(got) == 3 and all((r.text, r.n_chars, r.x.text, r.x.n_chars) == ("t", 3, LONG, len(LONG)) for r in got)
+
+
 def test_pages_of_any_size_and_piece():
     html = page("<article>" + f"<p>{LONG} &eacute;&amp;</p>" * 3000 + "</article>")
     assert html_text.main_text(html) == "\n\n".join([LONG + " é&"] * 3000)
