@@ -60,11 +60,29 @@ def drop_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
         *[F.col(f"`{c}`") for c in rows.columns])
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, value: str, hot_rows: int = 1024) -> DataFrame:
+    """``rows`` of a staged table with the ``value`` of their group; every row has a group in ``groups(key, value, n)``.
+
+    ``n`` counts a group's rows. Those of more than ``hot_rows`` are few, and their values are broadcast: no task gathers the rows of a
+    large group. If even they outgrow a broadcast, the join is an ordinary one against a table of its own, whose skew Spark
+    splits.
+    """
+    groups = stage(groups, "groups")
+    hot = stage(groups.filter(F.col("n") > hot_rows).select(key, value), "hot-groups")
+    many = hot.count()
+    if not many or many * 32 > BROADCAST_BYTES:
+        return rows.join(groups.select(key, value), key)
+    large = F.broadcast(hot)
+    return rows.join(large, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(
+        groups.filter(F.col("n") <= hot_rows).select(key, value), key))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: one row ``(node, component)`` per linked node, the smallest node names it.
 
     Alternates large-star and small-star rounds, which only move edges towards smaller nodes, until nothing changes.
-    Every round is a written table; no component or adjacency list is gathered anywhere. Links to itself are ignored.
+    Every round is a written table; no component or adjacency list is gathered anywhere, nor the links of a hub. Links to itself
+    are ignored.
     """
     edges = stage(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                   .distinct(), "links")
@@ -77,12 +95,12 @@ def components(links: DataFrame) -> DataFrame:
                 F.min("component").alias("component"))
         seen = mark
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = (join_groups(both, least, "u", "m").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .filter("u <> v").distinct())
         large = stage(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_groups(large, least, "u", "m").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
         edges = stage(small.select("e.u", "e.v").filter("u <> v").distinct(), "small-star")
 

@@ -222,7 +222,11 @@ def settled(page: Lines) -> list[Line]:
         return lines
     mass = masses(page, lines, regions(lines))
     total = mass.sum()
-    held = {n: sum(m for x, m in zip(lines, mass) if n in x.around) for n in page.doubtful}
+    held = dict.fromkeys(page.doubtful, 0.0)
+    for x, m in zip(lines, mass):
+        for n in x.around if m else ():
+            if n in held:
+                held[n] += m
     lost = {n for n, m in held.items() if not total or m < BULK * total}
     return [Line(x.text, x.tags, (-1,)) if lost.intersection(x.around) else x for x in lines]
 

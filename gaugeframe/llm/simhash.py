@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..staging import stage
-from .common import broadcast_if_small, components, local_roots, thrifty
+from .common import broadcast_if_small, join_groups, components, local_roots, thrifty
 
 BITS = 64
 
@@ -177,6 +177,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     found = components(links(nodes.select("fp"), radius, shard_rows))
     named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = stage(named, "named")
-    first = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(first, "component").select("fp", "component_id")
+    first = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = join_groups(named, first, "component", "component_id").select("fp", "component_id")
     return rows.join(named, "fp").select(key, "fp", "component_id")

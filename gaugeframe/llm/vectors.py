@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..staging import stage
-from .common import broadcast_if_small, components, local_roots
+from .common import broadcast_if_small, join_groups, components, local_roots
 
 SLACK = 1e-6
 
@@ -244,8 +244,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     named = nodes.select("node", "first", "copies", "v").join(total, "node", "left").join(merged, "node", "left")
     named = stage(named.select("v", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                                F.coalesce("component", "node").alias("component")), "named-vectors")
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "component").select("v", "n_links", "component_id")
+    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = join_groups(named, smallest, "component", "component_id").select("v", "n_links", "component_id")
     out = rows.join(named, "v", "left").select(
         F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -303,3 +303,21 @@ def test_markup_and_address(spark):
                       langid.visible_text(F.col("html")).alias("t")).collect()
     assert [r.l for r in got] == ["fr-CA", None, None] and [r.h for r in got] == ["www.a.fr", None, None]
     assert got[0].t.split() == ["bon", "jour"]
+
+
+@pytest.mark.parametrize("hot_rows", [0, 5, 1024])
+def test_joins_of_hot_groups(spark, hot_rows):
+    from gaugeframe.llm.common import join_groups
+    from gaugeframe.staging import stage
+    rows = stage(spark.range(2000).select("id", F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id") % 97).alias("g")), "rows")
+    groups = rows.groupBy("g").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    got = join_groups(rows, groups, "g", "least", hot_rows)
+    assert got.columns == ["g", "id", "least"] and got.count() == 2000
+    want = {r.g: r.least for r in groups.collect()}
+    assert all(r.least == want[r.g] for r in got.collect())
+
+
+def test_component_of_half_of_all_nodes(spark):
+    links = [(0, k) for k in range(1, 3000)] + [(k, k + 1) for k in range(10_000, 10_300, 3)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(3000)}, **{n: k for k in range(10_000, 10_300, 3) for n in (k, k + 1)}}
