@@ -19,7 +19,7 @@ from ..operators.joins import stack_results, work_plan
 from ..operators.metrics import (BINARY, MULTICLASS, OUTLIER, REGRESSION, compute_metrics, log_loss, mape, roc_auc_ovr)
 from ..operators.projections import classification_type, order_result_columns
 from ..operators.splits import expand_folds, join_splits, role_by_column, role_by_hash
-from ..sources.sinks import append_results
+from ..sources.sinks import append_results, step_name
 from ..sources.tables import read_csv_dataset
 from ..staging import mark, settle, stage
 from .plugins import KEPT, PARAMS, Embedder, Evaluator, TableSpec
@@ -125,7 +125,7 @@ def outlier_benchmark(data: DataFrame, spec: TableSpec, models: Sequence[Embedde
                 F.lit(OUTLIER).alias("task"), *[c for c in got.columns if c != RUN], *_params(ev))
             line = stage(line, "result-line")
             if save_to:
-                append_results(line, save_to, "outlier", run_ts)
+                append_results(line, save_to, "outlier", run_ts, step_name(model.name, ev.name, ev.parameters()))
             lines.append(line)
     results = _union(lines)
     if results is not None:
@@ -223,7 +223,7 @@ def supervised_benchmark(data: DataFrame, splits: DataFrame, tasks: DataFrame, s
                     *[c for c in got.columns if c != RUN], *(_params(ev) if ev else []))
                 line = stage(line, "result-line")
                 if save_to:
-                    append_results(line, save_to, "supervised", run_ts)
+                    append_results(line, save_to, "supervised", run_ts, step_name(emb, (ev or model).name, ev.parameters() if ev else {}, task))
                 lines.append(line)
     results = _union(lines)
     if results is not None:
@@ -278,7 +278,7 @@ def separation_benchmark(data: DataFrame, members: DataFrame, spec: TableSpec, m
                     F.lit(task).alias("task"), *[c for c in got.columns if c != RUN], *_params(ev)).join(names, "collection")
                 line = stage(line, "result-line")
                 if save_to:
-                    append_results(line, save_to, "separation", run_ts)
+                    append_results(line, save_to, "separation", run_ts, step_name(model.name, ev.name, ev.parameters(), task))
                 lines.append(line)
     results, errors = settle(data.sparkSession, began, _union(lines), failures.table())
     return Outcome(results, errors=errors)

@@ -5,11 +5,13 @@
 
 from __future__ import annotations
 
+import contextvars
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -21,7 +23,7 @@ from ..operators.outliers import centre_distance, isolation_forest, tree_samples
 from ..operators.scaling import standardise_by_group
 from ..operators.sphere import sphere_by_join
 from ..operators.tuned import TunedEvaluator
-from ..staging import stage
+from ..staging import scratch_path, stage
 
 KEPT, PARAMS = "_kept_features", "params"
 
@@ -275,35 +277,34 @@ class Tuned(Evaluator):
         return _each_run(rows, run, one, self.failed)
 
 
-def _each_run(rows: DataFrame, run: str, one: Callable[[object, DataFrame], DataFrame], failed: list) -> DataFrame:
-    """``one(name, rows of the run)`` for every run, each result written before the next run begins.
+def _each_run(rows: DataFrame, run: str, one: Callable[[object, DataFrame], DataFrame], failed: list, parallelism: int = 8) -> DataFrame:
+    """``one(name, rows of the run)`` for every run, ``parallelism`` runs at a time, each in a scheduler pool of its own.
 
-    For models that Spark ML fits one at a time: the plan never grows with the runs, only their names come to the driver, and a
-    run that fails is appended to ``failed`` as (name, message).
+    For models that are fitted one at a time: every run writes its part of one table, which is read as a whole, so the plan
+    does not grow with the runs. Only their names come to the driver, and a run that fails is appended to ``failed`` as (name,
+    message).
     """
-    done = []
-    for (name,) in rows.select(run).distinct().orderBy(run).toLocalIterator():
+    spark = rows.sparkSession
+    path, context = scratch_path(spark, "runs"), contextvars.copy_context()
+
+    def fit(task):
+        number, name = task
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"run-{number % parallelism}")
+        one(name, rows.filter(F.col(run) == F.lit(name))).write.parquet(f"{path}/run_number={number}")
+
+    def tried(task):
         try:
-            done.append(stage(one(name, rows.filter(F.col(run) == F.lit(name))), "run"))
+            context.copy().run(fit, task)
         except Exception as e:  # one run must never take the others down
-            failed.append((str(name), f"{type(e).__name__}: {str(e)[:500]}"))
+            return str(task[1]), f"{type(e).__name__}: {str(e)[:500]}"
+
+    names = (r[0] for r in rows.select(run).distinct().orderBy(run).toLocalIterator())
+    done = 0
+    with ThreadPool(parallelism) as pool:
+        for told in pool.imap(inheritable_thread_target(spark)(tried), enumerate(names)):
+            failed.extend([told] if told else [])
+            done += told is None
     if not done:
         raise ValueError(f"no run succeeded: {failed[:3]}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)
-
-
-def group_predictor(fn: Callable, rows: DataFrame, run: str, schema: str, max_samples: int) -> DataFrame:
-    """Run ``fn(pdf) -> pdf`` once per run. ``max_samples`` is the caller's bound on what the model takes; larger runs are an error."""
-    too_big = rows.groupBy(run).count().filter(F.col("count") > max_samples).limit(1).collect()
-    if too_big:
-        raise ValueError(f"run {too_big[0][0]} exceeds {max_samples} rows")
-    return rows.groupBy(run).applyInPandas(fn, schema)
-
-
-def row_predictor(fn: Callable, rows: DataFrame, schema: str) -> DataFrame:
-    """Run ``fn(pdf) -> pdf`` on Arrow batches; for models that look at one row at a time."""
-    def apply(batches):
-        for pdf in batches:
-            yield fn(pdf)
+    return spark.read.option("mergeSchema", True).parquet(path).drop("run_number")
 
-    return rows.mapInPandas(apply, schema)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
@@ -23,10 +26,24 @@ def save_table(df: DataFrame, folder: str, name: str, timestamp: str) -> tuple[s
     return parquet, csv
 
 
-def append_results(df: DataFrame, folder: str, benchmark: str, run_ts: str) -> None:
-    """Add result lines of one step; earlier lines are never rewritten."""
+def append_results(df: DataFrame, folder: str, benchmark: str, run_ts: str, step: str | None = None) -> None:
+    """Add the result lines of one step of a run.
+
+    Lines that name their ``step`` replace what the same step of the same run wrote before, so a job that is repeated, or retried after
+    it stopped half-way, leaves every line once; other steps and runs are not read or rewritten. Without a name lines are
+    only ever added.
+    """
     tagged = df.withColumn("benchmark", F.lit(benchmark)).withColumn("run_ts", F.lit(run_ts))
-    tagged.write.mode("append").partitionBy("benchmark", "run_ts").parquet(folder)
+    if step is None:
+        tagged.write.mode("append").partitionBy("benchmark", "run_ts").parquet(folder)
+        return
+    tagged.withColumn("step", F.lit(step)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "benchmark", "run_ts", "step").parquet(folder)
+
+
+def step_name(*parts) -> str:
+    """A name for a step, of its parts; equal parts name the same step."""
+    return "step-" + hashlib.md5(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
 def save_collections(collections: DataFrame, path: str) -> None:

@@ -6,13 +6,15 @@ twice is the same rows twice, which the range-partitioned and iterative operator
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
-_written: list[str] = []
+_written: list = []  # paths, and the lists of the jobs that began inside
+_job: contextvars.ContextVar[list] = contextvars.ContextVar("job", default=_written)
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -28,29 +30,44 @@ def stage_root(spark: SparkSession) -> str:
     return _local_root
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted with the staged tables."""
+    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _job.get().append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once and return a frame that reads the written rows."""
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """Where the list of staged tables ends now; for :func:`settle`."""
-    return len(_written)
+def mark() -> list:
+    """Begin a job: what this thread (or one that runs in a copy of its context) stages from now on is the job's, until another
+    begins. For :func:`settle`."""
+    own: list = []
+    _job.get().append(own)
+    _job.set(own)
+    return own
 
 
-def settle(spark: SparkSession, since: int, *frames: DataFrame | None) -> list[DataFrame | None]:
-    """Stage what a job returns and delete every other table staged since ``since``."""
-    kept_from = len(_written)
+def settle(spark: SparkSession, job: list, *frames: DataFrame | None) -> list[DataFrame | None]:
+    """Stage what a job returns and delete everything else staged in it. Jobs of other threads are not touched."""
+    old = list(job)
+    _job.set(job)
     out = [None if df is None else stage(df, "outcome") for df in frames]
-    _delete(spark, _written[since:kept_from])
-    del _written[since:kept_from]
+    _delete(spark, _paths(old))
+    del job[: len(old)]
     return out
 
 
+def _paths(entries: list) -> list[str]:
+    return [p for e in entries for p in (_paths(e) if isinstance(e, list) else [e])]
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     targets = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
@@ -59,6 +76,7 @@ def _delete(spark: SparkSession, paths: list[str]) -> int:
 
 def release_staged(spark: SparkSession) -> int:
     """Delete the tables this process staged; call it when no frame built on them is needed any more."""
-    done = _delete(spark, _written)
+    done = _delete(spark, _paths(_written))
     _written.clear()
+    _job.set(_written)
     return done

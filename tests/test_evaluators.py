@@ -315,3 +315,67 @@ def test_outlier_job_skips_and_excludes(spark):
     assert {r["dataset_name"] for r in got.results.collect()} == {"d0"}
     assert got.skipped.first()["reason"] == "excluded by name"
     assert got.results.first()["task"] == OUTLIER
+
+
+def test_steps_that_are_saved_again_replace_themselves(spark, tmp_path):
+    path = str(tmp_path / "results")
+    lines = spark.createDataFrame([("m", "a", 0.5), ("m", "b", 0.6)], "embedding_model string, algorithm string, auc double")
+    sinks.append_results(lines, path, "outlier", "t1", sinks.step_name("m", {"k": 5}))
+    sinks.append_results(lines, path, "outlier", "t1", sinks.step_name("m", {"k": 10}))
+    sinks.append_results(lines, path, "outlier", "t2", sinks.step_name("m", {"k": 5}))
+    sinks.append_results(lines.limit(1), path, "outlier", "t1", sinks.step_name("m", {"k": 5}))
+    got = spark.read.parquet(path)
+    assert {(r["run_ts"], r["step"]): r["count"] for r in got.groupBy("run_ts", "step").count().collect()} == {
+        ("t1", sinks.step_name("m", {"k": 5})): 1, ("t1", sinks.step_name("m", {"k": 10})): 2, ("t2", sinks.step_name("m", {"k": 5})): 2}
+
+
+def test_a_repeated_job_leaves_every_line_once(spark, tmp_path):
+    data = small_data(spark).withColumn("target", (F.col("row_id") % 10 == 0).cast("int"))
+    path = str(tmp_path / "job")
+    for _ in range(2):
+        got = jobs.outlier_benchmark(data, SPEC, [pl.ScaledEmbedder()], [pl.LocalOutlierFactor(k=5), pl.LocalOutlierFactor(k=7)], save_to=path, run_ts="t")
+    assert spark.read.parquet(path).count() == got.results.count() == 4
+
+
+def test_runs_are_fitted_side_by_side(spark):
+    import threading
+    rows = spark.range(60).select(F.col("id").alias("row_id"), (F.col("id") % 12).cast("string").alias("run"))
+    together, now, failed = [], [], []
+
+    def one(name, part):
+        now.append(name)
+        together.append(len(now))
+        if name == "3":
+            raise RuntimeError("this one")
+        out = part.withColumn("n", F.lit(part.count())).withColumn("thread", F.lit(threading.get_ident()))
+        now.remove(name)
+        return out
+
+    got = pl._each_run(rows, "run", one, failed, parallelism=4).collect()
+    assert len(got) == 55 and all(r["n"] == 5 for r in got) and "run_number" not in got[0]
+    assert failed == [("3", "RuntimeError: this one")] and max(together) > 1 and len({r["thread"] for r in got}) > 1
+    with pytest.raises(ValueError):
+        pl._each_run(rows.limit(0), "run", one, [])
+
+
+def test_jobs_of_two_threads_delete_only_their_own(spark):
+    import contextvars
+    from gaugeframe import staging
+
+    def job(first, second):
+        own = staging.mark()
+        inner = staging.stage(spark.range(first), "a")
+        began.append(inner)
+        return staging.settle(spark, own, inner.select((F.col("id") + second).alias("id")))[0]
+
+    began = []
+    outer = staging.mark()
+    held = staging.stage(spark.range(7), "held")
+    results = [contextvars.copy_context().run(job, n, 1) for n in (3, 4)]
+    assert held.count() == 7 and [r.count() for r in results] == [3, 4]
+    with pytest.raises(Exception):
+        began[0].collect()
+    (kept,) = staging.settle(spark, outer, results[0].union(results[1]))
+    assert kept.count() == 7
+    with pytest.raises(Exception):
+        spark.read.parquet(results[0].inputFiles()[0]).count()
