@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..queries.registry import Tables
-from ..staging import stage_root
+from ..staging import scratch_path
 from . import (chat, decontam, html_text, langid, licenses, packing, quality, simhash, token_files, vector_codes, vectors, warc,
                whitening)
 from .common import prepare
@@ -38,7 +37,7 @@ def query(name: str, sql: str | None = None):
 @query("op1_warc_revisits")
 def _warc_revisits(t):
     """Pages to archives and back; everything returned is read from the archives."""
-    path = f"{stage_root(t.spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch_path(t.spark, "warc")
     pages = t.pages.select(F.col("page_id").alias("key"), F.col("url").alias("uri"), F.encode("html", "UTF-8").alias("payload"))
     warc.write_deduplicated(pages, path)
     found = warc.resolve_revisits(warc.read_archives(t.spark, path))
@@ -145,6 +144,6 @@ def _embedding_whitening(t):
 @query("op13_token_files")
 def _token_files(t):
     """Documents to files of token ids and back; everything returned is read from the files."""
-    docs, path = t.documents, f"{stage_root(t.spark)}/tokens-{uuid.uuid4().hex}"
+    docs, path = t.documents, scratch_path(t.spark, "tokens")
     token_files.write_sequences(docs, path, public_tokenizers.path(BYTE_BPE))
     return token_files.read_documents(t.spark, path, docs.schema["doc_id"].dataType)
