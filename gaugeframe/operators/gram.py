@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.hashing import gauss_matrix
 from ..functions.vectors import as_double, map_vectors, stack_vectors
+from ..staging import stage
 from .knn import _group_iter
+from .many_models import _summed
 
 _HELD_BYTES = 256 * 1024 * 1024
 _FAN_IN = 16
+WIDEST = 8192  # values of a vector whose whole Gram matrix one task adds up
+TILE_BYTES = 32 << 20
 
 
 def gram_matrices(df: DataFrame, vec: str = "embedding", by: Sequence[str] = (), max_dim: int = 8192) -> DataFrame:
@@ -74,9 +80,67 @@ def gram_matrices(df: DataFrame, vec: str = "embedding", by: Sequence[str] = (),
     return whole.mapInPandas(adder(from_partials, False), schema).drop("bucket")
 
 
-def singular_values(df: DataFrame, vec: str = "embedding", by: Sequence[str] = ()) -> DataFrame:
-    """``(*by, n, dim, sigma)``: the min(n, d) singular values of the uncentred matrix, largest first."""
+def wide_singular_values(rows: DataFrame, vec: str, tile_bytes: int = TILE_BYTES, seed: int = 42) -> tuple[int, int, np.ndarray]:
+    """Number of staged rows, their length and their min(n, d) singular values, without a d x d matrix.
+
+    The space the rows span is found a tile of random directions at a time: a pass multiplies the tile with the Gram matrix, row by
+    row, what it adds to the space so far is made orthonormal, and a second pass gives the Gram matrix in the new
+    coordinates. That ends when the coordinates hold the whole trace; all further values are zero. Every sum is one tile of d x
+    ``tile_bytes / 8 d`` numbers, and there are as many tiles as the rank of the rows asks for.
+    """
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.size(vec)).alias("d")).first()
+    n, d = facts["n"], facts["d"]
+    total = float(_summed(rows, lambda pdf: np.array([(stack_vectors(pdf[vec]) ** 2).sum()]))[0])
+    most, width = min(n, d), max(1, min(min(n, d), tile_bytes // (8 * d)))
+    basis, inside = np.zeros((d, 0)), np.zeros((0, 0))
+    context = rows.sparkSession.sparkContext
+
+    def times_gram(tile: np.ndarray) -> np.ndarray:
+        sent = context.broadcast(tile)
+
+        def read(pdf):
+            x = stack_vectors(pdf[vec])
+            return (x.T @ (x @ sent.value)).ravel()
+
+        out = _summed(rows, read).reshape(tile.shape)
+        sent.unpersist()
+        return out
+
+    while basis.shape[1] < most and total - np.trace(inside) > 1e-13 * total:
+        new = times_gram(gauss_matrix(d, min(width, most - basis.shape[1]), "range", seed, basis.shape[1]))
+        size = np.linalg.norm(new)
+        for _ in range(2):
+            new -= basis @ (basis.T @ new)
+        q, r = np.linalg.qr(new)
+        q = q[:, np.abs(np.diag(r)) > 1e-14 * max(size, 1e-300)]
+        q -= basis @ (basis.T @ q)
+        q, _ = np.linalg.qr(q)
+        if not q.shape[1]:
+            break
+        image = times_gram(q)
+        cross, own = basis.T @ image, q.T @ image
+        inside = np.block([[inside, cross], [cross.T, own]])
+        basis = np.hstack([basis, q])
+    lam = np.linalg.eigvalsh((inside + inside.T) / 2)[::-1] if len(inside) else np.zeros(0)
+    sigma = np.zeros(most)
+    sigma[: len(lam)] = np.sqrt(np.maximum(lam, 0.0))
+    return n, d, sigma
+
+
+def singular_values(df: DataFrame, vec: str = "embedding", by: Sequence[str] = (), widest: int = WIDEST) -> DataFrame:
+    """``(*by, n, dim, sigma)``: the min(n, d) singular values of the uncentred matrix, largest first.
+
+    Vectors longer than ``widest`` go through :func:`wide_singular_values`, one group after the other.
+    """
     by = list(by)
+    if (df.agg(F.max(F.size(vec))).first()[0] or 0) > widest:
+        rows, out = stage(df.select(*by, as_double(vec).alias("_v")), "wide-vectors"), []
+        for key in rows.select(*by).distinct().collect() if by else [()]:
+            part = reduce(lambda part, c: part.filter(F.col(c[0]).eqNullSafe(F.lit(c[1]))), zip(by, key), rows)
+            n, d, sigma = wide_singular_values(part, "_v")
+            out.append((*key, n, d, sigma.tolist()))
+        fields = [T.StructField("n", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("sigma", T.ArrayType(T.DoubleType()))]
+        return df.sparkSession.createDataFrame(out, T.StructType([df.schema[c] for c in by] + fields))
     grams = gram_matrices(df, vec, by)
     schema = T.StructType([df.schema[c] for c in by] + [
         T.StructField("n", T.LongType()), T.StructField("dim", T.IntegerType()),

@@ -9,7 +9,7 @@ from ..functions.hashing import bucket
 from ..operators import splits as spl
 from ..operators.metrics import MULTICLASS, REGRESSION
 from ..plans import jobs, plugins as pl, reports
-from ..sources import sinks, tables as src
+from ..sources import archives, sinks, tables as src
 from ..staging import scratch_path
 from .aggregate_queries import STAT_COLS, stats_sql
 from .embedding_queries import sphere_sql
@@ -315,6 +315,20 @@ def appended_results(t):
     return t.spark.read.parquet(path).groupBy("algorithm", "benchmark").agg(F.count("*").alias("n"))
 
 
+@query("matrix_archives_round_trip", """SELECT label::VARCHAR AS dataset, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::BIGINT AS row_id,
+  (vec_id % 2)::INT AS y, round(embedding[1]::DOUBLE,6) AS first, round(embedding[64]::DOUBLE,6) AS last, round(list_sum(embedding::DOUBLE[]),6) AS total
+  FROM embeddings WHERE label <> 3""")
+def matrix_archives_round_trip(t):
+    """The vectors of each label as an archive, read back by row ranges without one of them."""
+    path = scratch(t, "archives")
+    sinks.save_matrix_archives(t.embeddings.select(F.col("label").alias("dataset"), F.col("vec_id").alias("row_id"), F.col("embedding").alias("features"),
+                                                   (F.col("vec_id") % 2).cast("int").alias("y")), path)
+    got = archives.scan_matrix_archives(t.spark, path, exclude=("3",), partition_bytes=4096)
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    return got.select("dataset", "row_id", "y", F.round(F.col("features")[0], 6).alias("first"), F.round(F.col("features")[63], 6).alias("last"),
+                      F.round(total, 6).alias("total"))
+
+
 @query("repeated_results", f"SELECT algorithm, 'outlier' AS benchmark, count(*) AS n, round(sum(auc_score),4) AS total FROM ({RESULT_LINES}) GROUP BY algorithm")
 def repeated_results(t):
     """Steps that are saved twice, the first time with other lines, count once."""

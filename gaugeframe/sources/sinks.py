@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
@@ -46,6 +49,27 @@ def step_name(*parts) -> str:
     return "step-" + hashlib.md5(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
+def save_matrix_archives(df: DataFrame, folder: str) -> None:
+    """``(dataset, row_id, features, y)`` as ``{dataset}.npz`` files with ``X`` and ``y`` in order of ``row_id``, values uncompressed.
+
+    An archive is made in one task, so it has to fit one; what is meant are the moderate tables of a benchmark.
+    """
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, buffer = pdf.sort_values("row_id"), io.BytesIO()
+        np.savez(buffer, X=np.stack(pdf["features"].to_numpy()).astype(np.float64), y=pdf["y"].to_numpy())
+        return pd.DataFrame({"dataset": [str(pdf["dataset"].iloc[0])], "value": [buffer.getvalue()]})
+
+    packed = df.groupBy("dataset").applyInPandas(pack, "dataset string, value binary")
+    raw = f"{folder}/raw"
+    packed.select("dataset", F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("dataset").text(raw)
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    store = at(folder).getFileSystem(conf)
+    for found in store.globStatus(at(f"{raw}/dataset=*/part-*")):
+        store.rename(found.getPath(), at(f"{folder}/{found.getPath().getParent().getName().removeprefix('dataset=')}.npz"))
+    store.delete(at(raw), True)
+
+
 def save_collections(collections: DataFrame, path: str) -> None:
     """``(collection, selected_task_ids_str, selected_task_ids)`` as one JSON object; a small configuration table."""
     entry = F.struct("collection", F.struct("selected_task_ids_str", "selected_task_ids"))

@@ -134,3 +134,23 @@ def test_column_predictors(spark):
     concat = np.array([r["embedding"] for r in model.views(df.withColumnRenamed("embedding", "e").withColumn(
         "embedding", F.col("e")), "concat", "embedding").collect()])
     assert concat.shape == (500, 16)
+
+
+@pytest.mark.parametrize("n, d, rank", [(60, 10_000, 60), (80, 9_000, 7)])
+def test_wide_vectors_without_a_square_matrix(spark, n, d, rank):
+    rng = np.random.default_rng(d)
+    m = rng.normal(size=(n, rank)) * 0.8 ** np.arange(rank) @ rng.normal(size=(rank, d))
+    want = np.linalg.svd(m, compute_uv=False)
+    p = want / want.sum() + 1e-7
+    df = vectors(spark, m).repartition(3)
+    assert gram.rank_me(df).first()[0] == pytest.approx(np.exp(-(p * np.log(p)).sum()), rel=1e-6)
+
+
+@pytest.mark.parametrize("tile", [16, 1 << 20])
+def test_the_spectrum_by_tiles_of_any_width(spark, tile):
+    m = np.random.default_rng(5).normal(size=(40, 12)) * [9, 7, 5, 3, 2, 1, 1, 1, 0.1, 0.01, 0, 0]
+    n, d, sigma = gram.wide_singular_values(vectors(spark, m), "embedding", tile_bytes=8 * 12 * tile // 4)
+    assert (n, d) == (40, 12) and np.allclose(sigma, np.linalg.svd(m, compute_uv=False), atol=1e-6)
+    by = gram.singular_values(vectors(spark, m, [i % 2 for i in range(40)]), by=["g"], widest=4)
+    for r in by.collect():
+        assert np.allclose(r["sigma"], np.linalg.svd(m[r["g"]::2], compute_uv=False), atol=1e-6)
