@@ -88,3 +88,32 @@ def test_run_and_registration(spark):
 def test_contract_columns(spark, name, columns):
     query = next(q for n, q in driver.queries().items() if n.startswith(name))
     assert set(columns.split()) <= set(query(spark, "/root/testdata/sf0.001").columns)
+
+
+ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp int, component_id string, Quality_Score string"
+
+
+def odd_documents(spark):
+    texts = [r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    long = " ".join(texts)[:200_000]
+    rows = [(i, t, "en", "s", None, 0.5, 1, "c", "q") for i, t in enumerate(texts)]
+    rows += [(None, texts[0], None, None, None, None, None, None, None), (None, None, "de", "s", 3, 0.1, 2, "d", "r")]
+    rows += [(900, None, "en", "s", 0, 0.5, 1, "c", "q"), (901, "", "en", None, 0, 0.5, 1, "c", "q"), (902, long, "fr", "t", 9, 0.5, 1, "c", "q")]
+    return spark.createDataFrame(rows + rows[5:8] * 2, ODD_SCHEMA)
+
+
+@pytest.mark.parametrize("name,step", corpus_pipeline.STAGES)
+def test_stages_on_odd_and_empty_tables(spark, name, step):
+    docs = stage(odd_documents(spark), "odd")
+    got = step(spark, docs, FOLDER)
+    if name != "best_fit_packing":
+        assert got.columns == docs.columns
+        before, after = [sorted(map(str, f.collect())) for f in (docs, got)]
+        assert set(after) <= set(before) and all(after.count(r) == before.count(r) for r in set(after))
+    else:
+        pieces = got.groupBy("doc_id", "start").count().collect()
+        assert sum(r["count"] for r in pieces if r.start == 0) == docs.count()
+        assert got.filter("doc_id = 901").first().length == 1
+    if name not in ("quality_classifier", "best_fit_packing"):
+        assert got.filter("doc_id is null").count() == 2
+    assert step(spark, docs.limit(0), FOLDER).count() == 0
