@@ -188,6 +188,36 @@ def test_license_windows_against_sets(spark):
         licenses.Templates([("x", "too short")], 0.8)
 
 
+def test_every_template_is_told_by_its_own_name(spark):
+    texts = [(k, f"{prose(k, 60)} {text} {prose(k + 500, 80)}") for k, (_, text) in enumerate(licenses.TEMPLATES)]
+    got = {}
+    for r in licenses.find_licenses(docs_of(spark, texts)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {k: {name} for k, (name, _) in enumerate(licenses.TEMPLATES)}
+
+
+def near_pairs():
+    """Templates of different licenses that one text could be taken for both of."""
+    grams = [set(licenses.shingles_of(licenses.words_of(t.encode()))) for _, t in licenses.TEMPLATES]
+    return [(a, b) for a, (n, _) in enumerate(licenses.TEMPLATES) for b, (m, _) in enumerate(licenses.TEMPLATES)
+            if n != m and len(grams[a] & grams[b]) >= 0.8 * len(grams[b])]
+
+
+def test_near_equal_notices_are_told_apart(spark):
+    pairs = near_pairs()
+    names = [n for n, _ in licenses.TEMPLATES]
+    assert {("GPL-2.0", "GPL-3.0"), ("AGPL-3.0", "GPL-3.0"), ("LGPL-3.0", "LGPL-2.1")} <= {(names[a], names[b]) for a, b in pairs}
+    text = lambda k: licenses.TEMPLATES[k][1]
+    rows = [(2 * n, f"{prose(n, 90)} {text(a)} {prose(n + 99, 30)}") for n, (a, b) in enumerate(pairs)]
+    rows += [(2 * n + 1, f"{text(a)} {text(b)}") for n, (a, b) in enumerate(pairs)]  # both, one after the other
+    got = {}
+    for r in licenses.find_licenses(docs_of(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    for n, (a, b) in enumerate(pairs):
+        assert got[2 * n] == {names[a]}
+        assert got[2 * n + 1] == {names[a], names[b]}
+
+
 def test_word_encoder_equals_the_library():
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
         own = WordEncoder(file.read())
