@@ -77,14 +77,16 @@ def test_run_and_registration(spark):
     assert driver.queries()["pipeline"] is corpus_pipeline.run
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001/").count() > 0
     assert sorted(n for n in driver.queries() if re.match(r"op\d+_", n)) == sorted(set(
-        n for n in driver.queries() if re.match(r"op([1-9]|10)_", n)))
-    assert len([n for n in driver.queries() if re.match(r"op\d+_", n)]) == 10
+        n for n in driver.queries() if re.match(r"op([1-9]|1[0-3])_", n)))
+    assert len([n for n in driver.queries() if re.match(r"op\d+_", n)]) == 13
 
 
 @pytest.mark.parametrize("name,columns", [
     ("op1_", "page_id payload_bytes payload_digest record_type refers_to"), ("op3_", "doc_id piece start length ids_crc32 sequence_id offset"),
     ("op4_", "doc_id fingerprint component_id"), ("op5_", "vec_id n_links component_id kept"), ("op7_", "page_id url text n_chars"),
-    ("op9_", "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars"), ("op10_", "doc_id held_out score predicted")])
+    ("op9_", "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars"), ("op10_", "doc_id held_out score predicted"),
+    ("op11_", "vec_id code error label_error codebooks_sha256"), ("op13_", "doc_id start n_tokens ids_crc32"),
+    ("op12_", "vec_id component n deviation whitened explained identity_error")])
 def test_contract_columns(spark, name, columns):
     query = next(q for n, q in driver.queries().items() if n.startswith(name))
     assert set(columns.split()) <= set(query(spark, "/root/testdata/sf0.001").columns)
