@@ -111,9 +111,9 @@ def pair_distances(rows: DataFrame, row_id: str, vec: str, blocks: DataFrame, ou
     return against_blocks(rows, row_id, vec, blocks, compare, f"`{row_id}` {row_kind}, `{cluster}` {kind}, `{out}` double")
 
 
-def distance_summary(df: DataFrame, vec: str, blocks: DataFrame) -> DataFrame:
-    """``df`` with ``least``, ``weighted`` and ``deviation`` of a row's distances to all points: the least, their sum by ``weight`` and
-    their population deviation.
+def distance_summary(df: DataFrame, vec: str, blocks: DataFrame, names: Sequence[str] = ("least", "weighted", "deviation")) -> DataFrame:
+    """``df`` with three columns ``names`` of a row's distances to all points: the least, their sum by ``weight`` and their population
+    deviation.
 
     Whole rows travel with their chunk, as bytes, and meet the blocks once; a block gives four numbers a row. Only with more
     than one block are chunks shuffled, to add those numbers up. The columns of ``df`` are of any types.
@@ -160,7 +160,7 @@ def distance_summary(df: DataFrame, vec: str, blocks: DataFrame) -> DataFrame:
                 spread = np.sqrt((apart + n * (mean - middle) ** 2).sum(0) / n.sum())
                 whole = pa.ipc.read_record_batch(pa.BufferReader(rows.as_buffer()), kinds)
                 yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(least.min(0)), pa.array(weighted.sum(0)), pa.array(spread)],
-                                                 names=[*kinds.names, "least", "weighted", "deviation"])
+                                                 names=[*kinds.names, *names])
 
     chunks = df.select(*[F.col(f"`{c}`") for c in df.columns], as_double(F.col(f"`{vec}`")).alias(name)).mapInArrow(
         pack, "chunk long, rows binary, many int, flat array<double>")
@@ -173,5 +173,5 @@ def distance_summary(df: DataFrame, vec: str, blocks: DataFrame) -> DataFrame:
         sums = sums.groupBy("chunk").agg(F.max("rows").alias("rows"), F.collect_list(each).alias("found"))
     else:
         sums = sums.withColumn("found", F.array(each))
-    shape = T.StructType([*df.schema, *[T.StructField(c, T.DoubleType()) for c in ("least", "weighted", "deviation")]])
+    shape = T.StructType([*df.schema, *[T.StructField(c, T.DoubleType()) for c in names]])
     return sums.select("rows", "found").mapInArrow(unpack, shape)

@@ -128,12 +128,13 @@ def cluster_distance_targets(train: DataFrame, df: DataFrame, metrics: Sequence[
                              vec: str = "embedding", cluster: str = "cluster", out: str = "targets") -> DataFrame:
     """Targets from the distances of a row to the train centroids: minus the smallest, minus the size-weighted mean,
     population deviation; the chosen ones as one vector in that order."""
-    parts = {"min": -F.col("least"), "mean": -F.col("weighted"), "std": F.col("deviation")}
+    names = [next(f"_{n}{i}" for i in range(len(df.columns) + 1) if f"_{n}{i}" not in df.columns) for n in ("least", "weighted", "deviation")]
+    parts = {"min": -F.col(names[0]), "mean": -F.col(names[1]), "std": F.col(names[2])}
     unknown = [m for m in metrics if m not in parts]
     if unknown:
         raise ValueError(f"unknown distance metrics {unknown}")
     blocks = point_blocks(centroids(train, vec, cluster).select(F.col(cluster).alias("_c"), "centroid", "weight"), "_c", "centroid", ["weight"])
-    return distance_summary(df, vec, blocks).select(*df.columns, F.array(*[parts[m] for m in ("min", "mean", "std") if m in metrics]).alias(out))
+    return distance_summary(df, vec, blocks, names).select(*df.columns, F.array(*[parts[m] for m in ("min", "mean", "std") if m in metrics]).alias(out))
 
 
 # ---- pooled collections ----------------------------------------------------------------------------------------

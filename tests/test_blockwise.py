@@ -71,6 +71,7 @@ def test_pairs_of_rows_and_points(spark):
 
 
 def test_targets_keep_repeated_rows_and_other_columns(spark):
-    df = frame(spark, np.zeros((3, 2))).select(F.lit(1).alias("id"), F.col("vec").alias("embedding"), F.lit(0).alias("cluster"), F.lit("x").alias("keys"))
+    df = frame(spark, np.zeros((3, 2))).select(F.lit(1).alias("id"), F.col("vec").alias("embedding"), F.lit(0).alias("cluster"), F.lit("x").alias("keys"),
+                                             F.lit(5).alias("least"), F.lit(6).alias("_least0"), F.lit(7).alias("weighted"))
     got = emb.cluster_distance_targets(df, df, ("min", "std")).collect()
-    assert len(got) == 3 and all(r["targets"] == [0.0, 0.0] and r["keys"] == "x" for r in got)
+    assert len(got) == 3 and all(r["targets"] == [0.0, 0.0] and (r["keys"], r["least"], r["_least0"]) == ("x", 5, 6) for r in got)
