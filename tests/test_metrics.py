@@ -154,3 +154,32 @@ def test_the_spectrum_by_tiles_of_any_width(spark, tile):
     by = gram.singular_values(vectors(spark, m, [i % 2 for i in range(40)]), by=["g"], widest=4)
     for r in by.collect():
         assert np.allclose(r["sigma"], np.linalg.svd(m[r["g"]::2], compute_uv=False), atol=1e-6)
+
+
+@pytest.mark.parametrize("walk_rows", [1, 50, 200_000])
+def test_one_walk_gives_both_multiclass_aucs(spark, monkeypatch, walk_rows):
+    """Ties, slices of any size, a group key that is null, a class without rows and a group of one class."""
+    monkeypatch.setattr(met, "WALK_ROWS", walk_rows)
+    rng = np.random.default_rng(4)
+    n = 900
+    g = rng.choice(["a", "b", None, "one"], n)
+    y = np.where(g == "one", 2, rng.integers(0, 3, n))
+    p = np.round(rng.random((n, 4)), 1)
+    p[rng.random(n) < 0.4] = 0.25
+    df = spark.createDataFrame([(a, int(b), c.tolist()) for a, b, c in zip(g, y, p)], "g string, y int, proba array<double>").repartition(5)
+    both = met.roc_auc_multiclass(df, ["g"])
+    got = {r["g"]: (r["auc_score_ovr"], r["auc_score_ovo"]) for r in both.collect()}
+    alone = {r["g"]: r["auc_score_ovo"] for r in met.roc_auc_ovo(df, ["g"]).collect()}
+    assert set(got) == set(alone) == {"a", "b", None, "one"} and got["one"] == (None, None) and alone["one"] is None
+    for name in ("a", "b", None):
+        yy, pp = y[g == name], p[g == name]
+        ovr = [auc((yy == c).astype(int), pp[:, c]) for c in range(4)]
+        ovo = [auc((yy[(yy == a) | (yy == b)] == a).astype(int), pp[(yy == a) | (yy == b), a]) for a in range(3) for b in range(3) if a != b]
+        assert abs(got[name][0] - np.mean([v for v in ovr if v is not None])) < 1e-12
+        assert abs(got[name][1] - np.mean(ovo)) < 1e-12 and abs(alone[name] - np.mean(ovo)) < 1e-12
+
+
+def test_the_multiclass_metrics_share_one_walk(spark):
+    df = spark.createDataFrame([("a", 0, [0.7, 0.3]), ("a", 1, [0.2, 0.8])], "g string, y int, proba array<double>")
+    plan = met.compute_metrics(df, met.MULTICLASS, ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("MapInPandas") == 0
