@@ -56,6 +56,8 @@ def stack_vectors(series: Sequence) -> np.ndarray:
     rows = list(series)
     if not rows:
         return np.empty((0, 0))
+    if all(isinstance(r, np.ndarray) for r in rows) and len({len(r) for r in rows}) == 1:
+        return np.concatenate(rows).astype(np.float64, copy=False).reshape(len(rows), len(rows[0]))
     return np.vstack([np.asarray(r, dtype=np.float64) for r in rows])
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.hashing import uniform, uniform_py
-from ..functions.vectors import as_double, map_vectors, stack_vectors
+from ..functions.vectors import as_double, stack_vectors
 from ..staging import stage
 from .embed import fourier_map
 from .ranks import exact_quantiles
@@ -182,6 +183,38 @@ def isolation_forest(df: DataFrame, vec: str = "embedding", row_id: str = "row_i
     return scored.join(edge, by).withColumn(out, F.col(out) - F.col("q0")).drop("q0")
 
 
+def _fourier_distance(rows: DataFrame, by: list[str], row_id: str, features: Callable[[np.ndarray], np.ndarray], out: str) -> DataFrame:
+    """Squared distance of every row's features to their mean. The features never leave a worker: the first pass returns a sum per
+    batch and group, the second one number per row."""
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                code = pdf.groupby(by, sort=False, dropna=False).ngroup().to_numpy() if by else np.zeros(len(pdf), dtype=np.int64)
+                first = np.unique(code, return_index=True)[1]
+                total, mapped = [], features(stack_vectors(pdf["_z"]))
+                for c in range(len(first)):
+                    total.append(mapped[code == c].sum(axis=0) if len(first) > 1 else mapped.sum(axis=0))
+                yield pdf.iloc[first][by].reset_index(drop=True).assign(_sum=total, _n=np.bincount(code).astype(float))
+
+    schema = T.StructType([rows.schema[c] for c in by] + [T.StructField("_sum", T.ArrayType(T.DoubleType())), T.StructField("_n", T.DoubleType())])
+    centre = rows.select(*by, "_z").mapInPandas(sums, schema).groupBy(*by).agg(
+        vector_to_array(Summarizer.sum(array_to_vector("_sum"))).alias("_c"), F.sum("_n").alias("_n"))
+    centre = centre.select(*by, F.transform("_c", lambda x: x / F.col("_n")).alias("_c"))
+    if by:
+        @pandas_udf("double")
+        def far(z: pd.Series, c: pd.Series) -> pd.Series:
+            return pd.Series(((features(stack_vectors(z)) - stack_vectors(c)) ** 2).sum(axis=1) if len(z) else [], dtype=float)
+
+        return rows.join(centre, by).select(*by, row_id, far("_z", "_c").alias(out))
+    middle = np.array(centre.first()["_c"])
+
+    @pandas_udf("double")
+    def gap(z: pd.Series) -> pd.Series:
+        return pd.Series(((features(stack_vectors(z)) - middle) ** 2).sum(axis=1) if len(z) else [], dtype=float)
+
+    return rows.select(row_id, gap("_z").alias(out))
+
+
 def centre_distance(df: DataFrame, vec: str = "embedding", row_id: str = "row_id", contamination: float = 0.1,
                     fourier: int | None = None, gamma: float | None = None, seed: int = 42, by: Sequence[str] = (),
                     out: str = "prediction") -> DataFrame:
@@ -207,12 +240,8 @@ def centre_distance(df: DataFrame, vec: str = "embedding", row_id: str = "row_id
         scored = rows.select(*by, row_id, F.aggregate(z, F.lit(0.0), lambda a, x: a + x * x).alias(out))
     else:
         rows = rows.select(*by, row_id, z.alias("_z"))
-        dim = rows.agg(F.max(F.size("_z"))).first()[0]
-        mapped = map_vectors(rows, "_z", "_f", fourier_map(dim, fourier, gamma or 1.0 / dim, seed))
-        centre = mapped.groupBy(*by).agg(vector_to_array(Summarizer.mean(array_to_vector("_f"))).alias("_c"))
-        mapped = mapped.join(centre, by) if by else mapped.withColumn("_c", F.lit(list(centre.first()["_c"])))
-        far = F.aggregate(F.zip_with("_f", "_c", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x)
-        scored = mapped.select(*by, row_id, far.alias(out))
+        dim = rows.agg(F.max(F.size("_z"))).first()[0] if by else len(s["_m"])
+        scored = _fourier_distance(rows, by, row_id, fourier_map(dim, fourier, gamma or 1.0 / dim, seed), out)
     scored = stage(scored, "centre-scores")
     edge = exact_quantiles(scored, [out], (1.0 - contamination,), by).drop("column")
     if not by:
