@@ -26,6 +26,7 @@ from ..operators.tuned import TunedEvaluator
 from ..staging import scratch_path, stage
 
 KEPT, PARAMS = "_kept_features", "params"
+RUN_GROUP_BYTES = 2 << 20  # row groups of the staged rows of many runs, so that one run's are a few of them
 
 
 @dataclass(frozen=True)
@@ -281,10 +282,11 @@ def _each_run(rows: DataFrame, run: str, one: Callable[[object, DataFrame], Data
     """``one(name, rows of the run)`` for every run, ``parallelism`` runs at a time, each in a scheduler pool of its own.
 
     For models that are fitted one at a time: every run writes its part of one table, which is read as a whole, so the plan
-    does not grow with the runs. Only their names come to the driver, and a run that fails is appended to ``failed`` as (name,
-    message).
+    does not grow with the runs. What ``rows`` is made of is read once: the rows are staged in the order of the runs, so a fit skips
+    what is not its run's. Only their names come to the driver, and a run that fails is appended to ``failed`` as (name, message).
     """
     spark = rows.sparkSession
+    rows = stage(rows.sortWithinPartitions(run), "run-rows", RUN_GROUP_BYTES)
     path, context = scratch_path(spark, "runs"), contextvars.copy_context()
 
     def fit(task):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeframe.operators import outliers as out, tuned
+from gaugeframe.operators import embed as emb, outliers as out, tuned
 from gaugeframe.operators.metrics import BINARY, MULTICLASS, OUTLIER, REGRESSION
 from gaugeframe.plans import jobs, plugins as pl
 from gaugeframe.sources import sinks, tables as src
@@ -379,3 +379,41 @@ def test_jobs_of_two_threads_delete_only_their_own(spark):
     assert kept.count() == 7
     with pytest.raises(Exception):
         spark.read.parquet(results[0].inputFiles()[0]).count()
+
+
+def test_fourier_distances_by_group_and_overall(spark):
+    rng = np.random.default_rng(3)
+    m, g = rng.normal(size=(500, 3)), rng.integers(0, 4, 500).tolist()
+    df = matrix(spark, m, g=g).repartition(5)
+    f = emb.fourier_map(3, 16, 1.0 / 3, 42)
+
+    def expected(rows):
+        mapped = f((rows - rows.mean(axis=0)) / rows.std(axis=0))
+        return ((mapped - mapped.mean(axis=0)) ** 2).sum(axis=1)
+
+    got = {r["row_id"]: r["prediction"] for r in out.centre_distance(df, fourier=16).collect()}
+    assert np.allclose([got[i] for i in range(500)], expected(m))
+    got = {r["row_id"]: r["prediction"] for r in out.centre_distance(df, fourier=16, by=["g"]).collect()}
+    for k in range(4):
+        at = np.flatnonzero(np.array(g) == k)
+        assert np.allclose([got[i] for i in at], expected(m[at]))
+
+
+def test_fourier_features_stay_with_the_workers(spark):
+    rows = spark.createDataFrame([(1, [0.5, 1.0]), (2, [0.0, 2.0])], "row_id int, _z array<double>")
+    made = out._fourier_distance(rows, [], "row_id", emb.fourier_map(2, 8, 0.5, 1), "prediction")
+    assert made.columns == ["row_id", "prediction"] and "zip_with" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_many_runs_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(60).withColumn("run", F.concat(F.lit("r"), F.col("id") % 3)).mapInPandas(count, "id bigint, run string")
+    failed = []
+    got = pl._each_run(rows, "run", lambda name, part: part.withColumn("n", F.lit(part.count())), failed).collect()
+    assert not failed and made.value == 60 and len(got) == 60 and {r["n"] for r in got} == {20}
