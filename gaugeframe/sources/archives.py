@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PARTITION_BYTES, BATCH_ROWS = 16 << 20, 4096
+MOST_PARTITIONS = 512  # smaller row ranges than this asks for would cost a task each and nothing else
 SCHEMA = "dataset string, row_id bigint, features array<double>, y int"
 
 
@@ -84,10 +85,11 @@ class ArchiveReader(DataSourceReader):
         self.path, self.exclude, self.partition_bytes = path, exclude, partition_bytes
 
     def partitions(self) -> list[RowRange]:
-        """Row ranges of about ``partition_bytes``; only the archives' directories are read here."""
+        """Row ranges of about ``partition_bytes``, or more where that made over ``MOST_PARTITIONS`` of them; only the archives'
+        directories are read here."""
         store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
         found = store.get_file_info(fs.FileSelector(root)) if store.get_file_info(root).type == fs.FileType.Directory else [store.get_file_info(root)]
-        out: list[RowRange] = []
+        held = []
         for info in sorted(found, key=lambda i: i.path):
             name = info.base_name.removesuffix(".npz")
             if info.base_name == name or name in self.exclude:
@@ -97,11 +99,16 @@ class ArchiveReader(DataSourceReader):
             x, y = got["X"], got["y"]
             if len(x.shape) != 2 or x.shape[0] != int(np.prod(y.shape)):
                 raise ValueError(f"archive {name}: X must be a matrix with one row per label")
-            step = max(1, self.partition_bytes // max(1, x.shape[1] * np.dtype(x.dtype).itemsize))
+            held.append((info.path, name, x, y))
+        width = lambda x: max(1, x.shape[1] * np.dtype(x.dtype).itemsize)
+        most = max(self.partition_bytes, sum(x.shape[0] * width(x) for _, _, x, _ in held) // MOST_PARTITIONS)
+        out: list[RowRange] = []
+        for path, name, x, y in held:
+            step = max(1, most // width(x))
             if x.offset is None or y.offset is None:
                 step = max(1, x.shape[0])
             y = Member("y", y.dtype, (x.shape[0],), y.offset)
-            out += [RowRange(info.path, name, at, min(step, x.shape[0] - at), x, y) for at in range(0, x.shape[0], step)]
+            out += [RowRange(path, name, at, min(step, x.shape[0] - at), x, y) for at in range(0, x.shape[0], step)]
         return out or [RowRange("", "", 0, 0, Member("X", "<f8", (0, 0), 0), Member("y", "<f8", (0,), 0))]
 
     def read(self, part: RowRange) -> Iterator[pa.RecordBatch]:

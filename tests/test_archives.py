@@ -62,3 +62,14 @@ def test_saved_archives_are_numpy_archives(spark, tmp_path):
         assert one["X"].tolist() == [r[2] for r in rows[:9]] and one["y"].tolist() == [r[3] for r in rows[:9]]
     got = rows_of(ar.scan_matrix_archives(spark, str(tmp_path / "out")))[1]
     assert len(got) == 10 and {g[0] for g in got} == {"a", "b c"} or {g[0] for g in got} == {"a", "b%20c"}
+
+
+def test_small_ranges_of_a_large_archive_do_not_cost_a_task_each(spark, tmp_path, monkeypatch):
+    x = make(tmp_path, "big", 3000)
+    make(tmp_path, "small", 3)
+    monkeypatch.setattr(ar, "MOST_PARTITIONS", 20)
+    reader = ar.ArchiveReader(str(tmp_path), frozenset(), 40)
+    parts = reader.partitions()
+    assert 20 <= len(parts) <= 22
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist() if r["dataset"] == "big"]
+    assert [r["row_id"] for r in rows] == list(range(3000)) and np.array_equal([r["features"] for r in rows], x)
