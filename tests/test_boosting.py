@@ -1,9 +1,12 @@
 """Boosted trees that grow together, against trees grown by plain loops."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from gaugeframe.operators import boosting as bo
+from gaugeframe.staging import stage_root
 
 
 def frame(spark, n=240, width=3, seed=0):
@@ -77,3 +80,34 @@ def test_flat_targets_and_constant_features(spark):
     flat = df.selectExpr("row_id", "array(embedding[0], 1D) AS embedding", "7D AS y", "fold")
     models, held = bo.BoostedMany.pack(flat, "row_id", "embedding", "y").fit(TASKS[:2], keep=True)
     assert np.allclose(models[0](m[:, :2]), 7) and np.allclose(held[:, 0], 0)
+
+
+def test_blocks_are_bounded_by_rows_and_predictions(spark, monkeypatch):
+    df, m, y = frame(spark, 100, 2)
+    whole = bo.BoostedMany.pack(df, "row_id", "embedding", "y")
+    parts = bo.BoostedMany.pack(df, "row_id", "embedding", "y", block_rows=15)
+    assert parts.whole and parts.count == 7
+    cut = bo.BoostedMany.pack(df, "row_id", "embedding", "y", block_rows=15, task_rows=50)
+    assert (whole.count, cut.count) == (1, 7) and cut.blocks.count() == 7
+    monkeypatch.setattr(bo, "TOLD_BYTES", 2 * 8 * cut.rows)  # two models at a time
+    seen, passes = [], bo.BoostedMany._fit_in_passes
+    monkeypatch.setattr(bo.BoostedMany, "_fit_in_passes", lambda self, tasks: seen.append(len(tasks)) or passes(self, tasks))
+    one, held = whole.fit(TASKS[:3], keep=True)
+    told = lambda: set(Path(stage_root(spark)).glob("boost-told-*"))
+    before = told()
+    many, held_cut = cut.fit(TASKS[:3], keep=True)
+    assert told() == before  # a round's predictions replace the last round's
+    same, held_parts = parts.fit(TASKS[:3], keep=True)
+    assert seen == [2, 1] and np.allclose(held, held_cut) and np.allclose(held, held_parts)
+    assert all(np.allclose(a(m), b(m)) and np.allclose(a(m), c(m)) for a, b, c in zip(one, many, same))
+
+
+def test_level_sums_take_a_feature_at_a_time():
+    rng = np.random.default_rng(1)
+    bins, node, residual = rng.integers(0, bo.BINS, (500, 3)).astype(np.uint8), rng.integers(0, 7, 500), rng.normal(size=500)
+    got = bo.level_sums(bins, node, residual, 2)
+    want = np.zeros((4, 3, bo.BINS, 2))
+    for b, k, r in zip(bins, node, residual):
+        for f in range(3) if k >= 3 else ():
+            want[k - 3, f, b[f]] += (r, 1)
+    assert np.allclose(got, want)
