@@ -8,10 +8,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.feature import IDF, PCA, HashingTF, NGram, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
@@ -182,11 +184,77 @@ LOW_CARDINALITY = 40  # fixed value: text columns up to this many values are one
 TEXT_COMPONENTS = 30  # fixed value: components kept from a high-cardinality text column
 
 
+TRIGRAM_CHARS, TRIGRAM_ROWS = 1 << 20, 1000  # texts counted at once: characters and rows
+TRIGRAM_TABLE = 1 << 22  # alphabets with up to so many possible trigrams are counted through a table
+
+
 def with_trigrams(df: DataFrame, col: str, out: str, size: int) -> DataFrame:
-    """Sparse counts of the lower-cased text's character trigrams, hashed into ``size`` slots; the whole text counts."""
-    chars = df.withColumn("_chars", F.split(F.lower(F.coalesce(F.col(col).cast("string"), F.lit(""))), ""))
-    grams = NGram(n=3, inputCol="_chars", outputCol="_grams").transform(chars)
-    return HashingTF(numFeatures=size, inputCol="_grams", outputCol=out).transform(grams).drop("_chars", "_grams")
+    """Sparse counts of the lower-cased text's character trigrams, hashed into ``size`` slots; the whole text counts. The slots are
+    those of Spark ML's ``NGram`` and ``HashingTF``, without an object per character and trigram."""
+    @F.arrow_udf(VectorUDT())
+    def counted(texts: pa.Array) -> pa.Array:
+        parts = [_trigram_counts(some, size) for some in _runs(texts.to_pylist())]
+        many, slots, counts = (np.concatenate(c) for c in zip(*parts))
+        starts = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
+        n = len(texts)
+        return pa.StructArray.from_arrays(
+            [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), pa.ListArray.from_arrays(starts, pa.array(slots.astype(np.int32))),
+             pa.ListArray.from_arrays(starts, pa.array(counts.astype(float)))], names=["type", "size", "indices", "values"])
+
+    return df.withColumn(out, counted(F.make_valid_utf8(F.lower(F.coalesce(F.col(col).cast("string"), F.lit(""))))))
+
+
+def _runs(texts: list[str]) -> list[list[str]]:
+    """Texts in their order, in runs of bounded length; a longer text is a run of its own."""
+    runs, held, chars = [], [], 0
+    for text in texts:
+        if held and (len(held) >= TRIGRAM_ROWS or chars + len(text) > TRIGRAM_CHARS):
+            runs.append(held)
+            held, chars = [], 0
+        held.append(text)
+        chars += len(text)
+    return runs + [held]
+
+
+def _trigram_counts(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many slots each text fills; and of all texts one after the other, the slots in ascending order and their counts."""
+    length = np.array([len(t) for t in texts], dtype=np.int64)
+    points, total = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32), np.zeros(len(texts) * size, dtype=np.int64)
+    row = np.repeat(np.arange(len(texts)), length)
+    for at in range(0, len(points) - 2, TRIGRAM_CHARS):  # a long text goes through in pieces that share two characters
+        chars, own = points[at: at + TRIGRAM_CHARS + 2], row[at: at + TRIGRAM_CHARS + 2]
+        alphabet = np.unique(chars)
+        code = np.zeros(int(alphabet[-1]) + 1, dtype=np.int64)
+        code[alphabet] = np.arange(len(alphabet))
+        code = code[chars]
+        whole = own[:-2] == own[2:]
+        grams, many = ((code[:-2] * len(alphabet) + code[1:-1]) * len(alphabet) + code[2:])[whole], len(alphabet) ** 3
+        if many <= TRIGRAM_TABLE:
+            found, slot_of = np.flatnonzero(np.bincount(grams, minlength=many)), np.zeros(many, dtype=np.int64)
+            slot_of[found] = _trigram_slots(alphabet, found, size)
+            slot = slot_of[grams]
+        else:
+            found, place = np.unique(grams, return_inverse=True)
+            slot = _trigram_slots(alphabet, found, size)[place]
+        total += np.bincount(own[:-2][whole] * size + slot, minlength=len(total))
+    filled = np.flatnonzero(total)
+    return np.bincount(filled // size, minlength=len(texts)), filled % size, total[filled]
+
+
+def _trigram_slots(alphabet: np.ndarray, grams: np.ndarray, size: int) -> np.ndarray:
+    """Slots of trigrams given by places in the alphabet: Murmur3 of their characters in UTF-8, a space between, seed 42."""
+    n = len(alphabet)
+    words = [f"{chr(a)} {chr(b)} {chr(c)}".encode() for a, b, c in zip(*(alphabet[i].tolist() for i in (grams // (n * n), grams // n % n, grams % n)))]
+    length = np.array([len(w) for w in words], dtype=np.uint32)
+    turned = lambda v, by: v << np.uint32(by) | v >> np.uint32(32 - by)
+    h = np.full(len(words), 42, dtype=np.uint32)
+    for k, block in enumerate(np.frombuffer(b"".join(w.ljust(16, b"\0") for w in words), dtype="<u4").reshape(-1, 4).T):
+        mixed = h ^ turned(block * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = np.where(length >= 4 * k + 4, turned(mixed, 13) * np.uint32(5) + np.uint32(0xE6546B64), np.where(length > 4 * k, mixed, h))
+    h ^= length
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> np.uint32(shift)) * np.uint32(factor)
+    return (h ^ h >> np.uint32(16)).view(np.int32).astype(np.int64) % size
 
 
 def _trigram_shares(texts: pd.Series, size: int) -> np.ndarray:
@@ -253,12 +321,21 @@ class TableVectorizer:
             ready = with_trigrams(ready, c, f"{c}_h", self.hash_size).drop(c)
         return ready
 
+    def _many_valued(self, ready: DataFrame, text: list[str]) -> list[str]:
+        """Text columns with more than ``low`` values. As many hashes are as many values at least, so texts move only where those are few."""
+        def over(columns, of):
+            n = ready.agg(*[F.count_distinct(of(c)).alias(c) for c in columns]).first() if columns else {}
+            return {c for c in columns if n[c] > self.low}
+
+        many = over(text, F.xxhash64)
+        many |= over([c for c in text if c not in many], F.col)
+        return [c for c in text if c in many]
+
     def fit(self, df: DataFrame) -> TableVectorizer:
         ready = self._prepared(df)
         made = [c for c in ready.columns if c not in df.columns]
         text = [c for c in made if c.startswith("_t_")]
-        distinct = ready.agg(*[F.count_distinct(c).alias(c) for c in text]).first().asDict() if text else {}
-        self.hashed = [c for c in text if distinct[c] > self.low]
+        self.hashed = self._many_valued(ready, text)
         stages, parts = [], [c for c in made if not c.startswith("_t_")]
         for c in text:
             if c in self.hashed:

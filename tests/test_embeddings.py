@@ -5,6 +5,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import HashingTF, NGram
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.hashing import unit_point
@@ -190,6 +191,34 @@ def test_vectorizer(spark):
     assert len(vec.transform(unseen).first()["embedding"]) in sizes
 
 
+def test_trigram_slots_are_those_of_spark_ml(spark, monkeypatch):
+    """Without a Java object per character: no character array, no n-grams in the plan."""
+    texts = ["", None, "ab", "abc", "ABCabc  abc", "Größe \u4f60\u597d\U0001f600 straße", "\0a\0b", "x" * 70, "na\u00efve caf\u00e9 " * 40,
+             "".join(chr(0x4e00 + i % 400) for i in range(900))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(2)
+    chars = df.withColumn("c", F.split(F.lower(F.coalesce("t", F.lit(""))), ""))
+    grams = NGram(n=3, inputCol="c", outputCol="g").transform(chars)
+    want = {r["id"]: r["h"] for r in HashingTF(numFeatures=64, inputCol="g", outputCol="h").transform(grams).collect()}
+    made = emb.with_trigrams(df, "t", "h", 64)
+    assert made.columns == ["id", "t", "h"] and "split(" not in made._jdf.queryExecution().toString()
+    assert {r["id"]: r["h"] for r in made.collect()} == want
+
+    monkeypatch.setattr(emb, "TRIGRAM_CHARS", 50)
+    for rows in (1, 3, 1000):
+        monkeypatch.setattr(emb, "TRIGRAM_ROWS", rows)
+        runs = emb._runs([(t or "").lower() for t in texts])
+        many, slots, counts = (np.concatenate(c) for c in zip(*(emb._trigram_counts(some, 64) for some in runs)))
+        for at, (a, b) in enumerate(zip(np.cumsum(many) - many, np.cumsum(many))):
+            assert dict(zip(slots[a:b].tolist(), counts[a:b].tolist())) == dict(zip(want[at].indices.tolist(), want[at].values.tolist()))
+
+
+def test_many_valued_texts_are_told_by_hashes(spark):
+    df = spark.range(60).select(F.concat(F.lit("v"), (F.col("id") % 3).cast("string")).alias("_t_few"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("_t_many"),
+                                F.concat(F.lit("x"), (F.col("id") % 40).cast("string")).alias("_t_40"))
+    vec = emb.TableVectorizer([])
+    assert vec._many_valued(df, ["_t_few", "_t_many", "_t_40"]) == ["_t_many"] and vec._many_valued(df, []) == []
+
+
 def test_pooling_needs_equal_lengths(spark):
     a = spark.createDataFrame([(1, [1.0, 2.0])], "id int, embedding array<double>")
     b = spark.createDataFrame([(1, [1.0])], "id int, embedding array<double>")
