@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..staging import stage
-from .knn import knn_join
+from .knn import fold_join, knn_join
 from .metrics import f1_from_counts
 
 WEIGHTS = ("uniform", "distance")
@@ -93,11 +93,9 @@ def knn_grid(df: DataFrame, num_classes: int, *, ks: Sequence[int] = tuple(range
              row_id: str = "row_id", vec: str = "embedding", label: str = "y", fold: str = "fold", folds: int = 5) -> DataFrame:
     """``(metric, weights, k, fold, f1_weighted)`` for a whole neighbour grid.
 
-    One join per metric serves all folds (train rows of a fold are keyed by it) and every ``k`` and weighting: each is
+    One join per metric serves all folds (a row meets those of other folds) and every ``k`` and weighting: each is
     a prefix of the same sorted neighbours. Tasks emit confusion counts only.
     """
-    train = df.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter(F.col("_run") != F.col(fold))
-    test = df.withColumn("_run", F.col(fold).cast("int"))
     labels = df.select(F.col(row_id).alias("t"), F.col(label).cast("int").alias("label"))
     truth = df.select(F.col(row_id).alias("q"), F.col(label).cast("int").alias("y"))
     ks, weights = sorted(ks), list(weights)
@@ -124,8 +122,7 @@ def knn_grid(df: DataFrame, num_classes: int, *, ks: Sequence[int] = tuple(range
 
     frames = []
     for metric in metrics:
-        near = knn_join(test, train, ks[-1], query_id=row_id, query_vec=vec, train_id=row_id, train_vec=vec,
-                        metric=metric, by=["_run"])
+        near = fold_join(df, ks[-1], row_id=row_id, vec=vec, fold=fold, folds=folds, metric=metric)
         rows = near.join(labels, "t").groupBy("_run", "q").agg(F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "distance", "label"))),
             lambda s: F.struct(s["distance"].alias("distance"), s["label"].alias("label"))).alias("near"))

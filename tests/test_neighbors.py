@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions.vectors import DISTANCES
 from gaugeframe.operators import knn
-from gaugeframe.operators.knn import knn_join
+from gaugeframe.operators.knn import fold_join, knn_join
 from gaugeframe.operators.neighbors import knn_classify, knn_regress, local_outlier_factor
 
 
@@ -189,3 +189,18 @@ def test_many_vectors_of_few_dimensions_go_by_cells(spark, monkeypatch):
         got, want = knn_join(df, df, 3, block_rows=32, **kw), knn_join(df, df, 3, strategy="broadcast", **kw)
         assert len(asked) == by_cells
         assert sorted((r["q"], r["t"], r["rank"]) for r in got.collect()) == sorted((r["q"], r["t"], r["rank"]) for r in want.collect())
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+def test_fold_join_meets_other_folds_in_slices(spark, metric):
+    """No slice copies rows per fold, and the slices give what one join with a copy of the rows per fold gives."""
+    rng = np.random.default_rng(8)
+    m = np.vstack([rng.normal(size=(150, 20)).round(1), np.ones((30, 20))])
+    df = spark.createDataFrame([(i, i * 7 % 3, v.tolist()) for i, v in enumerate(m)], "id long, fold int, v array<double>")
+    copies = df.withColumn("_run", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter("_run <> fold")
+    want = knn_join(df.withColumn("_run", F.col("fold")), copies, 7, query_id="id", query_vec="v", train_id="id", train_vec="v", metric=metric, by=["_run"])
+    key = lambda r: (r["_run"], r["q"], r["rank"], r["t"], round(r["distance"], 12))
+    want = sorted(map(key, want.collect()))
+    for limit in (1 << 20, 12_000):
+        got = fold_join(df, 7, row_id="id", vec="v", fold="fold", folds=3, metric=metric, broadcast_bytes=limit)
+        assert got.columns == ["_run", "q", "t", "distance", "rank"] and sorted(map(key, got.collect())) == want
