@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.vectors import as_double
 from ..staging import stage
-from .knn import fold_join, knn_join
+from .knn import fold_join, fold_neighbours, knn_join, plain_rows
 from .metrics import f1_from_counts
 
 WEIGHTS = ("uniform", "distance")
@@ -94,7 +95,8 @@ def knn_grid(df: DataFrame, num_classes: int, *, ks: Sequence[int] = tuple(range
     """``(metric, weights, k, fold, f1_weighted)`` for a whole neighbour grid.
 
     One join per metric serves all folds (a row meets those of other folds) and every ``k`` and weighting: each is
-    a prefix of the same sorted neighbours. Tasks emit confusion counts only.
+    a prefix of the same sorted neighbours. Tasks emit confusion counts only. Where ids are known and differ, a query's neighbours stay with it
+    and bring their labels; else labels are joined.
     """
     labels = df.select(F.col(row_id).alias("t"), F.col(label).cast("int").alias("label"))
     truth = df.select(F.col(row_id).alias("q"), F.col(label).cast("int").alias("y"))
@@ -120,15 +122,23 @@ def knn_grid(df: DataFrame, num_classes: int, *, ks: Sequence[int] = tuple(range
                 table = pd.concat(found)
                 yield table.groupby(list(table.columns), as_index=False).size().rename(columns={"size": "n"})
 
+    def scored(rows: DataFrame, metric: str) -> DataFrame:
+        counts = rows.mapInPandas(tally, schema).groupBy("_run", "weights", "k", "y", "prediction").agg(F.sum("n").alias("n"))
+        return f1_from_counts(counts, ["_run", "weights", "k"]).withColumn("metric", F.lit(metric))
+
+    plain = plain_rows(df.select(F.col(row_id).alias("q"), as_double(vec).alias("qv")), [], "q", "qv") and not truth.filter("y is null").head(1)
     frames = []
     for metric in metrics:
+        if plain:
+            rows = fold_neighbours(df, ks[-1], row_id=row_id, vec=vec, label=label, fold=fold, folds=folds, metric=metric)
+            frames.append(scored(rows, metric))
+            continue
         near = fold_join(df, ks[-1], row_id=row_id, vec=vec, fold=fold, folds=folds, metric=metric)
         rows = near.join(labels, "t").groupBy("_run", "q").agg(F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "distance", "label"))),
             lambda s: F.struct(s["distance"].alias("distance"), s["label"].alias("label"))).alias("near"))
         rows = rows.join(truth, "q").select(F.col("_run").alias("run"), "y", F.col("near.label").alias("labels"), F.col("near.distance").alias("distances"))
-        counts = rows.mapInPandas(tally, schema).groupBy("_run", "weights", "k", "y", "prediction").agg(F.sum("n").alias("n"))
-        frames.append(f1_from_counts(counts, ["_run", "weights", "k"]).withColumn("metric", F.lit(metric)))
+        frames.append(scored(rows, metric))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

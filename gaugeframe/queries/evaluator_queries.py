@@ -7,6 +7,7 @@ from ..operators.metrics import roc_auc_ovr
 from ..operators.splits import role_by_hash, stratified_folds
 from ..operators.tuned import (BoostedRegressor, KernelSVMEvaluator, KNNSearchEvaluator, LogisticEvaluator,
                                PerceptronEvaluator, PerceptronRegressor)
+from ..staging import stage
 from .join_queries import _DIST, knn_sql
 from .registry import EMB, auc_sql, query, role_sql, rounded, u_sql
 
@@ -173,7 +174,7 @@ def _grid_sql(metric):
   (SELECT metric, weights, k, fold, cls, count(*) FILTER (y=cls) AS s, count(*) FILTER (label=cls) AS c, count(*) FILTER (y=cls AND label=cls) AS r
    FROM p, range(0,10) x(cls) GROUP BY ALL) GROUP BY metric, weights, k, fold""")
 def knn_search_grid(t):
-    rows = stratified_folds(t.embeddings.select("vec_id", "embedding", F.col("label").alias("y")), "vec_id", 5, "y")
+    rows = stage(stratified_folds(t.embeddings.select("vec_id", "embedding", F.col("label").alias("y")), "vec_id", 5, "y"), "knn-search")
     got = nb.knn_grid(rows, 10, ks=_KS, row_id="vec_id")
     return rounded(got, "f1_weighted")
 

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.vectors import DISTANCES
-from gaugeframe.operators import knn
+from gaugeframe.operators import knn, neighbors
 from gaugeframe.operators.knn import fold_join, knn_join
 from gaugeframe.operators.neighbors import knn_classify, knn_regress, local_outlier_factor
+from gaugeframe.staging import stage
 
 
 def frame(spark, m, ids=None, **extra):
@@ -253,3 +254,35 @@ def test_vectors_without_structure_are_not_copied_to_cells(spark, monkeypatch, m
 
 def test_slices_of_a_round_hold_whole_cells_or_parts_of_large_ones():
     assert knn._dealt_cells({3: 40, 1: 50, 2: 30, 4: 250, 5: 10}, 100) == ([(1, 0, 1), (2, 0, 1), (3, 1, 1), (4, 2, 3), (5, 5, 1)], 6)
+
+
+@pytest.mark.parametrize("metric", sorted(DISTANCES))
+def test_fold_neighbours_are_those_of_the_fold_join(spark, monkeypatch, metric):
+    """In one slice and in several, without a row per neighbour ever being dealt out."""
+    rng = np.random.default_rng(16)
+    m = np.vstack([rng.normal(size=(150, 18)).round(1), np.ones((30, 18))])
+    df = stage(spark.createDataFrame([(i, i * 7 % 3, i % 4, v.tolist()) for i, v in enumerate(m)], "id long, fold int, y int, v array<double>"))
+    kw = dict(row_id="id", vec="v", fold="fold", folds=3, metric=metric)
+    near = fold_join(df, 7, **kw).join(df.selectExpr("id as t", "y as label"), "t").join(df.selectExpr("id as q", "y"), "q")
+    want = {}
+    for r in near.orderBy("_run", "q", "rank").collect():
+        want.setdefault((r["_run"], r["q"], r["y"]), []).append((r["label"], round(r["distance"], 12)))
+    want = sorted((run, y, tuple(v)) for (run, _, y), v in want.items())
+    for limit in (1 << 20, 12_000):
+        got = knn.fold_neighbours(df, 7, label="y", broadcast_bytes=limit, **kw)
+        assert sorted((r["run"], r["y"], tuple(zip(r["labels"], [round(d, 12) for d in r["distances"]]))) for r in got.collect()) == want
+
+
+def test_grid_of_repeated_ids_is_that_of_the_joined_labels(spark, monkeypatch):
+    """Plain rows take the neighbours as they are; rows whose ids repeat go by the join, and rows without repeats score alike both ways."""
+    rng = np.random.default_rng(17)
+    df = stage(spark.createDataFrame([(i, i % 3, int(i % 2), rng.normal(size=4).tolist()) for i in range(60)], "row_id long, fold int, y int, embedding array<double>"))
+    kw = dict(ks=(3, 5), metrics=("euclidean",), folds=3)
+    joined, join = [], neighbors.fold_join
+    monkeypatch.setattr(neighbors, "fold_join", lambda *a, **b: joined.append(1) or join(*a, **b))
+    plain = sorted(map(tuple, neighbors.knn_grid(df, 2, **kw).collect()))
+    assert not joined
+    neighbors.knn_grid(df.unionByName(df.limit(3)), 2, **kw)
+    assert joined == [1]
+    monkeypatch.setattr(neighbors, "plain_rows", lambda *a: False)
+    assert plain == sorted(map(tuple, neighbors.knn_grid(df, 2, **kw).collect()))
