@@ -1,6 +1,7 @@
 """Kernel machines that learn in shared passes, against plain losses and slopes."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from gaugeframe.operators import kernel_machines as km
@@ -77,3 +78,23 @@ def test_sigmoids_stand_at_the_least_log_loss(spark):
         z = m[:, c] * coef[c, 0] + coef[c, 1]
         r = 1 / (1 + np.exp(-z)) - target
         assert abs(r.mean()) < 1e-4 and abs((r * m[:, c]).mean()) < 1e-4 and coef[c, 0] > 0
+
+
+def test_cosines_of_turns():
+    turns = np.random.default_rng(6).uniform(-40, 40, (50, 30))
+    assert np.abs(km.turned(turns.copy()) - np.cos(2 * np.pi * (turns - np.rint(turns)))).max() < 5e-15
+
+
+def test_ended_machines_are_not_evaluated_again(spark, monkeypatch):
+    """A trial whose machines have all ended costs no features in later passes."""
+    x, y, fold = data()
+    pdf, features = pd.DataFrame({"x": list(x), "y": y, "fold": fold}), km.Machines.features
+    asked = []
+    monkeypatch.setattr(km, "_summed", lambda rows, read: read(pdf))
+    monkeypatch.setattr(km.Machines, "features", lambda self, projected, trial: asked.append(trial) or features(self, projected, trial))
+    trials = [km.KernelTrial(1e-6, 0.1), km.KernelTrial(10.0, 1.0)]
+    both = km.fit_machines(None, trials, [0, 1, 2], 3, 3, features=16, max_iter=200, vec="x")
+    assert asked.count(0) != asked.count(1)
+    for t, trial in enumerate(trials):
+        alone = km.fit_machines(None, [trial], [0, 1, 2], 3, 3, features=16, max_iter=200, vec="x")
+        assert np.allclose(alone.coef[0], both.coef[t], atol=1e-3)
